@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, neardup, packing, quality, tokenfiles, tokens, toxicity
+from terrane.llm import decontaminate, lmscore, neardup, packing, quality, tokenfiles, tokens, toxicity
 from terrane.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.scored(docs, model)
     score = F.col("toxicity.score")
     return found.select("doc_id", toxicity.is_held_out().alias("held_out"), score.alias("score"), F.when(score >= 0.3, 1).otherwise(0).alias("predicted"), "toxicity.n_exact", "toxicity.n_fuzzy", "toxicity.n_quoted")
+
+
+@query("op6_ppm_scores")
+def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
