@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, lmscore, neardup, packing, quality, tokenfiles, tokens, toxicity
+from terrane.llm import decontaminate, lmscore, neardup, packing, quality, secrets, tokenfiles, tokens, toxicity
 from terrane.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,34 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ppm_scores")
 def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"))
+
+
+def _op9_sql() -> str:
+    """Every rule as a list of its matches' spans: pieces between the matches give the starts."""
+    ctes, unions = [], []
+    for rank, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        ctes.append(
+            f"r{rank} AS (SELECT doc_id, row_number() OVER () AS rid, regexp_split_to_array(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS hits, "
+            f"regexp_extract_all(t, '{pattern}', {r.group}) AS checked FROM docs WHERE regexp_matches(t, '{pattern}'))"
+        )
+        unions.append(
+            f"SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, "
+            f"length(hits[i]) AS n, length(checked[i]) AS m, {r.least} AS least FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM r{rank})"
+        )
+    return (
+        "WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\n" + ",\n".join(ctes) + ",\nspans AS (" + "\nUNION ALL ".join(unions) + "),\n"
+        "kept AS (SELECT doc_id, rank, kind, s, kind || ':' || s || ':' || (s + n) AS x FROM spans WHERE m >= least),\n"
+        "joined AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, "
+        "string_agg(x, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(x, ',' ORDER BY s, rank) AS spans FROM kept GROUP BY doc_id)\n"
+        "SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans "
+        "FROM docs d LEFT JOIN joined USING (doc_id)"
+    )
+
+
+@query("op9_secret_scan", _op9_sql())
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secret_spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secret_spans")).alias("spans"))
