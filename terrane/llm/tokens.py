@@ -14,15 +14,17 @@ Pieces with characters outside the Latin and punctuation ranges are handed to th
 
 from __future__ import annotations
 
+import struct
+
 import regex
 
 #: Characters whose classes and case are alike in every Unicode version.
 _PLAIN = regex.compile(r"[\x09\x0A\x0D\x20-\x7E¡-¬®-įı-ɏ‐-‧]*+")
+_LAST_LATIN = "\u024F"
 _LONG_SPACE = regex.compile(r"\s\s\s")
 #: The pre-token patterns that the two vocabulary files state (fixed values).
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_BLANKS = str.maketrans("\t\n\r", "   ")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -52,7 +54,7 @@ class PieceEncoder:
     ``style``: "byte" or "word". Special-token strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, style: str, limit: int = 400_000):
+    def __init__(self, path: str, style: str, limit: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,7 +62,7 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.alphabet = byte_alphabet()
         self.style = style
-        self.pieces = _Memo(self._piece, limit)
+        self.pieces = _Memo(self._piece, limit // 2)
         if style == "byte":
             self.first = _Memo(self._chunk, limit // 8)
             self.after_space = _Memo(lambda c: self._chunk(" " + c), limit)
@@ -69,22 +71,20 @@ class PieceEncoder:
         else:
             raise ValueError(style)
 
-    def _pack(self, ids) -> bytes:
-        import array
-        import sys
-
-        out = array.array("I", ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+    @staticmethod
+    def _pack(ids) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        mapped = piece if piece.isascii() and piece.isalnum() else "".join(map(self.alphabet.__getitem__, piece.encode("utf-8")))
         return self._pack([t.id for t in self.model.tokenize(mapped)])
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
+        letters = chunk[1:] if self.style == "byte" and chunk[0] == " " else chunk
+        if letters.isalpha() and max(letters) <= _LAST_LATIN and "İ" not in letters:
+            return self.pieces[chunk if self.style == "byte" else chunk.lower()]
         if not _PLAIN.fullmatch(chunk):
             return self._pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if self.style == "byte":
@@ -93,8 +93,11 @@ class PieceEncoder:
 
     def encode(self, text: str) -> bytes:
         if self.style == "word":
-            return b"".join(map(self.after_space.__getitem__, text.translate(_BLANKS).split(" ")))
-        if _LONG_SPACE.search(text):
+            blanked = text.replace("\t", " ").replace("\n", " ").replace("\r", " ")
+            return b"".join(map(self.after_space.__getitem__, blanked.split(" ")))
+        # printable characters are no white space but the blank, so most texts are cleared without a pattern
+        blanked = text.replace("\n", " ")
+        if "   " in blanked or not blanked.isprintable() and _LONG_SPACE.search(text):
             if _PLAIN.fullmatch(text):
                 return b"".join([self.pieces[p] for p in _BYTE_PIECES.findall(text)])
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
