@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, lmscore, neardup, packing, quality, secrets, tokenfiles, tokens, toxicity
+from terrane.llm import decontaminate, licenses, lmscore, neardup, packing, quality, secrets, tokenfiles, tokens, toxicity
 from terrane.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secret_spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secret_spans")).alias("spans"))
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = F.col("license_scan")
+    joined = [F.array_join(s[x], ",").alias(x) for x in ("base_labels", "labels")]
+    plain = [s[x].alias(x) for x in ("n_words", "n_base", "first_word", "last_word", "score")]
+    return licenses.scan(docs, licenses.inverse_frequencies(docs)).select("doc_id", *plain, *joined)
