@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, licenses, lmscore, neardup, packing, quality, secrets, tokenfiles, tokens, toxicity
+from terrane.llm import decontaminate, licenses, lmscore, neardup, packing, quality, secrets, tokenfiles, tokens, toxicity, warc
 from terrane.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = [F.array_join(s[x], ",").alias(x) for x in ("base_labels", "labels")]
     plain = [s[x].alias(x) for x in ("n_words", "n_base", "first_word", "last_word", "score")]
     return licenses.scan(docs, licenses.inverse_frequencies(docs)).select("doc_id", *plain, *joined)
+
+
+@query("op10_warc_derivatives")
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.derivative_files(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "kind", "record_id", "refers_to", "target_uri", "block_digest", "source_digest", "n_bytes", "digest_ok", F.sha2("text", 256).alias("text_sha256"))
