@@ -234,6 +234,22 @@ def find_contamination(
     return out
 
 
+def flagged(docs: DataFrame, items: DataFrame, into: str, window: int = 10, k: int = 6, block_words: int = 500_000, text_col: str = "text") -> DataFrame:
+    """``docs`` with the boolean column ``into``: some window of an item occurs. Only the text passes through Python."""
+    found = F.lit(False)
+    for block in _blocks(items.select("item_id", "text"), block_words):
+        found = found | _hit_test(docs.sparkSession.sparkContext.broadcast(BlockIndex(block, window, k)))(F.col(text_col))
+    return docs.withColumn(into, found)
+
+
+def _hit_test(shared):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(spans) for _, spans, _ in shared.value.scan([t if isinstance(t, str) else None for t in texts.tolist()])], dtype=bool)
+
+    return hit
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
