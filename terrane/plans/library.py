@@ -1,3 +1,3 @@
 """Importing this module registers every plan group."""
 
-from terrane.plans import proximity_plans  # noqa: F401
+from terrane.plans import cost_plans, proximity_plans, relational_plans  # noqa: F401
