@@ -46,7 +46,7 @@ def climb_profile(points: DataFrame, line: str, order: list[str], elevation: str
     return steps.withColumn("climb_m", F.sum("rise").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("cum_km", F.col("cum_m") / 1000).drop("rise")
 
 
-def curvature_window(points: DataFrame, line: str, order: list[str], ahead_m: float = 300.0) -> DataFrame:
+def curvature_window(points: DataFrame, line: str, order: list[str], ahead_m: int = 300) -> DataFrame:
     """Sum of the bends within ``ahead_m`` behind (curv_rev) and ahead (curv_fwd) of each point, along the line."""
     w = Window.partitionBy(line).orderBy(*order)
     bend = geo.bend_degrees(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"), F.lead("lon").over(w), F.lead("lat").over(w))

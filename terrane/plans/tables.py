@@ -115,7 +115,7 @@ def city_arcs(spark: SparkSession, d: str) -> DataFrame:
 
 
 CITY_ARCS = """arcs AS (SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, (count(*) % 97 + 1)::DOUBLE AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey
- JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2 HAVING (c_nationkey * 7 + s_nationkey * 3) % 5 = 0)"""
+ JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND (c_nationkey * 7 + s_nationkey * 3) % 5 = 0 GROUP BY 1, 2)"""
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
