@@ -97,7 +97,7 @@ class Edge:
     def __getitem__(self, name: str) -> Column:
         if name in self.given:
             return self.given[name]
-        default = "" if name in TAGS else NEUTRAL.get(name, 0.0)
+        default = "" if name in TAGS else False if name == "is_ferry" else NEUTRAL.get(name, 0.0)
         return F.coalesce(F.col(name), F.lit(default)) if name in self.columns else F.lit(default)
 
 
@@ -175,8 +175,7 @@ def edge_factor(e: Edge, profile: str = "direct", grade: Column | None = None, c
     canopy = F.when(e["canopy_frac"] > 0, 1 - CANOPY * e["canopy_frac"]).otherwise(1.0)
     cost = base * track * surface * road * slope_factor(grade, curvature, p) * canopy * scenic_factor(e, p)
     ferry = F.when(e["bicycle"].isin("no", "private"), F.lit(None).cast("double")).otherwise(FERRY)
-    is_ferry = e["is_ferry"].cast("boolean")
-    return F.when(is_ferry, ferry).when(is_excluded(e), F.lit(None).cast("double")).otherwise(cost)
+    return F.when(e["is_ferry"], ferry).when(is_excluded(e), F.lit(None).cast("double")).otherwise(cost)
 
 
 def edge_costs(e: Edge, profile: str, length: Column, grade: Column, curv_fwd: Column, curv_rev: Column, oneway: Column) -> tuple[Column, Column]:
