@@ -39,7 +39,7 @@ def station_clusters(spark, d):
 @register("bounded_costs")
 def bounded_costs(spark, d):
     arcs = t.city_arcs(spark, d).withColumn("region", F.lit(0))
-    pairs = arcs.select("region", F.col("src"), F.pmod(F.col("dst") + 1, F.lit(25)).alias("dst"), (F.col("cost") * 1.5).alias("crow_m")).distinct()
+    pairs = arcs.select("region", F.col("src"), F.pmod(F.col("dst") + 5, F.lit(25)).alias("dst"), (F.col("cost") * 1.5).alias("crow_m")).where("src <> dst").distinct()
     return chains.bounded_costs(pairs, arcs, "region", extra_m=50.0)
 
 
