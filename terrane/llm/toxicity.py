@@ -252,20 +252,28 @@ def learn_terms(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int
 
 
 def fit(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> list[float]:
-    """Logistic regression by Newton's method; no coefficient of a hit is negative."""
+    """Logistic regression by Newton's method with halved steps; no coefficient of a hit is negative."""
     x = np.hstack([np.ones((len(features), 1)), features[:, :MODELLED]])
-    active = np.ones(x.shape[1], bool)
-    w = np.zeros(x.shape[1])
+    penalty = ridge * np.array([0.01, *[1.0] * MODELLED])
+    active, w = np.ones(x.shape[1], bool), np.zeros(x.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(np.logaddexp(0, z).sum() - labels @ z + 0.5 * (penalty * v * v).sum())
+
     for _ in range(MODELLED + 1):
-        for _ in range(40):
-            p = 1 / (1 + np.exp(-np.clip(x[:, active] @ w[active], -30, 30)))
-            penalty = ridge * np.array([0.01, *[1.0] * MODELLED])[active]
-            gradient = x[:, active].T @ (labels - p) - penalty * w[active]
-            hessian = (x[:, active] * (p * (1 - p))[:, None]).T @ x[:, active] + np.diag(penalty)
-            delta = np.linalg.solve(hessian, gradient)
-            w[active] += delta
-            if np.abs(delta).max() < 1e-8:
+        best = loss(w)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            gradient = (x.T @ (labels - p) - penalty * w)[active]
+            hessian = (x[:, active] * (p * (1 - p))[:, None]).T @ x[:, active] + np.diag(penalty[active])
+            step = np.zeros_like(w)
+            step[active] = np.linalg.solve(hessian, gradient)
+            while np.abs(step).max() > 1e-8 and not loss(w + step) < best:
+                step /= 2
+            if np.abs(step).max() <= 1e-8:
                 break
+            w, best = w + step, loss(w + step)
         negative = active & (w < 0) & (np.arange(len(w)) > 0)
         if not negative.any():
             break
