@@ -9,7 +9,10 @@
 3. A bucket (the classes with one key) may hold any share of the rows: buckets are ranges of the sorted (key, order)
    pairs, cut anywhere, and each class meets the few that precede it in its bucket, across cuts as well. So the pairs
    grow with the rows, never with their square. Rounds with another random order follow, which pair only classes that
-   aren't connected yet, until a round finds no link (and at most ``rounds``).
+   aren't connected yet, until a round finds no link (and at most ``rounds``). Classes in a bucket that was too large for
+   these rounds to compare all its pairs, and that still holds several components, then go through an exact prefix join:
+   sets of similarity 0.8 share one of the rarest fifth of their shingles, so that a template's common shingles make no
+   pairs. So each pair with a common key is compared, connected or known to be less similar.
 4. Pairs whose signatures differ in more than the threshold are dropped; the others are confirmed on the full sets.
 5. Components of the confirmed links by hooking and contraction; every step writes its tables to the shared folder.
 
@@ -272,6 +275,136 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
+def open_classes(buckets: DataFrame, roots: DataFrame | None, reach: int) -> DataFrame:
+    """(node, comp) of the classes in buckets of several components that neighbours within ``reach`` don't cover."""
+    if roots is None:
+        held = buckets.withColumn("comp", F.col("node"))
+    else:
+        held = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    large = held.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    large = large.where((F.col("n") > reach + 1) & (F.col("low") != F.col("high"))).select("key")
+    return held.join(large, "key", "left_semi").select("node", "comp").distinct()
+
+
+_SLOTS = 1 << 20
+_BLOCK = 256
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each slot; any counts give right results, good ones few candidates."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(_SLOTS, np.int64)
+        for batch in batches:
+            if len(batch):
+                slot = from_five_bytes(b"".join(batch["members"].map(bytes))) & np.uint64(_SLOTS - 1)
+                total += np.bincount(slot.astype(np.int64), minlength=_SLOTS)
+        slot = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": slot, "n": total[slot]})
+
+    found = sets.select("members").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(_SLOTS, np.int64)
+    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def rarest(members: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The members of which sets at least ``percent`` similar have one in common: the first in the order of ``counts``."""
+    n = len(members)
+    keep = n + (-percent * n // 100) + 1
+    return members[np.lexsort((members, counts[(members & np.uint64(_SLOTS - 1)).astype(np.int64)]))[:keep]]
+
+
+def rare_keys(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(key, node, comp, n) for each of the rarest members of ``sets`` (node, comp, members)."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                held = [from_five_bytes(bytes(x)) for x in batch["members"]]
+                keys = [rarest(x, shared.value, percent) for x in held]
+                times = [len(x) for x in keys]
+                fields = {"node": batch["node"], "comp": batch["comp"], "n": [len(x) for x in held]}
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64)} | {c: np.repeat(np.asarray(v, np.int64), times) for c, v in fields.items()})
+
+    return sets.select("node", "comp", "members").mapInPandas(run, "key long, node long, comp long, n long")
+
+
+def cells(keys: DataFrame) -> DataFrame:
+    """``keys`` dealt out so that any two rows of a key with different ``comp`` meet in a cell of at most some blocks.
+
+    A key's largest component is never compared with itself: its blocks (side 0) meet the others' (side 1) in cells of
+    kind 0, and the others' blocks meet each other in cells of kind 1. A key of one block is one cell of kind 2.
+    """
+    by_comp = keys.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    stats = by_comp.groupBy("key").agg(F.sum("k").alias("rows"), F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+    stats = stats.where("comps > 1").select("key", "rows", F.col("top.k").alias("k"), F.col("top.comp").alias("top"))
+    blocks = lambda n: F.ceil(n / _BLOCK).cast("long")
+    wide = keys.join(stats, "key").withColumns({"side": (F.col("comp") != F.col("top")).cast("long"), "g0": blocks(F.col("k")), "g1": blocks(F.col("rows") - F.col("k"))})
+    wide = wide.withColumn("own", F.pmod(F.xxhash64(F.lit(11), "node"), F.when(F.col("side") == 0, F.col("g0")).otherwise(F.col("g1"))))
+    own, upto = F.col("own"), lambda g: F.sequence(F.lit(0).cast("long"), F.col(g) - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"))
+    mixed = F.when(F.col("side") == 0, F.transform(upto("g1"), lambda j: cell(0, own, j))).otherwise(
+        F.concat(F.transform(upto("g0"), lambda i: cell(0, i, own)), F.transform(upto("g1"), lambda j: cell(1, F.least(own, j), F.greatest(own, j))))
+    )
+    zero = F.lit(0)
+    at = F.explode(F.when(F.col("rows") <= _BLOCK, F.array(cell(2, zero, zero))).otherwise(mixed)).alias("at")
+    return wide.select("key", "node", "comp", "n", "side", "own", at).select("key", "at.kind", "at.i", "at.j", "node", "comp", "n", "side", "own")
+
+
+def rare_pairs(keys: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
+    """The pairs (a, b) of different components that share a key, fit in size and differ in at most ``most`` symbols."""
+
+    def compared(group: pd.DataFrame, signed: np.ndarray) -> np.ndarray:
+        node, comp, n, side, own = (group[c].to_numpy() for c in ("node", "comp", "n", "side", "own"))
+        kind, i, j = (int(group[c].iloc[0]) for c in ("kind", "i", "j"))
+        fits = comp[:, None] != comp[None, :]
+        fits &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        if kind == 0:
+            fits &= side[:, None] != side[None, :]
+        elif kind == 1 and i != j:
+            fits &= own[:, None] != own[None, :]
+        x, y = np.nonzero(np.triu(fits, 1))
+        near = (signed[x] != signed[y]).sum(axis=1) <= most
+        a, b = node[x[near]], node[y[near]]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(rows: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+            signed = np.frombuffer(b"".join(rows["signature"].map(bytes)), np.uint8).reshape(-1, SYMBOLS)
+            out = [compared(rows.iloc[s:e], signed[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True) if e - s > 1]
+            pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+            return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            at = rows[["key", "kind", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)]))
+            yield found(rows, starts)
+            held = rows.iloc[starts[-1] :]
+        if held is not None:
+            yield found(held, np.array([0, len(held)]))
+
+    dealt = cells(keys).join(classes.select("node", "signature"), "node")
+    where = ("key", "kind", "i", "j")
+    return dealt.repartition(*where).sortWithinPartitions(*where).mapInPandas(run, "a long, b long").distinct()
+
+
+def rest_links(buckets: DataFrame, roots: DataFrame | None, sets: DataFrame, classes: DataFrame, reach: int, percent: int, most: int) -> DataFrame | None:
+    """The confirmed links of the pairs in large buckets that are not connected yet; None where there are none."""
+    todo = materialize(open_classes(buckets, roots, reach), "open")
+    if todo.isEmpty():
+        return None
+    held = _written(needed_sets(todo.select(F.col("node").alias("a"), F.col("node").alias("b")), sets), "open-sets")
+    keys = materialize(rare_keys(held.join(todo, "node"), shingle_counts(held), percent), "rare-keys")
+    pairs = materialize(rare_pairs(keys, classes, percent, most), "rare-pairs")
+    return _written(confirmed(pairs, sets, percent), "links-rest")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes in ``links`` (a, b): root is the same for connected nodes and is one of them.
 
@@ -351,6 +484,9 @@ def near_duplicates(
             continue
         links = links.unionByName(found)
         roots = components(links)
+    found = rest_links(buckets, roots, sets, classes, reach, percent, most)
+    if found is not None and not found.isEmpty():
+        roots = components(links.unionByName(found))
     named = classes.select("set_key", "node", "least_id").join(roots, "node", "left").select("set_key", "least_id", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("least_id").alias("name"))
     named = named.join(names, "root").select("set_key", "root", "name")

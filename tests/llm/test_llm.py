@@ -232,6 +232,32 @@ def test_near_duplicates_match_brute_force(spark, sample):
     assert all(got[k]["kept"] == (k == e) for k, e in enumerate(expected))
 
 
+def test_near_duplicates_behind_a_template(spark):
+    """All texts share a template and are just below 0.8; planted pairs reach it, each only with each other."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices(string.ascii_lowercase, k=8))
+    template = " ".join(word() for _ in range(160))
+    tails = [[word() for _ in range(21)] for _ in range(1500)]
+    for k in range(0, 300, 2):
+        tails[k + 1] = tails[k][:2] + tails[k + 1][2:]
+    texts = [" ".join([template, *t]) for t in tails]
+    sets = [set(map(int, neardup.shingle_set(t, 2))) for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(like(k, k + 1) >= 0.8 for k in range(0, 300, 2)) and like(0, 2) < 0.8 and like(1, 400) < 0.8
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs_of(spark, texts), shingle=2).collect()}
+    assert got == {k: k - k % 2 if k < 300 else k for k in range(len(texts))}
+
+
+@pytest.mark.parametrize("size", [5, 700])
+def test_cells_let_all_components_meet(spark, size):
+    rows = [(1, k, 0 if k % 3 else k, 10) for k in range(size)] + [(2, 5, 5, 10), (2, 7, 5, 10)]
+    at = neardup.cells(spark.createDataFrame(rows, "key long, node long, comp long, n long")).toPandas()
+    met = {(x, y) for _, g in at.groupby(["key", "kind", "i", "j"]) for x, y in itertools.combinations(sorted(g["node"]), 2)}
+    comp = {k: c for key, k, c, _ in rows if key == 1}
+    assert all((x, y) in met for x, y in itertools.combinations(range(size), 2) if comp[x] != comp[y])
+    assert set(at["key"]) == {1}
+
+
 def test_deduplicated_keeps_one_of_each(spark):
     texts = ["a b c d e f g", "a b c d e f g", "other text of its own here", None, "", "other text of its own here"]
     docs = docs_of(spark, texts, [5, 3, 7, 8, 9, 7]).withColumn("here_x", F.lit(1))
