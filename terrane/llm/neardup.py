@@ -1,6 +1,6 @@
 """Near-duplicate groups by MinHash signatures and a multi-index Hamming join.
 
-1. Where a document lies, its set of word shingles becomes sorted 40-bit hashes, a digest of the set and a signature of
+1. Where a document lies, its set of word shingles becomes sorted 64-bit hashes, a digest of the set and a signature of
    ``symbols`` MinHash values of 8 bits. Documents with equal sets are one class; only classes go on.
 2. A signature is split into chunks. Two signatures that differ in at most ``chunks * (errors + 1) - 1`` symbols have, by
    the pigeonhole principle, a chunk with at most ``errors`` = 1 differing symbols; so each chunk is looked up with each
@@ -60,7 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 40-bit hashes of the word shingles."""
+    """Sorted distinct 64-bit hashes of the word shingles."""
     words = text.encode("utf-8").translate(_BLANK).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
@@ -70,7 +70,6 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     out = np.full(n, size, np.uint64)
     for j in range(size):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
-    out >>= np.uint64(24)
     out.sort()
     return out[np.concatenate([[True], out[1:] != out[:-1]])] if n > 1 else out
 
@@ -83,20 +82,18 @@ def multipliers() -> tuple[np.ndarray, np.ndarray]:
 def signature(members: np.ndarray, ab: tuple[np.ndarray, np.ndarray]) -> bytes:
     """One byte for each MinHash value."""
     low = np.full(SYMBOLS, 0xFFFFFFFF, np.uint32)
-    x = (members >> np.uint64(8)).astype(np.uint32) ^ members.astype(np.uint32)
+    x = (members >> np.uint64(32)).astype(np.uint32) ^ (members >> np.uint64(24)).astype(np.uint32)
     for k in range(0, len(x), 2048):
         np.minimum(low, (x[k : k + 2048] * ab[0] ^ ab[1]).min(axis=1), out=low)
     return (low * np.uint32(2654435761) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def five_bytes(members: np.ndarray) -> bytes:
-    return members.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def to_bytes(members: np.ndarray) -> bytes:
+    return members.astype("<u8").tobytes()
 
 
-def from_five_bytes(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+def from_bytes(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<u8")
 
 
 def shingle_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -112,7 +109,7 @@ def shingle_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> Data
                 part, rows = batch.iloc[at : at + 1000], []
                 for text in part["text"].tolist():
                     members = shingle_set(text if isinstance(text, str) else None, size)
-                    blob = five_bytes(members)
+                    blob = to_bytes(members)
                     rows.append((len(members), xxhash.xxh3_128_digest(blob), signature(members, ab) if len(members) else None, blob))
                 out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "signature", "members"])
                 out.insert(0, "text_hash", part["text_hash"].values)
@@ -138,7 +135,7 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     """The rows whose key occurs more than once (and a few at the partitions' ends, which may or may not)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, first = None, True
+        held, first, known = None, True, False
         for batch in batches:
             if held is not None:
                 batch = pd.concat([held, batch], ignore_index=True)
@@ -149,6 +146,8 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
             same[1:] = key[1:] == key[:-1]
             keep = same.copy()
             keep[:-1] |= same[1:]
+            # the row held back may have shared its key with rows that are given already
+            keep[0] |= known
             if first:
                 keep[key == key[0]] = True
                 first = False
@@ -157,7 +156,7 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
             # of the last key only one row is held back: the others are known to be shared
             keep[cut:-1] = True
             yield batch[:-1][keep[:-1]]
-            held = batch[-1:]
+            held, known = batch[-1:], bool(keep[-1])
         if held is not None:
             yield held
 
@@ -260,11 +259,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch["ma"], batch["mb"], strict=True):
-                n, m = len(x) // 5, len(y) // 5
+                n, m = len(x) // 8, len(y) // 8
                 if 100 * min(n, m) < percent * max(n, m):
                     ok.append(False)
                     continue
-                both = np.concatenate([from_five_bytes(x), from_five_bytes(y)])
+                both = np.concatenate([from_bytes(x), from_bytes(y)])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * shared >= percent * (n + m - shared))
@@ -297,7 +296,7 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
         total = np.zeros(_SLOTS, np.int64)
         for batch in batches:
             if len(batch):
-                slot = from_five_bytes(b"".join(batch["members"].map(bytes))) & np.uint64(_SLOTS - 1)
+                slot = from_bytes(b"".join(batch["members"].map(bytes))) & np.uint64(_SLOTS - 1)
                 total += np.bincount(slot.astype(np.int64), minlength=_SLOTS)
         slot = np.flatnonzero(total)
         yield pd.DataFrame({"slot": slot, "n": total[slot]})
@@ -322,7 +321,7 @@ def rare_keys(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                held = [from_five_bytes(bytes(x)) for x in batch["members"]]
+                held = [from_bytes(bytes(x)) for x in batch["members"]]
                 keys = [rarest(x, shared.value, percent) for x in held]
                 times = [len(x) for x in keys]
                 fields = {"node": batch["node"], "comp": batch["comp"], "n": [len(x) for x in held]}

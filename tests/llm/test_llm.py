@@ -258,6 +258,22 @@ def test_cells_let_all_components_meet(spark, size):
     assert set(at["key"]) == {1}
 
 
+def test_buckets_keep_rows_at_batch_ends(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 4)
+    try:
+        found = neardup.shared_buckets(spark.createDataFrame([(k // 2, k) for k in range(160)], "key long, node long")).toPandas()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(found["node"]) == list(range(160))
+
+
+def test_shingle_hashes_have_64_bits():
+    members = neardup.shingle_set(" ".join(map(str, range(1000))), 2)
+    assert int(members.max()) >> 63 == 1 and (neardup.from_bytes(neardup.to_bytes(members)) == members).all()
+
+
 def test_deduplicated_keeps_one_of_each(spark):
     texts = ["a b c d e f g", "a b c d e f g", "other text of its own here", None, "", "other text of its own here"]
     docs = docs_of(spark, texts, [5, 3, 7, 8, 9, 7]).withColumn("here_x", F.lit(1))
