@@ -1,8 +1,8 @@
 """License scans by a positional rare-token index, by DataFrame functions only.
 
 Templates (short notices and the opening of full texts) are indexed by word: posting (template, position). Document
-frequencies of the templates' words are counted over all documents. In a file, the licence words of highest IDF are
-looked up; each occurrence at p with a posting at q votes for the template lying at p - q, and templates whose votes
+frequencies of the templates' words are counted over all documents. In a file, each template's own words of highest IDF
+are looked up; each occurrence at p with a posting at q votes for the template lying at p - q, and templates whose votes
 agree on an offset are verified by their mandatory key phrase at that place. Phrases that name a licence family outright
 are found besides, wherever their words stand next to each other.
 
@@ -75,8 +75,8 @@ def _literal_map(entries: dict[str, Column]) -> Column:
 def scan(docs: DataFrame, idf: dict[str, float], rare: int = 8, templates=TEMPLATES, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, base places, labels and score in the struct column ``license_scan``.
 
-    ``rare``: so many of a file's licence words of highest IDF are looked up. Templates' words all count as votes'
-    share; a template is verified when at least half of its looked-up words agree on an offset.
+    ``rare``: so many of each template's words in the file are looked up, those of highest IDF. A template is verified
+    when at least half as many votes as it has looked-up words agree on an offset.
     """
     postings: dict[str, list[tuple[int, int]]] = {}
     for k, (_, notice, _) in enumerate(templates):
@@ -89,6 +89,7 @@ def scan(docs: DataFrame, idf: dict[str, float], rare: int = 8, templates=TEMPLA
     pair = "array<struct<t:int,q:int>>"
     table = _literal_map({w: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in p]).cast(pair) for w, p in postings.items()})
     ranks = _literal_map({w: F.lit(r) for w, r in rank.items()})
+    own = F.array(*[F.array(*[F.lit(r) for r in sorted(rank[w] for w in set(n.split()))]) for _, n, _ in templates])
     sizes = F.array(*[F.lit(len(set(n.split()))) for _, n, _ in templates])
     lengths = F.array(*[F.lit(len(n.split())) for _, n, _ in templates])
     phrases = F.array(*[F.lit(f" {p} ") for _, _, p in templates])
@@ -111,12 +112,14 @@ def scan(docs: DataFrame, idf: dict[str, float], rare: int = 8, templates=TEMPLA
         seen = F.filter(F.transform(words, lambda w, i: F.struct(F.element_at(ranks, w).alias("r"), i.alias("i"), w.alias("w"))), lambda x: x["r"].isNotNull())
 
         def look_up(seen: Column) -> Column:
-            chosen = F.slice(F.array_sort(F.array_distinct(F.transform(seen, lambda x: x["r"]))), 1, rare)
-            return bound(chosen, lambda top: votes(seen, top))
+            here = F.array_distinct(F.transform(seen, lambda x: x["r"]))
+            # by template: the last rank that is looked up, and how many are
+            chosen = bound(here, lambda h: F.transform(own, lambda o: F.slice(F.array_intersect(o, h), 1, rare)))
+            return bound(F.transform(chosen, lambda c: F.struct(F.coalesce(F.array_max(c), F.lit(-1)).alias("last"), F.size(c).alias("n"))), lambda top: votes(seen, top))
 
         def votes(seen: Column, top: Column) -> Column:
-            kept = F.filter(seen, lambda x: F.array_contains(top, x["r"]))
-            each = F.flatten(F.transform(kept, lambda x: F.transform(F.element_at(table, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["q"]).alias("off")))))
+            postings_of = lambda x: F.filter(F.element_at(table, x["w"]), lambda p: x["r"] <= F.element_at(top, p["t"] + 1)["last"])
+            each = F.flatten(F.transform(seen, lambda x: F.transform(postings_of(x), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["q"]).alias("off")))))
             start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("off"), F.lit(0).alias("n"), F.array().cast(f"array<{vote}>").alias("done"))
             close = lambda s: F.when(s["n"] >= 2, F.array_append(s["done"], F.struct(s["t"].alias("t"), s["off"].alias("off"), s["n"].alias("n")))).otherwise(s["done"])
             run = F.aggregate(
@@ -128,16 +131,16 @@ def scan(docs: DataFrame, idf: dict[str, float], rare: int = 8, templates=TEMPLA
                 ).otherwise(F.struct(x["t"].alias("t"), x["off"].alias("off"), F.lit(1).alias("n"), close(s).alias("done"))),
                 close,
             )
-            return bound(run, lambda found: F.transform(F.filter(found, verified), lambda v: F.struct(F.element_at(labels, v["t"] + 1).alias("label"), share(v).alias("share"))))
+            return bound(run, lambda found: F.transform(F.filter(found, lambda v: verified(v, top)), lambda v: F.struct(F.element_at(labels, v["t"] + 1).alias("label"), share(v).alias("share"))))
 
         def share(v: Column) -> Column:
             return F.least(F.lit(1.0), v["n"].cast("double") / F.least(F.element_at(sizes, v["t"] + 1), F.lit(rare)))
 
-        def verified(v: Column) -> Column:
+        def verified(v: Column, top: Column) -> Column:
             # an offset may lie before the text's start, where a notice is cut
             begin = F.greatest(v["off"], F.lit(0))
             near = F.concat(F.lit(" "), F.array_join(F.slice(words, begin + 1, F.element_at(lengths, v["t"] + 1)), " "), F.lit(" "))
-            return (2 * v["n"] >= F.least(F.element_at(sizes, v["t"] + 1), F.lit(rare))) & F.contains(near, F.element_at(phrases, v["t"] + 1))
+            return (2 * v["n"] >= F.element_at(top, v["t"] + 1)["n"]) & F.contains(near, F.element_at(phrases, v["t"] + 1))
 
         return bound(seen, look_up)
 

@@ -474,6 +474,19 @@ def test_license_places(spark, sample):
     assert got[n - 2]["labels"] == [] and got[n - 1]["labels"] == ["all-rights"]
 
 
+def test_license_scan_finds_every_notice(spark):
+    prose = " ".join(w for w in licenses.vocabulary() for _ in range(2))
+    sets = [(x,) for x in licenses.TEMPLATES] + list(itertools.permutations(licenses.TEMPLATES, 2)) + list(zip(licenses.TEMPLATES, licenses.TEMPLATES[5:], licenses.TEMPLATES[9:], strict=False))
+    texts = [" and so on ".join(x[1] for x in held) for held in sets] + [f"{prose} and {x[1]}" for x in licenses.TEMPLATES]
+    docs = docs_of(spark, texts)
+    got = {r["doc_id"]: r["license_scan"]["labels"] for r in licenses.scan(docs, licenses.inverse_frequencies(docs)).collect()}
+    for k, held in enumerate(sets + [(x,) for x in licenses.TEMPLATES]):
+        assert {x[0] for x in held} <= set(got[k]), texts[k]
+    # no label without its key phrase
+    for k, text in enumerate(texts):
+        assert all(x[2] in text for x in licenses.TEMPLATES if x[0] in got[k])
+
+
 def test_warc_records(spark, sf):
     pages = spark.createDataFrame([(1, "http://a/?x=1", "<html lang='en'><head><title>T &amp; x</title><script>bad()</script></head><body><p>One <b>two</b></p><div>three<br>four</div><a href='/l'>link</a></body></html>"), (2, None, None), (3, "http://b", "<p>open<![bad"), (3, "http://b", "<p>open<![bad")], "page_id long, url string, html string")
     records = warc.responses(pages)
