@@ -79,6 +79,13 @@ class _Page(HTMLParser):
         self.hidden = 0
         self.in_title = False
 
+    def parse_marked_section(self, i, report=1):
+        """A malformed section is a bogus comment up to the next ``>``, as browsers read it."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self.hidden += 1

@@ -487,6 +487,12 @@ def test_license_scan_finds_every_notice(spark):
         assert all(x[2] in text for x in licenses.TEMPLATES if x[0] in got[k])
 
 
+@pytest.mark.parametrize("section", ["<![bad]>", "<![ x>", "<![bad]]>", "<![if x]>", "<![CDATA[ x ]]>"])
+def test_warc_text_behind_a_malformed_section(section):
+    text, page = warc.extract(f"<p>one</p>{section}<title>t</title><p>two <a href='/l'>link</a></p>")
+    assert text.split() == ["one", "two", "link"] and page["title"] == "t" and page["links"] == ["/l"]
+
+
 def test_warc_records(spark, sf):
     pages = spark.createDataFrame([(1, "http://a/?x=1", "<html lang='en'><head><title>T &amp; x</title><script>bad()</script></head><body><p>One <b>two</b></p><div>three<br>four</div><a href='/l'>link</a></body></html>"), (2, None, None), (3, "http://b", "<p>open<![bad"), (3, "http://b", "<p>open<![bad")], "page_id long, url string, html string")
     records = warc.responses(pages)
