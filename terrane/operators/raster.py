@@ -108,30 +108,50 @@ def _per_tile(grid: DataFrame, tile: int, halo: int, work) -> DataFrame:
     return with_halo(grid, tile, halo).groupBy("tile_row", "tile_col").applyInPandas(run, "row long, col long, value double")
 
 
-def distance_to_high(grid: DataFrame, above: float, resolution: float, tile: int = 128, halo: int = 64) -> DataFrame:
-    """Distance to the nearest cell with a value above the threshold, exact up to ``halo`` cells, which is the greatest
-    distance given: a one-dimensional pass by columns, then the lower envelope along the rows."""
-
-    def work(a: np.ndarray) -> np.ndarray:
-        high = np.nan_to_num(a, nan=-np.inf) > above
-        rows = np.arange(a.shape[0], dtype=float)
-        far = float(halo)
-        column = np.full(a.shape, far)
-        last = np.full(a.shape[1], -np.inf)
-        for r in rows.astype(int):
-            last = np.where(high[r], r, last)
-            column[r] = np.minimum(column[r], r - last)
-        last = np.full(a.shape[1], np.inf)
-        for r in rows.astype(int)[::-1]:
-            last = np.where(high[r], r, last)
-            column[r] = np.minimum(column[r], last - r)
-        squared, cols = column**2, np.arange(a.shape[1], dtype=float)
-        out = np.empty_like(squared)
-        for c in range(a.shape[1]):
-            out[:, c] = (squared + (cols - c) ** 2).min(axis=1)
-        return np.minimum(np.sqrt(out), far) * resolution
-
-    return _per_tile(grid, tile, halo, work)
+def _envelope(sources: np.ndarray, squared: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place the least (place - source) ** 2 + squared; sources and places ascend."""
+    hull, cuts = [], []
+    for k in range(len(sources)):
+        cut = -np.inf
+        while hull:
+            j = hull[-1]
+            cut = (squared[k] + sources[k] ** 2 - squared[j] - sources[j] ** 2) / (2 * (sources[k] - sources[j]))
+            if cut > cuts[-1]:
+                break
+            hull.pop()
+            cuts.pop()
+            cut = -np.inf
+        hull.append(k)
+        cuts.append(cut)
+    best = np.array(hull)[np.maximum(np.searchsorted(cuts, at, side="right") - 1, 0)]
+    return (at - sources[best]) ** 2 + squared[best]
+
+
+def distance_to_high(grid: DataFrame, above: float, resolution: float, tile: int | None = None, halo: int | None = None) -> DataFrame:
+    """Distance to the nearest cell with a value above the threshold, at any distance and infinite where there is none:
+    a pass by columns, then the lower envelope along the rows, each over the whole grid. A ``halo`` (in cells), where
+    given, is the greatest distance given; ``tile`` is no longer read."""
+    there = np.array(sorted(r["row"] for r in grid.select("row").distinct().collect()), np.int64)
+
+    def column(part: pd.DataFrame) -> pd.DataFrame:
+        high = np.sort(part["row"].to_numpy())
+        at = np.searchsorted(high, there)
+        gap = np.minimum(np.abs(there - high[np.maximum(at - 1, 0)]), np.abs(high[np.minimum(at, len(high) - 1)] - there))
+        return pd.DataFrame({"row": there, "col": int(part["col"].iloc[0]), "gap": gap})
+
+    def along(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("col")
+        source, own = part[part["gap"].notna()], part[part["gap"].isna()]
+        if not len(source):
+            return pd.DataFrame({"row": own["row"], "col": own["col"], "value": np.inf})
+        found = _envelope(source["col"].to_numpy(float), source["gap"].to_numpy(float) ** 2, own["col"].to_numpy(float))
+        return pd.DataFrame({"row": own["row"], "col": own["col"], "value": np.sqrt(found)})
+
+    gaps = grid.where(F.col("value") > above).select("row", "col").groupBy("col").applyInPandas(column, "row long, col long, gap long")
+    cells = grid.select("row", "col", F.lit(None).cast("long").alias("gap")).unionByName(gaps)
+    out = cells.groupBy("row").applyInPandas(along, "row long, col long, value double")
+    least = F.col("value") if halo is None else F.least(F.col("value"), F.lit(float(halo)))
+    return out.select("row", "col", (least * resolution).alias("value"))
 
 
 def less_gaussian(grid: DataFrame, sigma: float, tile: int = 128) -> DataFrame:

@@ -60,7 +60,7 @@ def sample_along(spark, d):
 
 @register("distance_to_high")
 def distance_to_high(spark, d):
-    return raster.distance_to_high(t.grid(spark, d), 49.0, 30.0, tile=16, halo=16)
+    return raster.distance_to_high(t.grid(spark, d), 49.0, 30.0)
 
 
 @register("less_gaussian")

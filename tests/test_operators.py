@@ -109,6 +109,17 @@ def test_decimation_keeps_ends_and_spacing(spark):
     assert got == (kept if kept[-1] == line[-1] else [*kept, line[-1]])
 
 
+def test_distance_to_high_has_no_greatest_distance(spark):
+    high = [(0, 0), (3, 40), (290, 7), (291, 7), (150, 150)]
+    cells = [(r, c, float((r, c) in high)) for r in range(0, 300, 1) for c in range(0, 200, 7)] + [(r, c, 1.0) for r, c in high if c % 7]
+    grid = spark.createDataFrame(cells, "row long, col long, value double")
+    got = {(x["row"], x["col"]): x["value"] for x in raster.distance_to_high(grid, 0.5, 30.0).collect()}
+    assert len(got) == len(cells) and max(got.values()) > 64 * 30.0
+    for (r, c), v in got.items():
+        assert v == pytest.approx(30.0 * min(((r - y) ** 2 + (c - x) ** 2) ** 0.5 for y, x in high))
+    assert {x["value"] for x in raster.distance_to_high(grid, 5.0, 30.0).collect()} == {float("inf")}
+
+
 def test_distance_to_high_matches_brute_force(spark):
     r = random.Random(9)
     cells = [(i, j, float(r.randrange(100))) for i in range(20) for j in range(20)]
