@@ -33,3 +33,8 @@ def test_oracle(spark, duck, sf, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, sf, name):
     assert catalog.queries()[name](spark, sf).count() > 0
+
+
+def test_stitched_walks_cover_every_trip(spark, sf):
+    found = {r["trip"] for r in catalog.queries()["stitched_walks"](spark, sf).select("trip").distinct().collect()}
+    assert found == {r["o_custkey"] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().collect()}
