@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    free = (f"terrane_{k}" for k in range(len(taken) + n))
+    return [c for c in free if c not in taken][:n]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a private temporary one only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
