@@ -6,15 +6,18 @@
    the pigeonhole principle, a chunk with at most ``errors`` = 1 differing symbols; so each chunk is looked up with each
    of its symbols left out in turn, and every pair under the threshold shares a key. With 13 chunks of 5 symbols that
    is 25 of 65 symbols, where pairs of similarity 0.8 differ in 13 on average.
-3. A bucket (the classes with one key) may hold any share of the rows: buckets are ranges of the sorted (key, order)
-   pairs, cut anywhere, and each class meets the few that precede it in its bucket, across cuts as well. So the pairs
-   grow with the rows, never with their square. Rounds with another random order follow, which pair only classes that
-   aren't connected yet, until a round finds no link (and at most ``rounds``). Classes in a bucket that was too large for
-   these rounds to compare all its pairs, and that still holds several components, then go through an exact prefix join:
-   sets of similarity 0.8 share one of the rarest fifth of their shingles, so that a template's common shingles make no
-   pairs. So each pair with a common key is compared, connected or known to be less similar.
-4. Pairs whose signatures differ in more than the threshold are dropped; the others are confirmed on the full sets.
-5. Components of the confirmed links by hooking and contraction; every step writes its tables to the shared folder.
+3. A bucket (the classes with one key) may hold any share of the rows, so its pairs are never all made. Classes are
+   ranked by how crowded their buckets are, which puts the middle of a group of near copies first; in a bucket of up to
+   ``reach`` + 1 classes every pair is a candidate, in a larger one each class meets the first ranked only. The first is
+   the same one in most of a group's buckets, so distinct candidates grow with the classes.
+4. Candidates whose signatures differ in more than the threshold are dropped; the others are confirmed on the full sets,
+   first the two closest of each class, then those that these links don't connect. Components follow by hooking and
+   contraction; every step writes its tables to the shared folder.
+5. Classes of a larger bucket that still holds several components go through an exact positional prefix join: of two
+   sets of the needed similarity one of the rarest fifth of their shingles is common, at places that leave room for the
+   overlap that is needed. A template's common shingles come last in that order and so make no candidates; a frequent
+   key is compared in blocks, its largest component never with itself. So each pair with a common key is compared,
+   connected or known to be less similar, whatever the size of its bucket.
 
 Defined cases: null, empty or blank texts have an empty set and are linked with nothing; a single word is one shingle;
 rows that repeat are copies of each other; a null id takes part and never names a component unless it is alone; other
@@ -30,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.session import materialize
+from terrane.session import fresh_names, materialize
 
 _BLANK = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SETS = "uid long, doc_id long, text_hash long, n_shingles long, set_key binary, signature binary, members binary"
@@ -132,7 +135,8 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
-    """The rows whose key occurs more than once (and a few at the partitions' ends, which may or may not)."""
+    """(key, node, n) of the rows whose key occurs more than once (and a few at the partitions' ends, which may or may
+    not); n is about the bucket's size, as far as it was seen at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, first, known = None, True, False
@@ -144,6 +148,8 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
                 continue
             same = np.zeros(len(key), bool)
             same[1:] = key[1:] == key[:-1]
+            starts = np.flatnonzero(~same)
+            times = np.diff(np.append(starts, len(key)))
             keep = same.copy()
             keep[:-1] |= same[1:]
             # the row held back may have shared its key with rows that are given already
@@ -151,66 +157,29 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
             if first:
                 keep[key == key[0]] = True
                 first = False
-            last = np.flatnonzero(key != key[-1])
-            cut = int(last[-1]) + 1 if len(last) else 0
             # of the last key only one row is held back: the others are known to be shared
-            keep[cut:-1] = True
-            yield batch[:-1][keep[:-1]]
+            keep[starts[-1] : -1] = True
+            yield batch.assign(n=np.repeat(times, times))[:-1][keep[:-1]]
             held, known = batch[-1:], bool(keep[-1])
         if held is not None:
-            yield held
+            yield held.assign(n=1)
 
-    return keys.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInPandas(run, "key long, node long")
+    return keys.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInPandas(run, "key long, node long, n long")
 
 
-def neighbours(buckets: DataFrame, seed: int, reach: int) -> DataFrame:
-    """Pairs of classes near each other in the buckets' order for ``seed``; ``comp`` (if any) differs within a pair.
-
-    Rows are dealt out by ranges of (key, order); a task also gives its first and last ``reach`` rows, so that pairs
-    across the cuts are made from them afterwards.
-    """
-    has_comp = "comp" in buckets.columns
-    rows = buckets.withColumn("comp", F.col("comp") if has_comp else F.col("node")).withColumn("turn", F.xxhash64(F.lit(seed), "node", F.pmod("key", F.lit(4))))
-
-    def pairs(key: np.ndarray, node: np.ndarray, comp: np.ndarray) -> pd.DataFrame:
-        out = []
-        for d in range(1, reach + 1):
-            at = np.flatnonzero((key[d:] == key[:-d]) & (comp[d:] != comp[:-d]))
-            a, b = node[at], node[at + d]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, tail, head = TaskContext.get().partitionId(), None, 0
-        edge = lambda rows, side: rows[["key", "node", "comp", "turn"]].assign(a=part, b=side)
-        for batch in batches:
-            if not len(batch):
-                continue
-            if head < reach:
-                yield edge(batch[: reach - head], 0)
-                head += len(batch[: reach - head])
-            if tail is not None:
-                batch = pd.concat([tail, batch], ignore_index=True)
-            found = pairs(*(batch[c].to_numpy() for c in ("key", "node", "comp")))
-            yield found.assign(key=None, node=None, comp=None, turn=None)
-            tail = batch[-reach:]
-        if tail is not None:
-            yield edge(tail, 1)
-
-    def join_ends(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["key", "node"]).sort_values(["turn", "node"])
-        return pairs(*(group[c].to_numpy() for c in ("key", "node", "comp")))
-
-    spread = rows.repartitionByRange("key", "turn", "node").sortWithinPartitions("key", "turn", "node")
-    found = spread.select("key", "node", "comp", "turn").mapInPandas(run, "a long, b long, key long, node long, comp long, turn long")
-    found = materialize(found, "neighbours")
-    ends = found.where("key IS NOT NULL")
-    # a key's rows at the cuts: at most 2 * reach for each task over which the key extends
-    across = ends.groupBy("key").applyInPandas(join_ends, "a long, b long")
-    return found.where("key IS NULL").select("a", "b").unionByName(across).distinct()
+def candidates(buckets: DataFrame, reach: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes: all of buckets of up to ``reach`` + 1, else each with the first ranked, b."""
+    weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "node"))
+    first = buckets.join(weight, "node").withColumn("turn", turn).where(F.col("turn") <= reach + 2)
+    first = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("turn", "node"))).alias("first"))
+    heads = F.transform("first", lambda x: x["node"])
+    heads = F.when(F.size("first") > reach + 1, F.slice(heads, 1, 1)).otherwise(heads)
+    first = materialize(first.select("key", heads.alias("heads")), "heads")
+    # of the ranked ones each meets those before it
+    place = F.array_position("heads", F.col("node")).cast("int")
+    before = F.when(place > 0, F.expr("slice(heads, 1, int(array_position(heads, node)) - 1)")).otherwise(F.col("heads"))
+    return buckets.select("key", "node").join(first, "key").select(F.col("node").alias("a"), F.explode(before).alias("b")).distinct()
 
 
 def close_pairs(pairs: DataFrame, classes: DataFrame, most: int) -> DataFrame:
@@ -274,19 +243,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInPandas(run, "a long, b long")
 
 
-def open_classes(buckets: DataFrame, roots: DataFrame | None, reach: int) -> DataFrame:
-    """(node, comp) of the classes in buckets of several components that neighbours within ``reach`` don't cover."""
-    if roots is None:
-        held = buckets.withColumn("comp", F.col("node"))
-    else:
-        held = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+def open_classes(buckets: DataFrame, roots: DataFrame, reach: int) -> DataFrame:
+    """(node, comp) of the classes in larger buckets of several components."""
+    held = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     large = held.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    large = large.where((F.col("n") > reach + 1) & (F.col("low") != F.col("high"))).select("key")
+    large = materialize(large.where((F.col("n") > reach + 1) & (F.col("low") != F.col("high"))).select("key"), "open-keys")
     return held.join(large, "key", "left_semi").select("node", "comp").distinct()
 
 
 _SLOTS = 1 << 20
-_BLOCK = 256
+_BLOCK = 1024
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
@@ -315,7 +281,7 @@ def rarest(members: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 
 def rare_keys(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(key, node, comp, n) for each of the rarest members of ``sets`` (node, comp, members)."""
+    """(key, node, comp, n, place) for each of the rarest members of ``sets`` (node, comp, members), in their order."""
     shared = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,9 +291,10 @@ def rare_keys(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 keys = [rarest(x, shared.value, percent) for x in held]
                 times = [len(x) for x in keys]
                 fields = {"node": batch["node"], "comp": batch["comp"], "n": [len(x) for x in held]}
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64)} | {c: np.repeat(np.asarray(v, np.int64), times) for c, v in fields.items()})
+                out = {"key": np.concatenate(keys).view(np.int64)} | {c: np.repeat(np.asarray(v, np.int64), times) for c, v in fields.items()}
+                yield pd.DataFrame(out | {"place": np.concatenate([np.arange(t) for t in times])})
 
-    return sets.select("node", "comp", "members").mapInPandas(run, "key long, node long, comp long, n long")
+    return sets.select("node", "comp", "members").mapInPandas(run, "key long, node long, comp long, n long, place long")
 
 
 def cells(keys: DataFrame) -> DataFrame:
@@ -338,7 +305,7 @@ def cells(keys: DataFrame) -> DataFrame:
     """
     by_comp = keys.groupBy("key", "comp").agg(F.count("*").alias("k"))
     stats = by_comp.groupBy("key").agg(F.sum("k").alias("rows"), F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
-    stats = stats.where("comps > 1").select("key", "rows", F.col("top.k").alias("k"), F.col("top.comp").alias("top"))
+    stats = materialize(stats.where("comps > 1").select("key", "rows", F.col("top.k").alias("k"), F.col("top.comp").alias("top")), "rare-stats")
     blocks = lambda n: F.ceil(n / _BLOCK).cast("long")
     wide = keys.join(stats, "key").withColumns({"side": (F.col("comp") != F.col("top")).cast("long"), "g0": blocks(F.col("k")), "g1": blocks(F.col("rows") - F.col("k"))})
     wide = wide.withColumn("own", F.pmod(F.xxhash64(F.lit(11), "node"), F.when(F.col("side") == 0, F.col("g0")).otherwise(F.col("g1"))))
@@ -349,30 +316,31 @@ def cells(keys: DataFrame) -> DataFrame:
     )
     zero = F.lit(0)
     at = F.explode(F.when(F.col("rows") <= _BLOCK, F.array(cell(2, zero, zero))).otherwise(mixed)).alias("at")
-    return wide.select("key", "node", "comp", "n", "side", "own", at).select("key", "at.kind", "at.i", "at.j", "node", "comp", "n", "side", "own")
+    return wide.select("key", "node", "comp", "n", "place", "side", "own", at).select("key", "at.kind", "at.i", "at.j", "node", "comp", "n", "place", "side", "own")
 
 
-def rare_pairs(keys: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
-    """The pairs (a, b) of different components that share a key, fit in size and differ in at most ``most`` symbols."""
+def rare_pairs(keys: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components that share a key and may be similar by their sizes and the key's places."""
 
-    def compared(group: pd.DataFrame, signed: np.ndarray) -> np.ndarray:
-        node, comp, n, side, own = (group[c].to_numpy() for c in ("node", "comp", "n", "side", "own"))
+    def compared(group: pd.DataFrame) -> np.ndarray:
+        node, comp, n, place, side, own = (group[c].to_numpy() for c in ("node", "comp", "n", "place", "side", "own"))
         kind, i, j = (int(group[c].iloc[0]) for c in ("kind", "i", "j"))
-        fits = comp[:, None] != comp[None, :]
-        fits &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        # at the first common key no more than what follows it in both sets can be common
+        left = n - place
+        fits = np.minimum(left[:, None], left[None, :]) * (100 + percent) >= percent * (n[:, None] + n[None, :])
+        fits &= comp[:, None] != comp[None, :]
         if kind == 0:
             fits &= side[:, None] != side[None, :]
         elif kind == 1 and i != j:
             fits &= own[:, None] != own[None, :]
         x, y = np.nonzero(np.triu(fits, 1))
-        near = (signed[x] != signed[y]).sum(axis=1) <= most
-        a, b = node[x[near]], node[y[near]]
+        fit = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+        a, b = node[x[fit]], node[y[fit]]
         return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(rows: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
-            signed = np.frombuffer(b"".join(rows["signature"].map(bytes)), np.uint8).reshape(-1, SYMBOLS)
-            out = [compared(rows.iloc[s:e], signed[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True) if e - s > 1]
+            out = [compared(rows.iloc[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True) if e - s > 1]
             pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
             return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -388,19 +356,18 @@ def rare_pairs(keys: DataFrame, classes: DataFrame, percent: int, most: int) ->
         if held is not None:
             yield found(held, np.array([0, len(held)]))
 
-    dealt = cells(keys).join(classes.select("node", "signature"), "node")
     where = ("key", "kind", "i", "j")
-    return dealt.repartition(*where).sortWithinPartitions(*where).mapInPandas(run, "a long, b long").distinct()
+    return cells(keys).repartition(*where).sortWithinPartitions(*where).mapInPandas(run, "a long, b long").distinct()
 
 
-def rest_links(buckets: DataFrame, roots: DataFrame | None, sets: DataFrame, classes: DataFrame, reach: int, percent: int, most: int) -> DataFrame | None:
+def rest_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame, reach: int, percent: int) -> DataFrame | None:
     """The confirmed links of the pairs in large buckets that are not connected yet; None where there are none."""
     todo = materialize(open_classes(buckets, roots, reach), "open")
     if todo.isEmpty():
         return None
     held = _written(needed_sets(todo.select(F.col("node").alias("a"), F.col("node").alias("b")), sets), "open-sets")
     keys = materialize(rare_keys(held.join(todo, "node"), shingle_counts(held), percent), "rare-keys")
-    pairs = materialize(rare_pairs(keys, classes, percent, most), "rare-pairs")
+    pairs = materialize(rare_pairs(keys, percent), "rare-pairs")
     return _written(confirmed(pairs, sets, percent), "links-rest")
 
 
@@ -442,56 +409,39 @@ def _written(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
         conf.set(key, before)
 
 
-def near_duplicates(
-    docs: DataFrame,
-    shingle: int = 5,
-    percent: int = 80,
-    reach: int = 3,
-    rounds: int = 3,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: uid, doc_id, text_hash, n_shingles, component_id (least id of its group) and kept.
 
     ``kept`` holds for one row of each group: the first with the least id.
     """
     most = CHUNKS * 2 - 1
     sets = _written(shingle_sets(docs, shingle, id_col, text_col), "shingle-sets")
-    classes = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.first("signature").alias("signature"))
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "uid"))
+    classes = sets.where("n_shingles > 0").groupBy("set_key")
+    classes = classes.agg(F.min("uid").alias("node"), F.min(named).alias("first"), F.first("signature").alias("signature"))
     classes = materialize(classes, "classes")
     buckets = materialize(shared_buckets(chunk_keys(classes)), "buckets")
-    links, roots = None, None
-    for turn in range(rounds):
-        held = buckets
-        if roots is not None:
-            held = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-        pairs = materialize(close_pairs(neighbours(held, turn, reach), classes, most), f"pairs-{turn}")
-        if roots is None:
-            # most classes hang together by their closest pairs; the others are confirmed only where those don't connect
-            rank = Window.partitionBy("a").orderBy("apart", "b")
-            best = pairs.withColumn("rank", F.row_number().over(rank)).where("rank <= 2")
-            links = _written(confirmed(best, sets, percent), "links-best")
+    pairs = materialize(close_pairs(materialize(candidates(buckets, reach), "candidates"), classes, most), "pairs")
+    # most classes hang together by their closest pairs; the others are confirmed only where those don't connect
+    rank = Window.partitionBy("a").orderBy("apart", "b")
+    best = pairs.withColumn("rank", F.row_number().over(rank)).where("rank <= 2").select("a", "b")
+    best = materialize(best, "pairs-best")
+    links = _written(confirmed(best, sets, percent), "links-best")
+    roots = components(links)
+    rest = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    for found in (_written(confirmed(materialize(rest, "pairs-rest"), sets, percent), "links-more"), None):
+        found = found if found is not None else rest_links(buckets, roots, sets, reach, percent)
+        if found is not None and not found.isEmpty():
+            links = links.unionByName(found)
             roots = components(links)
-            label = roots.withColumnRenamed("root", "r")
-            pairs = pairs.join(label.toDF("a", "ra"), "a", "left").join(label.toDF("b", "rb"), "b", "left")
-            pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "apart")
-            pairs = materialize(pairs.join(best.select("a", "b"), ["a", "b"], "left_anti"), "pairs-rest")
-        found = _written(confirmed(pairs, sets, percent), f"links-{turn}")
-        if found.isEmpty():
-            if turn:
-                break
-            continue
-        links = links.unionByName(found)
-        roots = components(links)
-    found = rest_links(buckets, roots, sets, classes, reach, percent, most)
-    if found is not None and not found.isEmpty():
-        roots = components(links.unionByName(found))
-    named = classes.select("set_key", "node", "least_id").join(roots, "node", "left").select("set_key", "least_id", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("name"))
-    named = named.join(names, "root").select("set_key", "root", "name")
-    first = sets.where("n_shingles > 0").select("uid", "doc_id", "text_hash", "n_shingles", "set_key").join(named, "set_key")
-    firsts = first.where(F.col("doc_id").eqNullSafe(F.col("name"))).groupBy("root").agg(F.min("uid").alias("first_uid"))
-    out = first.join(firsts, "root").select("uid", "doc_id", "text_hash", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"), (F.col("uid") == F.col("first_uid")).alias("kept"))
+    unnamed = F.struct(F.lit(None).cast("long").alias("doc_id"), F.col("node").alias("uid"))
+    row = F.struct(F.col("first").isNull().alias("last"), F.coalesce("first", unnamed).alias("row"))
+    held = materialize(classes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"), row.alias("row")), "rooted")
+    names = materialize(held.groupBy("root").agg(F.min("row").alias("row")).select("root", "row.row"), "names")
+    held = held.select("set_key", "root").join(names, "root").select("set_key", F.col("row.doc_id").alias("name"), F.col("row.uid").alias("first_uid"))
+    rows = sets.where("n_shingles > 0").select("uid", "doc_id", "text_hash", "n_shingles", "set_key").join(held, "set_key")
+    out = rows.select("uid", "doc_id", "text_hash", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"), (F.col("uid") == F.col("first_uid")).alias("kept"))
     alone = sets.where("n_shingles = 0").select("uid", "doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
 
@@ -499,13 +449,14 @@ def near_duplicates(
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay, one of each group, with the columns of ``docs``.
 
-    Of rows that are equal in id and text one stays, whichever.
+    Of rows that are equal in id and text one stays, whichever; rows without words all stay. Columns of any name pass.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    id_, hashed, alone, turn = fresh_names(docs, 4)
     stay = found.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
-    id_, hashed = F.col(id_col).cast("long"), F.xxhash64(text_col)
-    here = docs.withColumns({"here_id": id_, "here_hash": hashed})
-    held = here.join(stay, here["here_id"].eqNullSafe(stay["stay_id"]) & (here["here_hash"] == stay["stay_hash"]), "left_semi")
-    empty = F.col("here_hash").isNull() | (F.length(F.trim(text_col)) == 0)
-    turn = F.row_number().over(Window.partitionBy("here_id", "here_hash").orderBy(F.lit(0)))
-    return held.withColumn("here_turn", turn).where((F.col("here_turn") == 1) | empty).select(*docs.columns)
+    empty = F.col(text_col).isNull() | F.col(text_col).rlike(r"\A[\x20\x09-\x0D]*\z")
+    here = docs.withColumns({id_: F.col(id_col).cast("long"), hashed: F.xxhash64(text_col), alone: F.when(empty, F.monotonically_increasing_id())})
+    stay = stay.toDF(*fresh_names(here, 2))
+    held = here.join(stay, here[id_].eqNullSafe(stay[stay.columns[0]]) & (here[hashed] == stay[stay.columns[1]]), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_, hashed, alone).orderBy(alone))
+    return held.withColumn(turn, first).where(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -248,13 +248,15 @@ def test_near_duplicates_behind_a_template(spark):
     assert got == {k: k - k % 2 if k < 300 else k for k in range(len(texts))}
 
 
-@pytest.mark.parametrize("size", [5, 700])
+@pytest.mark.parametrize("size", [5, 2500])
 def test_cells_let_all_components_meet(spark, size):
-    rows = [(1, k, 0 if k % 3 else k, 10) for k in range(size)] + [(2, 5, 5, 10), (2, 7, 5, 10)]
-    at = neardup.cells(spark.createDataFrame(rows, "key long, node long, comp long, n long")).toPandas()
-    met = {(x, y) for _, g in at.groupby(["key", "kind", "i", "j"]) for x, y in itertools.combinations(sorted(g["node"]), 2)}
-    comp = {k: c for key, k, c, _ in rows if key == 1}
-    assert all((x, y) in met for x, y in itertools.combinations(range(size), 2) if comp[x] != comp[y])
+    rows = [(1, k, 0 if k % 3 else k, 10, 0) for k in range(size)] + [(2, 5, 5, 10, 0), (2, 7, 5, 10, 0)]
+    at = neardup.cells(spark.createDataFrame(rows, "key long, node long, comp long, n long, place long")).toPandas()
+    met = np.zeros((size, size), bool)
+    for _, g in at.groupby(["key", "kind", "i", "j"]):
+        met[np.ix_(g["node"], g["node"])] = True
+    comp = np.array([c for key, _, c, *_ in rows if key == 1])
+    assert met[comp[:, None] != comp[None, :]].all()
     assert set(at["key"]) == {1}
 
 
@@ -264,9 +266,21 @@ def test_buckets_keep_rows_at_batch_ends(spark):
     spark.conf.set(name, 4)
     try:
         found = neardup.shared_buckets(spark.createDataFrame([(k // 2, k) for k in range(160)], "key long, node long")).toPandas()
+        one = neardup.shared_buckets(spark.createDataFrame([(1, k) for k in range(30)] + [(2, 99)], "key long, node long").coalesce(1)).toPandas()
     finally:
         spark.conf.set(name, before)
     assert sorted(found["node"]) == list(range(160))
+    assert {*range(30)} <= {*one["node"]}
+
+
+def test_candidates_of_buckets(spark):
+    """All pairs of small buckets, one partner each in a large one, the same in both large ones."""
+    rows = [(1, k) for k in (1, 2, 3, 4)] + [(2, k) for k in range(10, 30)] + [(3, k) for k in range(15, 40)] + [(4, 50), (4, 51)]
+    found = {tuple(r) for r in neardup.candidates(spark.createDataFrame([(*r, 9) for r in rows], "key long, node long, n long"), 3).collect()}
+    small = {frozenset(p) for p in found if max(p) < 10 or min(p) >= 50}
+    assert small == {frozenset(p) for p in [*itertools.combinations((1, 2, 3, 4), 2), (50, 51)]}
+    large = {p for p in found if 10 <= min(p) < 50}
+    assert len(large) == len({a for a, _ in large}) == 29 and len({b for _, b in large}) == 1
 
 
 def test_shingle_hashes_have_64_bits():
@@ -276,13 +290,36 @@ def test_shingle_hashes_have_64_bits():
 
 def test_deduplicated_keeps_one_of_each(spark):
     texts = ["a b c d e f g", "a b c d e f g", "other text of its own here", None, "", "other text of its own here"]
-    docs = docs_of(spark, texts, [5, 3, 7, 8, 9, 7]).withColumn("here_x", F.lit(1))
+    docs = docs_of(spark, texts, [5, 3, 7, 8, 9, 7]).withColumns({"here_id": F.lit(1), "terrane_0": F.lit(2), "uid": F.lit(3), "a.b": F.lit(4)})
     got = neardup.deduplicated(docs)
-    assert got.columns == docs.columns
+    assert got.columns == docs.columns and {tuple(r)[-4:] for r in got.collect()} == {(1, 2, 3, 4)}
     assert sorted(r["doc_id"] for r in got.collect()) == [3, 7, 8, 9]
     assert neardup.deduplicated(docs.where("false")).count() == 0
 
 
+def test_deduplicated_keeps_rows_without_words(spark):
+    docs = docs_of(spark, [None, None, "\n\t", "\n\t", "", "", "x y", "x y", "x y"], [1, 1, 2, 2, 3, 3, None, None, 4])
+    got = [(r["doc_id"], r["text"]) for r in neardup.deduplicated(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(1, None)] * 2 + [(2, "\n\t")] * 2 + [(3, "")] * 2 + [(4, "x y")], key=repr)
+
+
+def test_near_copies_of_one_text(spark):
+    """A group of near copies, from light to heavy edits, beyond any bucket that is compared whole."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(400)}" for _ in range(140)]
+
+    def edited(n):
+        w = list(base)
+        for k in r.sample(range(len(w)), n):
+            w[k] = f"e{r.randrange(60)}"
+        return " ".join(w)
+
+    texts = [edited(r.randrange(0, 20)) for _ in range(700)]
+    expected, _ = brute_groups(texts, 2)
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs_of(spark, texts), shingle=2).collect()}
+    assert [got[k] for k in range(len(texts))] == expected and len(set(expected)) > 20
+
+
 def test_pigeonhole():
     """Signatures at the threshold share a key."""
     r = random.Random(8)
