@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,9 +23,11 @@ def fresh_names(df: DataFrame, n: int) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a private temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a private temporary one only on a local master where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="terrane-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -44,6 +47,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the files of tables made by ``materialize``, once nothing reads them any more."""
+    for df in frames:
+        if path := getattr(df, "terrane_path", None):
+            drop_path(df.sparkSession, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path, whatever file system it is on; a stopped session leaves it."""
     sc = spark.sparkContext
@@ -64,4 +74,6 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.terrane_path = path
+    return held
