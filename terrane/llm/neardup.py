@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.session import fresh_names, materialize
+from terrane.session import fresh_names, materialize, release
 
 _BLANK = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SETS = "uid long, doc_id long, text_hash long, n_shingles long, set_key binary, signature binary, members binary"
@@ -221,8 +221,8 @@ def needed_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sets.select(F.col("uid").alias("node"), "members", _bit(F.col("uid")).alias("bit")).mapInPandas(run, "node long, members binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * shared members >= percent * members of either."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+    """The pairs with 100 * shared members >= percent * members of either, as a table of its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -240,7 +240,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     held = _written(needed_sets(pairs, sets), "needed-sets")
     both = pairs.select("a", "b").join(held.toDF("a", "ma"), "a").join(held.toDF("b", "mb"), "b")
-    return both.mapInPandas(run, "a long, b long")
+    found = _written(both.mapInPandas(run, "a long, b long"), label)
+    release(held)
+    return found
 
 
 def open_classes(buckets: DataFrame, roots: DataFrame, reach: int) -> DataFrame:
@@ -252,7 +254,7 @@ def open_classes(buckets: DataFrame, roots: DataFrame, reach: int) -> DataFrame:
 
 
 _SLOTS = 1 << 20
-_BLOCK = 1024
+_BLOCK = 512
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
@@ -367,8 +369,10 @@ def rest_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame, reach: int
         return None
     held = _written(needed_sets(todo.select(F.col("node").alias("a"), F.col("node").alias("b")), sets), "open-sets")
     keys = materialize(rare_keys(held.join(todo, "node"), shingle_counts(held), percent), "rare-keys")
+    release(held)
     pairs = materialize(rare_pairs(keys, percent), "rare-pairs")
-    return _written(confirmed(pairs, sets, percent), "links-rest")
+    release(keys)
+    return confirmed(pairs, sets, percent, "links-rest")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -378,23 +382,19 @@ def components(links: DataFrame) -> DataFrame:
     to those before. The number of rounds grows with the logarithm of the nodes.
     """
     links = materialize(links.where("a <> b").distinct(), "links")
-    roots, stage = None, 0
+    roots = materialize(links.where("false").toDF("node", "root"), "roots")
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), f"hooks-{stage}")
+        hooks = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "hooks")
         # hooks point to smaller nodes; following them twice shortens the chains
-        for jump in range(2):
-            hooks = materialize(hooks.join(hooks.toDF("p", "q"), "p").select("a", F.col("q").alias("p")), f"jump-{stage}-{jump}")
-        if roots is None:
-            roots = hooks.toDF("node", "root")
-        else:
-            moved = hooks.toDF("root", "p")
-            roots = materialize(roots.join(moved, "root", "left").select("node", F.coalesce("p", "root").alias("root")), f"roots-{stage}")
-        links = links.join(hooks.toDF("a", "pa"), "a").join(hooks.toDF("b", "pb"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        links = materialize(links.where("a <> b").distinct(), f"links-{stage}")
-        stage += 1
-    if roots is None:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        twice = hooks.join(hooks.toDF("p", "q"), "p").select("a", F.col("q").alias("p"))
+        jumps = materialize(twice.join(hooks.toDF("p", "q"), "p").select("a", F.col("q").alias("p")), "jumps")
+        moved = roots.join(jumps.toDF("root", "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        known = jumps.toDF("node", "root").join(roots.select("node"), "node", "left_anti")
+        then = links.join(jumps.toDF("a", "pa"), "a").join(jumps.toDF("b", "pb"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        before = links, roots, hooks, jumps
+        roots, links = materialize(moved.unionByName(known), "roots"), materialize(then.where("a <> b").distinct(), "links")
+        release(*before)
     return roots
 
 
@@ -409,6 +409,14 @@ def _written(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
         conf.set(key, before)
 
 
+def _joined(links: DataFrame, roots: DataFrame, more: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The links and their components with more links added."""
+    if more is None or more.isEmpty():
+        return links, roots
+    links = links.unionByName(more)
+    return links, components(links)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, reach: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: uid, doc_id, text_hash, n_shingles, component_id (least id of its group) and kept.
 
@@ -421,20 +429,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, reach:
     classes = classes.agg(F.min("uid").alias("node"), F.min(named).alias("first"), F.first("signature").alias("signature"))
     classes = materialize(classes, "classes")
     buckets = materialize(shared_buckets(chunk_keys(classes)), "buckets")
-    pairs = materialize(close_pairs(materialize(candidates(buckets, reach), "candidates"), classes, most), "pairs")
+    met = materialize(candidates(buckets, reach), "candidates")
+    pairs = materialize(close_pairs(met, classes, most), "pairs")
+    release(met)
     # most classes hang together by their closest pairs; the others are confirmed only where those don't connect
     rank = Window.partitionBy("a").orderBy("apart", "b")
-    best = pairs.withColumn("rank", F.row_number().over(rank)).where("rank <= 2").select("a", "b")
-    best = materialize(best, "pairs-best")
-    links = _written(confirmed(best, sets, percent), "links-best")
+    best = materialize(pairs.withColumn("rank", F.row_number().over(rank)).where("rank <= 2").select("a", "b"), "pairs-best")
+    links = confirmed(best, sets, percent, "links-best")
     roots = components(links)
     rest = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
     rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    for found in (_written(confirmed(materialize(rest, "pairs-rest"), sets, percent), "links-more"), None):
-        found = found if found is not None else rest_links(buckets, roots, sets, reach, percent)
-        if found is not None and not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links)
+    more = confirmed(materialize(rest, "pairs-rest"), sets, percent, "links-more")
+    links, roots = _joined(links, roots, more)
+    links, roots = _joined(links, roots, rest_links(buckets, roots, sets, reach, percent))
+    release(pairs, best, buckets)
     unnamed = F.struct(F.lit(None).cast("long").alias("doc_id"), F.col("node").alias("uid"))
     row = F.struct(F.col("first").isNull().alias("last"), F.coalesce("first", unnamed).alias("row"))
     held = materialize(classes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"), row.alias("row")), "rooted")
@@ -452,11 +460,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Of rows that are equal in id and text one stays, whichever; rows without words all stay. Columns of any name pass.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    found = materialize(found.select("doc_id", "text_hash", "kept", (F.col("n_shingles") > 0).alias("worded")), "found")
     id_, hashed, alone, turn = fresh_names(docs, 4)
-    stay = found.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
     empty = F.col(text_col).isNull() | F.col(text_col).rlike(r"\A[\x20\x09-\x0D]*\z")
     here = docs.withColumns({id_: F.col(id_col).cast("long"), hashed: F.xxhash64(text_col), alone: F.when(empty, F.monotonically_increasing_id())})
-    stay = stay.toDF(*fresh_names(here, 2))
+    stay = found.where("kept").select("doc_id", "text_hash").distinct().toDF(*fresh_names(here, 2))
     held = here.join(stay, here[id_].eqNullSafe(stay[stay.columns[0]]) & (here[hashed] == stay[stay.columns[1]]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_, hashed, alone).orderBy(alone))
-    return held.withColumn(turn, first).where(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not found.where("worded").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 AND kept").isEmpty():
+        first = F.row_number().over(Window.partitionBy(id_, hashed, alone).orderBy(alone))
+        held = held.withColumn(turn, first).where(F.col(turn) == 1)
+    return held.select(*[F.col(f"`{c}`") for c in docs.columns])

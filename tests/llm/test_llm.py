@@ -530,6 +530,41 @@ def test_warc_text_behind_a_malformed_section(section):
     assert text.split() == ["one", "two", "link"] and page["title"] == "t" and page["links"] == ["/l"]
 
 
+@pytest.mark.parametrize(
+    "html, text, title",
+    [
+        ("<svg><title>no</title><text>x</text></svg><title>yes</title><p>a", "a", "yes"),
+        ("<p>a<svg><path d='m'>b<p>c", "ab\nc", ""),
+        ("a<noscript>b<p>c", "ab\nc", ""),
+        ("a<noscript>b</noscript>c<svg/>d", "acd", ""),
+        ("a<svg><svg>x</svg>y</svg>b", "ab", ""),
+        ("a<SCRIPT>if (x < '</p>') {}</Script >b<style>c", "ab", ""),
+        ("<title>a <b>c</title>d<title>e</title>", "d", "a <b>c"),
+        ("<textarea>a<b>&amp;</textarea>", "a<b>&", ""),
+        ("1 < 2 &amp;&lt;b&gt; <a title='x>y' href=\"z\">l</a> <a title=it's>m</a> &notanentity;", "1 < 2 &<b> l m ¬anentity;", ""),
+        ("a<!-- b -- > c --!>d<!-->e<!--f", "ade", ""),
+        ("a</ b>c<?php d ?>e</3>f<!DOCTYPE g>h", "acefh", ""),
+        ("a<b", "a", ""),
+        ("x\u00a0 y\r\n z", "x y\nz", ""),
+        ("", "", ""),
+    ],
+)
+def test_page_text(html, text, title):
+    got, about = warc.extract(html, "http://a/")
+    assert (got, about["title"]) == (text, title)
+
+
+def test_page_links():
+    html = "<html lang=de><a href='x y'>1</a><a href=/p?q=1&amp;r=2>2</a><A HREF='http://[bad'>3</A><area href=//h/i><a name=n>4</a><a data-href=no href=#f>5</a>"
+    assert warc.extract(html, "http://a/b/c")[1] == {"title": "", "lang": "de", "links": ["http://a/b/x y", "http://a/p?q=1&r=2", "http://[bad", "http://h/i", "http://a/b/c#f"]}
+    assert warc.extract("<base href='/z/'><a href=k>1</a>", "http://a/b/c")[1]["links"] == ["http://a/z/k"]
+
+
+def test_page_text_takes_linear_time():
+    for piece in ("<svg>", "<a =", "<!--", "<title>", "<script>", "='", "</"):
+        warc.extract(piece * 200_000)
+
+
 def test_warc_records(spark, sf):
     pages = spark.createDataFrame([(1, "http://a/?x=1", "<html lang='en'><head><title>T &amp; x</title><script>bad()</script></head><body><p>One <b>two</b></p><div>three<br>four</div><a href='/l'>link</a></body></html>"), (2, None, None), (3, "http://b", "<p>open<![bad"), (3, "http://b", "<p>open<![bad")], "page_id long, url string, html string")
     records = warc.responses(pages)
@@ -542,9 +577,12 @@ def test_warc_records(spark, sf):
     response, block = warc.parse(bytes(records.where("page_id = 1").first()["record"]))
     assert first["conversion"]["text"] == "One two\nthree\nfour\nlink"
     about = json.loads(first["metadata"]["text"])
-    assert about["html"] == {"title": "T & x", "lang": "en", "links": ["/l"]} and about["envelope"]["WARC-Payload-Digest"] == response["WARC-Payload-Digest"]
+    assert about["html"] == {"title": "T & x", "lang": "en", "links": ["http://a/l"]} and about["envelope"]["WARC-Payload-Digest"] == response["WARC-Payload-Digest"]
     assert {r["refers_to"] for r in first.values()} == {response["WARC-Record-ID"]}
     assert first["conversion"]["source_digest"] == warc.digest(block.split(b"\r\n\r\n", 1)[1])
+    stored = {(r["page_id"], r["kind"], r["record_id"], bytes(r["record"])) for r in warc.derive(records).collect()}
+    assert stored == {(r["page_id"], r["kind"], r["record_id"], bytes(r["record"])) for r in warc.derivatives(pages).collect()} and len(stored) == 6
+    assert warc.derivative_files(pages.where("false")).count() == 0
     whole = queries.QUERIES["op10_warc_derivatives"](spark, sf)
     assert whole.count() == 2 * spark.read.parquet(f"{sf}/pages.parquet").count() and whole.where("NOT digest_ok").count() == 0
 
