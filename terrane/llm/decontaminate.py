@@ -75,10 +75,10 @@ class WindowIndex:
         self.fingerprints = np.unique(fingerprints)
         windows, which = np.unique(rows, axis=0, return_inverse=True)
         hashes = np.array([rolling_hashes(r, length)[0] for r in windows], np.uint64) if len(windows) else np.empty(0, np.uint64)
-        if len(np.unique(hashes)) != len(hashes):
-            raise ArithmeticError("two windows share a 64-bit hash")
         order = np.argsort(hashes)
         self.hashes, self.windows = hashes[order], windows[order]
+        # windows that share a 64-bit hash lie next to each other
+        self.most = int(np.unique(hashes, return_counts=True)[1].max(initial=1))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         pairs = np.unique(np.stack([rank[which.ravel()], owner], axis=1), axis=0)
@@ -101,9 +101,12 @@ class WindowIndex:
             mixed = rows[:, j].astype(np.uint64) * _MULTIPLIER
             hashed = hashed * np.uint64(0xBF58476D1CE4E5B9) + (mixed ^ (mixed >> np.uint64(29)))
             hashed ^= hashed >> np.uint64(31)
-        at = np.searchsorted(self.hashes, hashed).clip(max=len(self.hashes) - 1)
-        same = (self.windows[at] == rows).all(axis=1)
-        return starts[same], at[same]
+        first, found = np.searchsorted(self.hashes, hashed), []
+        for j in range(self.most):
+            at = (first + j).clip(max=len(self.hashes) - 1)
+            same = (self.windows[at] == rows).all(axis=1)
+            found.append((starts[same], at[same]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class BlockIndex:
@@ -193,61 +196,43 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[object, s
 SPANS = ArrayType(StructType([StructField("start", LongType(), False), StructField("end", LongType(), False)]), False)
 
 
-def find_contamination(
-    docs: DataFrame,
-    items: DataFrame,
-    window: int = 10,
-    k: int = 6,
-    block_words: int = 500_000,
-    text_col: str = "text",
-    prefix: str = "c_",
-    keep: list[str] | None = None,
-) -> DataFrame:
-    """``docs`` (or of its columns ``keep``) with ``<prefix>n_words``, ``<prefix>spans`` (hit words) and ``<prefix>items``
-    (ids as text)."""
-    n_col, s_col, i_col = (prefix + x for x in ("n_words", "spans", "items"))
-    out = docs.withColumn(n_col, F.lit(0).cast("long")).withColumn(s_col, F.array().cast(SPANS)).withColumn(i_col, F.array().cast("array<string>"))
-    added = [StructField(n_col, LongType()), StructField(s_col, SPANS), StructField(i_col, ArrayType(StringType()))]
-    blocks, block = _blocks(items.select("item_id", "text"), block_words), None
-    block = next(blocks)
-    while block is not None:
-        following = next(blocks, None)
-        fields = [f for f in docs.schema.fields if following is not None or keep is None or f.name in keep]
-        schema = StructType(fields + added)
-        shared = docs.sparkSession.sparkContext.broadcast(BlockIndex(block, window, k))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared, names_out=schema.fieldNames()) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for batch in batches:
-                texts = [t if isinstance(t, str) else None for t in batch[text_col].tolist()]
-                spans, names = batch[s_col].tolist(), batch[i_col].tolist()
-                ns, new_spans, new_names = [], [], []
-                for (n, hit, ids), old, known in zip(index.scan(texts), spans, names, strict=True):
-                    ns.append(n)
-                    old = [(int(x["start"]), int(x["end"])) for x in old]
-                    new_spans.append([{"start": a, "end": b} for a, b in merge(old + hit)])
-                    new_names.append(sorted({*known, *(str(i) for i in ids if i is not None)}))
-                yield batch.assign(**{n_col: ns, s_col: new_spans, i_col: new_names})[names_out]
-
-        out = out.mapInPandas(run, schema)
-        block = following
-    return out
+def _shared(docs: DataFrame, items: DataFrame, window: int, k: int, block_words: int) -> list:
+    """The benchmark as broadcast blocks, each of a bounded size."""
+    return [docs.sparkSession.sparkContext.broadcast(BlockIndex(b, window, k)) for b in _blocks(items.select("item_id", "text"), block_words)]
 
 
-def flagged(docs: DataFrame, items: DataFrame, into: str, window: int = 10, k: int = 6, block_words: int = 500_000, text_col: str = "text") -> DataFrame:
-    """``docs`` with the boolean column ``into``: some window of an item occurs. Only the text passes through Python."""
-    found = F.lit(False)
-    for block in _blocks(items.select("item_id", "text"), block_words):
-        found = found | _hit_test(docs.sparkSession.sparkContext.broadcast(BlockIndex(block, window, k)))(F.col(text_col))
-    return docs.withColumn(into, found)
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 6, block_words: int = 500_000, text_col: str = "text", into: str = "contamination") -> DataFrame:
+    """``docs`` with the struct column ``into``, in place of any of that name: n_words, spans (hit words) and items (ids as
+    text). Only the text passes through Python, once for all blocks."""
+    blocks = _shared(docs, items, window, k, block_words)
+
+    @F.pandas_udf(StructType([StructField("n_words", LongType()), StructField("spans", SPANS), StructField("items", ArrayType(StringType()))]))
+    def find(column: pd.Series) -> pd.DataFrame:
+        texts = [t if isinstance(t, str) else None for t in column.tolist()]
+        ns, spans, names = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+        for block in blocks:
+            for d, (n, hit, ids) in enumerate(block.value.scan(texts)):
+                ns[d] = n
+                spans[d] += hit
+                names[d].update(str(i) for i in ids if i is not None)
+        return pd.DataFrame({"n_words": ns, "spans": [[{"start": a, "end": b} for a, b in merge(x)] for x in spans], "items": [sorted(x) for x in names]})
 
+    return docs.withColumn(into, find(F.col(text_col)))
+
+
+def flagged(docs: DataFrame, items: DataFrame, into: str, window: int = 10, k: int = 6, block_words: int = 500_000, text_col: str = "text") -> DataFrame:
+    """``docs`` with the boolean column ``into``, in place of any of that name: some window of an item occurs."""
+    blocks = _shared(docs, items, window, k, block_words)
 
-def _hit_test(shared):
     @F.pandas_udf("boolean")
-    def hit(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(spans) for _, spans, _ in shared.value.scan([t if isinstance(t, str) else None for t in texts.tolist()])], dtype=bool)
+    def hit(column: pd.Series) -> pd.Series:
+        texts = [t if isinstance(t, str) else None for t in column.tolist()]
+        found = np.zeros(len(texts), bool)
+        for block in blocks:
+            found |= np.array([bool(spans) for _, spans, _ in block.value.scan(texts)], bool)
+        return pd.Series(found)
 
-    return hit
+    return docs.withColumn(into, hit(F.col(text_col)))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -260,13 +245,13 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def digest(found: DataFrame, prefix: str = "c_") -> DataFrame:
+def digest(found: DataFrame, into: str = "contamination") -> DataFrame:
     """The summary columns of ``find_contamination``'s result."""
-    spans, names = F.col(prefix + "spans"), F.col(prefix + "items")
+    spans, names = F.col(into)["spans"], F.col(into)["items"]
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select(
         "doc_id",
-        F.col(prefix + "n_words").alias("n_words"),
+        F.col(into)["n_words"].alias("n_words"),
         hit.alias("n_hit"),
         F.size(names).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort(names)), 256).alias("items_sha256"),

@@ -1,8 +1,7 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes, beside a unigram word baseline.
 
 Model. A text (capitals A-Z lowered) is coded byte by byte, then an end symbol. The context of a byte is the up to
-``order`` bytes before it, back to the last blank; behind a blank (and every ``PIECE`` bytes of a longer run without
-one) a start mark stands instead. Each context is a node of a trie with the counts of the bytes that followed it in the
+``order`` bytes before it, back to the last blank, for which a start mark stands. Each context is a node of a trie with the counts of the bytes that followed it in the
 training texts. A byte not seen there escapes to the next shorter context with the probability of method C (kinds seen
 against counts), the bytes seen in the longer context being excluded from the shorter one's counts; below the empty
 context all bytes that are left are alike. So the probabilities of all continuations of any context add up to 1.
@@ -37,7 +36,6 @@ _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WHITE = re.compile("[\t-\r ]+")
 #: Bytes that UTF-8 never uses: the end symbol, the start mark, and what begins a unit that is spelled out with its end.
 END, START, SPELLED = "\xff", "\xfe", "\xfd"
-PIECE = 48
 SYMBOLS = 256
 _PARTIAL = 300_000
 
@@ -49,14 +47,6 @@ def units_of(text: str | None) -> list[str]:
     return parts
 
 
-def pieces_of(unit: str) -> list[str]:
-    """A unit, or the pieces of an overlong one."""
-    if len(unit) <= PIECE:
-        return [unit]
-    coded = symbols_of(unit)
-    return [SPELLED + coded[k : k + PIECE] for k in range(0, len(coded), PIECE)]
-
-
 def symbols_of(unit: str) -> str:
     """What is coded for a unit."""
     return unit[1:] if unit[:1] == SPELLED else unit + " "
@@ -68,10 +58,10 @@ def tokens_of(unit: str) -> list[str]:
     return [w for w in _WHITE.split(bare.removesuffix(END)) if w]
 
 
-def grams_of(unit: str, order: int) -> list[str]:
+def grams_of(unit: str, order: int) -> Iterator[str]:
     """For each symbol its longest context and itself."""
     s = START + symbols_of(unit)
-    return [s[max(0, k - order) : k + 1] for k in range(1, len(s))]
+    return (s[max(0, k - order) : k + 1] for k in range(1, len(s)))
 
 
 def in_training(id_col: str = "doc_id") -> Column:
@@ -172,7 +162,6 @@ def _trie(grams: DataFrame, order: int) -> DataFrame:
 def _code_lengths(units: DataFrame, order: int, block_units: int) -> DataFrame:
     """(unit, lp) of all units: log10 of the model's probability."""
     blocks = max(1, -(-units.count() // block_units))
-    # overlong units are worked out whole within their block
     dealt = materialize(units.select("unit", "c", F.pmod(F.xxhash64("unit"), F.lit(blocks)).alias("block")).repartition("block"), "lm-blocks")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,9 +169,8 @@ def _code_lengths(units: DataFrame, order: int, block_units: int) -> DataFrame:
             for block, part in batch.groupby("block"):
                 counts: dict[str, int] = {}
                 for unit, c in zip(part["unit"].tolist(), part["c"].tolist(), strict=True):
-                    for piece in pieces_of(unit):
-                        for g in grams_of(piece, order):
-                            counts[g] = counts.get(g, 0) + c
+                    for g in grams_of(unit, order):
+                        counts[g] = counts.get(g, 0) + c
                 yield pd.DataFrame({"block": block, "gram": list(counts), "c": list(counts.values())})
 
     asked = dealt.mapInPandas(count, "block long, gram string, c long").groupBy("block", "gram").agg(F.sum("c").alias("c"))
@@ -193,7 +181,7 @@ def _code_lengths(units: DataFrame, order: int, block_units: int) -> DataFrame:
     def add(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         lp = dict(zip(right["gram"].tolist(), right["lp"].tolist(), strict=True))
         get = lp.__getitem__
-        return pd.DataFrame({"unit": left["unit"], "lp": [sum(sum(map(get, grams_of(p, order))) for p in pieces_of(u)) for u in left["unit"].tolist()]})
+        return pd.DataFrame({"unit": left["unit"], "lp": [sum(map(get, grams_of(u, order))) for u in left["unit"].tolist()]})
 
     return dealt.select("unit", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(add, "unit string, lp double")
 
@@ -207,15 +195,15 @@ def score(docs: DataFrame, order: int = 5, head_units: int = 250_000, block_unit
     values = units.join(_code_lengths(units, order, block_units), "unit").join(base, "unit", "left")
     values = materialize(values.select("unit", "c", "lp", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n_tokens", "n_known")], F.coalesce("base", F.lit(0.0)).alias("base")), "lm-values")
 
-    # the largest count that at most head_units units reach: so many are broadcast at most
-    ranks = values.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).collect()
-    least, held = 100_001, 0
-    for r in ranks:
+    # the most frequent units, head_units at most, by steps of about a hundredth of their counts: there are some 4,000 steps
+    step = F.floor(F.log2(F.col("c") + 1) * 64)
+    least, held = math.inf, 0
+    for r in values.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         held += r["count"]
         if held > head_units:
             break
-        least = r["c"]
-    top = values.where(F.col("c") >= least).toPandas()
+        least = r["step"]
+    top = values.where(step >= F.lit(least)).toPandas()
     shared = docs.sparkSession.sparkContext.broadcast((np.array(top["unit"].tolist(), object), top[["lp", "base", "n_tokens", "n_known"]].to_numpy(np.float64)))
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,7 +229,7 @@ def score(docs: DataFrame, order: int = 5, head_units: int = 250_000, block_unit
     found = rows.mapInPandas(look_up, "uid long, doc_id long, held_out boolean, n_bytes long, lp double, base double, n_tokens double, n_known double, rest array<string>, times array<long>")
     found = materialize(found, "lm-looked-up")
     tail = found.select("uid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("uid", F.col("x.rest").alias("unit"), F.col("x.times").alias("times"))
-    sums = tail.join(values.where(F.col("c") < least).drop("c"), "unit").groupBy("uid").agg(*[F.sum(F.col(x) * F.col("times")).alias(f"t_{x}") for x in ("lp", "base", "n_tokens", "n_known")])
+    sums = tail.join(values.where(step < F.lit(least)).drop("c"), "unit").groupBy("uid").agg(*[F.sum(F.col(x) * F.col("times")).alias(f"t_{x}") for x in ("lp", "base", "n_tokens", "n_known")])
     whole = {x: F.col(x) + F.coalesce(f"t_{x}", F.lit(0)) for x in ("lp", "base", "n_tokens", "n_known")}
     return found.join(sums, "uid", "left").select(
         "doc_id",

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.session import materialize
+from terrane.session import fresh_names, materialize
 
 MEASURES = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_distinct_words long"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -171,15 +171,18 @@ def thresholds(measured: DataFrame, labels: DataFrame, rules=RULES, risk: float
 def judge(measured: DataFrame, cutoffs: dict[tuple[str | None, str], float], rules=RULES) -> DataFrame:
     """The measures with base_failed, failed_rules and kept."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    failed = []
+    # one row a stratum with cutoffs; strata are few (no more than labels can vouch for), and the size is bounded by theirs
+    by_stratum: dict[str | None, dict[str, float]] = {}
+    for (stratum, name), c in cutoffs.items():
+        by_stratum.setdefault(stratum, {})[name] = c
+    at, held = fresh_names(measured, 2)
+    table = measured.sparkSession.createDataFrame(list(by_stratum.items()), f"{at} string, {held} map<string,double>")
+    columns, failed = measured.columns, []
+    measured = measured.join(F.broadcast(table) if len(by_stratum) <= 10_000 else table, F.col("stratum").eqNullSafe(F.col(at)), "left")
     for r in rules:
-        own = {s: c for (s, name), c in cutoffs.items() if name == r.name}
-        limit = F.lit(None).cast("double")
-        for stratum, c in sorted(own.items(), key=str):
-            limit = F.when(F.col("stratum").eqNullSafe(F.lit(stratum)), F.lit(c)).otherwise(limit)
-        failed.append(F.when(r.value() > limit, F.lit(r.name)))
+        failed.append(F.when(r.value() > F.element_at(F.col(held), F.lit(r.name)), F.lit(r.name)))
     rejected = F.filter(F.array(*failed), lambda x: x.isNotNull())
-    return measured.select("*", base.alias("base_failed"), rejected.alias("failed_rules")).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return measured.select(*columns, base.alias("base_failed"), rejected.alias("failed_rules")).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05) -> DataFrame:

@@ -55,7 +55,7 @@ FROM low LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 @query("op4_decontaminate", OP4_SQL)
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.digest(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
+    return decontaminate.digest(decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 @query("op3_quality_rules")

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -56,6 +57,10 @@ def allowed_edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+#: An automaton with more states than this starts anew; one more word adds at most its length.
+MOST_STATES = 60_000
+
+
 class LexiconAutomaton:
     """The union of the terms' Levenshtein automata over their trie, made deterministic as words are read."""
 
@@ -76,6 +81,10 @@ class LexiconAutomaton:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], edits)
             self.ends[node].append(k)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the states made so far; they are made again as words need them."""
         self.ids: dict[frozenset, int] = {}
         self.sets: list[dict[int, int]] = []
         self.steps: list[dict[str, int]] = []
@@ -127,6 +136,8 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the best hit; exact before misspelled, then by weight."""
+        if len(self.sets) > MOST_STATES:
+            self.forget()
         s, exact, fuzzy = self.start, None, None
         weight = lambda x: self.terms[x[0]].weight
         for c in word:
@@ -206,6 +217,7 @@ class ToxicityModel:
     terms: list[Term]
     coefficients: list[float] = field(default_factory=lambda: [-4.0, 1.2, 0.6, 0.8, 0.2, 0.5])
     window: int = 6
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         z = self.coefficients[0] + features[:, :MODELLED] @ np.array(self.coefficients[1:])
@@ -294,7 +306,11 @@ def train(
     max_terms: int = 2000,
     window: int = 6,
 ) -> ToxicityModel:
-    """The model, learned from labelled documents outside the held-out quarter."""
+    """The model, learned from labelled documents outside the held-out quarter.
+
+    ``sample_toxic`` and ``sample_clean`` bound the labelled texts, ``max_terms`` the learned words and stems each (chosen
+    from the ten times as many of highest log odds, which is what reaches the driver).
+    """
     known = labels.where(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     known = known.withColumn("turn", F.xxhash64("doc_id"))
     pick = lambda y, n: known.where(F.col("toxic") == y).orderBy("turn", "doc_id").limit(n)
@@ -345,21 +361,21 @@ def train(
     return ToxicityModel(terms((0, 1)), fit(got[:, :MODELLED], got[:, MODELLED]), window)
 
 
-_MATCHERS: dict[int, Matcher] = {}
+_MATCHERS: dict[str, Matcher] = {}
 RESULT = "struct<score: double, n_exact: long, n_fuzzy: long, n_quoted: long>"
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", into: str = "toxicity") -> DataFrame:
-    """``docs`` with the struct column ``into``: score, exact, misspelled and quoted hits."""
+    """``docs`` with the struct column ``into``, in place of any of that name: score, exact, misspelled and quoted hits."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_terms and the seeds
 
     @F.pandas_udf(RESULT)
     def score(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        matcher = _MATCHERS.get(id(m))
+        matcher = _MATCHERS.get(m.key)
         if matcher is None:
             _MATCHERS.clear()
-            matcher = _MATCHERS[id(m)] = Matcher(m.terms)
+            matcher = _MATCHERS[m.key] = Matcher(m.terms)
         x = np.array([matcher.features(t if isinstance(t, str) else None, m.window) for t in texts.tolist()]).reshape(-1, MODELLED + 3)
         return pd.DataFrame({"score": m.score(x), "n_exact": x[:, MODELLED], "n_fuzzy": x[:, MODELLED + 1], "n_quoted": x[:, MODELLED + 2]}).astype({"n_exact": "int64", "n_fuzzy": "int64", "n_quoted": "int64"})
 

@@ -152,6 +152,65 @@ def test_exact_bounds_and_thresholds(spark):
     assert quality.thresholds(measured, labels.where("false")) == {}
 
 
+def test_quality_verdicts_match_brute_force(spark):
+    """Cutoffs by exact binomial tests and the verdicts that follow, over strata that include null and one too small."""
+    r = random.Random(21)
+    rows, labels = [], []
+    for k in range(900):
+        lang = r.choice(["de", "en", None] if k % 50 else ["tiny"])
+        good = r.random() < 0.8
+        words = [r.choice(["", "#", "*"] if not good else [""] * 40 + ["#"]) + "w" * r.randrange(2, 9 if good else 30) + str(r.randrange(300)) for _ in range(r.randrange(45, 90))]
+        rows.append((k, " ".join(words) if k % 97 else None, lang))
+        if k % 10:
+            labels.append((k, int(good)))
+    rows += [rows[1], (None, "a " * 60, "en")]
+    docs = spark.createDataFrame([(*x, "x", "y") for x in rows], "doc_id long, text string, lang string, kept string, stratum string")
+    got = quality.quality_verdicts(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    risk, error, rules = 0.02, 0.05, quality.RULES
+
+    def value(m, rule):
+        top = m["n_words"] - m["n_distinct_words"] if rule.name == "few_kinds" else m[rule.top]
+        return top / m[rule.bottom] if m[rule.bottom] else 0.0
+
+    names = [c.split()[0] for c in quality.MEASURES.split(", ")][2:]
+    measured = [(i, lang, dict(zip(names, quality.measure_text(t), strict=True))) for i, t, lang in rows]
+    good = {i for i, y in labels if y}
+    least = math.log(1 / error) / -math.log1p(-risk)
+    strata = {lang: [m for i, x, m in measured if i in good and x == lang] for lang in ("de", "en", None, "tiny")}
+    strata = {lang: ms for lang, ms in strata.items() if len(ms) >= least}
+    assert set(strata) == {"de", "en", None}
+    at_most = risk / len(rules)
+    shown = lambda n, x: sum(math.comb(n, i) * at_most**i * (1 - at_most) ** (n - i) for i in range(x + 1)) <= error / (len(rules) * len(strata))
+    cut = {}
+    for lang, ms in strata.items():
+        for rule in rules:
+            for c in rule.cutoffs:
+                over = sum(value(m, rule) > c for m in ms)
+                if not shown(len(ms), over):
+                    break
+                cut[lang, rule.name] = c
+    expected = []
+    for i, lang, m in measured:
+        base = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
+        failed = [x.name for x in rules if (lang, x.name) in cut and value(m, x) > cut[lang, x.name]]
+        expected.append((i, lang, m["n_words"], base, failed, not base and not failed))
+    found = [(x["doc_id"], x["stratum"], x["n_words"], x["base_failed"], x["failed_rules"], x["kept"]) for x in got]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    none = quality.quality_verdicts(docs.where("false"), spark.createDataFrame([], "doc_id long, quality int"))
+    assert none.count() == 0
+
+
+def test_strict_bounds_hold_on_other_documents():
+    """Cutoffs chosen on a holdout reject at most the risk of other good documents, nearly always."""
+    r, missed = np.random.default_rng(3), 0
+    for _ in range(200):
+        holdout, other = r.exponential(1, 600), 1
+        cutoffs = np.linspace(9, 1, 33)
+        k = quality.strictest([int((holdout > c).sum()) for c in cutoffs], len(holdout), 0.02, 0.05)
+        missed += k is not None and math.exp(-cutoffs[k]) > 0.02 * other
+    assert missed <= 20
+
+
 def test_decontamination_matches_brute_force(spark, sample, sf):
     items = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall() + [(900, None), (901, "..."), (902, "Only Three words"), (903, "single"), (902, "again three words")]
     texts = [t for _, t in sample] + ODD + ["say only three WORDS now", "single", items[0][1] * 2, "pre " + items[3][1] + " post", "a a a a a a a a a a a a"]
@@ -177,7 +236,25 @@ def test_decontamination_matches_brute_force(spark, sample, sf):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(found), bool(hit))
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         assert f["hit"] == bool(hit)
-    assert decontaminate.find_contamination(docs_of(spark, texts), spark.createDataFrame([], schema)).where("size(c_spans) > 0").count() == 0
+    assert decontaminate.find_contamination(docs_of(spark, texts), spark.createDataFrame([], schema)).where("size(contamination.spans) > 0").count() == 0
+
+
+def test_contamination_with_clashing_columns(spark):
+    docs = docs_of(spark, ["a b c d e f g h i j", None]).withColumns({"contamination": F.lit("old"), "c_spans": F.lit(1), "hit": F.lit("x")})
+    items = spark.createDataFrame([(7, "B c d e f g h i j"), (None, "a b"), (8, None)], "item_id long, text string")
+    found = decontaminate.find_contamination(docs, items).orderBy("doc_id").collect()
+    assert found[0]["contamination"]["n_words"] == 10 and found[0]["contamination"]["items"] == ["7"] and found[0]["c_spans"] == 1
+    assert [tuple(x) for x in found[0]["contamination"]["spans"]] == [(0, 10)] and found[1]["contamination"]["spans"] == []
+    assert [r["hit"] for r in decontaminate.flagged(docs, items, "hit").orderBy("doc_id").collect()] == [True, False]
+    assert decontaminate.find_contamination(docs.where("false"), items).count() == 0
+
+
+def test_windows_with_equal_hashes(monkeypatch):
+    """All windows share one hash: the words alone tell them apart."""
+    monkeypatch.setattr(decontaminate, "_MULTIPLIER", np.uint64(0))
+    index = decontaminate.BlockIndex([(k, " ".join(f"w{k}x{i}" for i in range(12))) for k in range(4)], 10, 6)
+    got = index.scan([f"z w{k}x0 " + " ".join(f"w{k}x{i}" for i in range(1, 11)) for k in (2, 3)])
+    assert [(n, spans, ids) for n, spans, ids in got] == [(12, [(1, 12)], [2]), (12, [(1, 12)], [3])]
 
 
 def test_winnowing_guarantee():
@@ -367,6 +444,24 @@ def test_quoted_hits_count_less():
     assert m.features(None, 6) == m.features("", 6)
 
 
+def test_models_of_one_worker_stay_apart(spark):
+    docs = docs_of(spark, ["zebra lion", "tiger"]).coalesce(1)
+    for word, n in (("zebra", [1, 0]), ("tiger", [0, 1]), ("lion", [1, 0])):
+        found = toxicity.scored(docs, toxicity.ToxicityModel([toxicity.Term(word, False, 3.0)])).orderBy("doc_id")
+        assert [r["toxicity"]["n_exact"] for r in found.collect()] == n
+
+
+def test_automaton_starts_anew(monkeypatch):
+    terms = [toxicity.Term(t, False, 1.0) for t in ("zebrafish", "tigers", "lioness")]
+    whole = toxicity.LexiconAutomaton(terms)
+    r = random.Random(2)
+    words = ["".join(r.choices("zebrafishtgonl", k=r.randrange(4, 10))) for _ in range(300)] + ["zebrafsh", "tigrs", "lionesss"]
+    expected = [whole.match(w) for w in words]
+    monkeypatch.setattr(toxicity, "MOST_STATES", 5)
+    small = toxicity.LexiconAutomaton(terms)
+    assert [small.match(w) for w in words] == expected and len(small.sets) < 200 and any(expected)
+
+
 def test_toxicity_finds_planted_terms(spark):
     r = random.Random(11)
     plain = [" ".join(r.choice(["lorem", "ipsum", "dolor", "sit", "amet", "tempor"]) for _ in range(60)) for _ in range(300)]
@@ -393,8 +488,7 @@ def test_toxicity_held_out(spark):
 def ppm_brute(texts, train, order):
     def stream(t):
         for u in lmscore.units_of(t):
-            for p in lmscore.pieces_of(u):
-                s = lmscore.START + lmscore.symbols_of(p)
+            for s in [lmscore.START + lmscore.symbols_of(u)]:
                 for k in range(1, len(s)):
                     yield s[max(0, k - order) : k], s[k]
 
@@ -428,7 +522,7 @@ def ppm_brute(texts, train, order):
 
 
 def test_ppm_matches_brute_force(spark, sample):
-    texts = [t for _, t in sample[:60]] + ODD + ["same text", "same text"]
+    texts = [t for _, t in sample[:60]] + ODD + ["same text", "same text", "東京" * 60]
     train = [zlib.crc32(str(k).encode()) % 5 != 1 for k in range(len(texts))]
     got = {r["doc_id"]: r for r in lmscore.score(docs_of(spark, texts), order=3, head_units=40, block_units=300).collect()}
     scores, counts = ppm_brute(texts, train, 3)
