@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import decontaminate, neardup, packing, secrets, tokens, toxicity
-from terrane.session import materialize, table
+from terrane.session import fresh_names, materialize, table
 
 #: Documents with this score or more are rejected as toxic.
 TOXIC = 0.3
@@ -19,7 +19,8 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the model, learned from the labels of ``sf_dir``, scores as toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, into="pipeline_toxicity").where(F.col("pipeline_toxicity.score") < TOXIC).select(*docs.columns)
+    (found,) = fresh_names(docs, 1)
+    return toxicity.scored(docs, model, into=found).where(F.col(found)["score"] < TOXIC).drop(found)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +30,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that share ten consecutive words, or a whole shorter item, with the benchmark."""
-    found = decontaminate.flagged(docs, table(spark, sf_dir, "benchmark"), "pipeline_contaminated")
-    return found.where(~F.col("pipeline_contaminated")).select(*docs.columns)
+    (hit,) = fresh_names(docs, 1)
+    return decontaminate.flagged(docs, table(spark, sf_dir, "benchmark"), hit).where(~F.col(hit)).drop(hit)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark and brings the number of characters up to date."""
-    found = secrets.scan(docs)
-    text = secrets.redacted(F.col("text"), F.col("secret_spans"))
-    changed = found.withColumn("secret_text", text)
-    columns = {"text": F.col("secret_text"), "n_chars": F.when(F.size("secret_spans") > 0, F.length("secret_text").cast("long")).otherwise(F.col("n_chars"))}
-    return changed.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+    # the other columns travel in a struct, so that none of their names can clash
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    found = secrets.scan(docs.select("doc_id", "text", rest.alias("rest")))
+    changed = found.withColumn("text", secrets.redacted(F.col("text"), F.col("secret_spans")))
+    n_chars = F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("rest")["n_chars"])
+    columns = {"text": F.col("text"), "n_chars": n_chars}
+    return changed.select(*[columns.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
