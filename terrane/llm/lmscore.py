@@ -203,8 +203,8 @@ def score(docs: DataFrame, order: int = 5, head_units: int = 250_000, block_unit
         if held > head_units:
             break
         least = r["step"]
-    top = values.where(step >= F.lit(least)).toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast((np.array(top["unit"].tolist(), object), top[["lp", "base", "n_tokens", "n_known"]].to_numpy(np.float64)))
+    top = values.where(step >= F.lit(least)).select("unit", "lp", "base", "n_tokens", "n_known").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((np.array(top["unit"].to_pylist(), object), np.column_stack([top[c].to_numpy().astype(np.float64) for c in top.column_names[1:]])))
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

@@ -207,9 +207,9 @@ def _bit(node):
 def needed_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, members) of at least the classes in ``pairs``: others pass only by a chance hit in a bitmap of fixed size."""
     bit = pairs.select(_bit(F.col("a")).alias("bit")).unionByName(pairs.select(_bit(F.col("b")).alias("bit")))
-    words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(pmod(bit, 64)))) AS bits")).toPandas()
+    words = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(pmod(bit, 64)))) AS bits")).toArrow()
     bitmap = np.zeros(1 << (_BITS - 6), np.int64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,7 +258,10 @@ _BLOCK = 512
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle of each slot; any counts give right results, good ones few candidates."""
+    """How many sets hold a shingle of each slot; any counts give right results, good ones few candidates.
+
+    The driver gets a number for each slot at most, as an Arrow table.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(_SLOTS, np.int64)
@@ -269,9 +272,9 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
         slot = np.flatnonzero(total)
         yield pd.DataFrame({"slot": slot, "n": total[slot]})
 
-    found = sets.select("members").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = sets.select("members").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(_SLOTS, np.int64)
-    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 

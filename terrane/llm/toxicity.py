@@ -58,7 +58,7 @@ def allowed_edits(term: str) -> int:
 
 
 #: An automaton with more states than this starts anew; one more word adds at most its length.
-MOST_STATES = 60_000
+MOST_STATES = 150_000
 
 
 class LexiconAutomaton:
