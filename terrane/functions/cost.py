@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.session import fresh_names
+
 # Road classes with their cost per metre with and without bicycle infrastructure.
 BASE = {
     "cycleway": (0.9, 0.9), "residential": (1.0, 1.0), "living_street": (1.0, 1.0), "service": (1.3, 1.3), "track": (1.1, 1.1),
@@ -77,11 +79,10 @@ PROFILES = {
 
 
 def _lookup(key: Column, values: dict[str, float], default) -> Column:
-    """A CASE over the key; unlike a map it is evaluated without building anything."""
-    out = default if isinstance(default, Column) else F.lit(default)
-    for k, v in values.items():
-        out = F.when(key == k, F.lit(v)).otherwise(out)
-    return out
+    """The value of a key in a literal map, which is folded to one object; a CASE over all keys makes methods too large
+    for the JVM to compile."""
+    table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, key), default if isinstance(default, Column) else F.lit(default))
 
 
 def _unit(x: Column) -> Column:
@@ -183,3 +184,29 @@ def edge_costs(e: Edge, profile: str, length: Column, grade: Column, curv_fwd: C
     forward = edge_factor(e, profile, grade, curv_fwd) * length
     back = edge_factor(e, profile, -grade, curv_rev) * length
     return forward, F.when(oneway, -1.0).otherwise(F.coalesce(back, F.lit(-1.0)))
+
+
+def with_costs(edges: DataFrame, profile: str, length: str, grade: str, curv_fwd: str, curv_rev: str, oneway: str) -> DataFrame:
+    """``edges`` with ``cost`` and ``reverse_cost`` as ``edge_costs`` has them, in place of any of these names.
+
+    Scores, look-ups and slopes are worked out in projections of their own: each becomes a method of its own in the
+    generated code, small enough for the JVM to compile, and none is worked out for both directions anew.
+    """
+    p, e = PROFILES[profile], Edge(edges.columns)
+    score, scenic, share, base, road, closed, up, down = fresh_names(edges, 8)
+    state = F.when(e["is_ferry"], F.when(e["bicycle"].isin("no", "private"), 3).otherwise(2)).when(is_excluded(e), 1).otherwise(0)
+    out = edges.withColumns({score: scenic_score(e, p), closed: state})
+    if p.per_signal:
+        factor = scenic_factor(e, p)
+    else:
+        factor = 1 - p.k * F.tanh(F.col(score) - MIDPOINT) if p.k > 0 else F.lit(1.0)
+    out = out.withColumns({scenic: factor, share: softening(F.col(score), p), base: F.when(has_infrastructure(e), _lookup(e["highway"], {k: v[0] for k, v in BASE.items()}, UNKNOWN_CLASS)).otherwise(_lookup(e["highway"], {k: v[1] for k, v in BASE.items()}, UNKNOWN_CLASS))})
+    track = F.when(e["highway"].isin("track", "path", "footway", "road"), soften(_lookup(e["tracktype"], TRACKTYPE, 1.0), F.col(share))).otherwise(1.0)
+    surface = soften(_lookup(e["surface"], SURFACE, 1.0), F.col(share))
+    out = out.withColumn(road, F.col(base) * track * surface * F.when(e["bicycle_road"] == "yes", BICYCLE_ROAD).otherwise(1.0))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    out = out.withColumns({up: slope_factor(zero(grade), zero(curv_fwd), p), down: slope_factor(-zero(grade), zero(curv_rev), p)})
+    canopy = F.when(e["canopy_frac"] > 0, 1 - CANOPY * e["canopy_frac"]).otherwise(1.0)
+    one_way = lambda slope: F.when(F.col(closed) == 0, F.col(road) * F.col(slope) * canopy * F.col(scenic)).when(F.col(closed) == 2, FERRY) * F.col(length)
+    out = out.withColumns({"cost": one_way(up), "reverse_cost": F.when(F.col(oneway), -1.0).otherwise(F.coalesce(one_way(down), F.lit(-1.0)))})
+    return out.drop(score, scenic, share, base, road, closed, up, down)

@@ -94,7 +94,7 @@ def reachable_within(costs: DataFrame, crow: DataFrame, ratio: float = 8.0) -> D
     return costs.join(crow, ["src", "dst"]).where((F.col("cost") > 0) & (F.col("cost") <= ratio * F.col("crow_m")))
 
 
-def proximity_chain(candidates: DataFrame, anchors: DataFrame, paths, radius_m: float = 5_000.0, detour: float = 4.0, rounds: int = 6) -> DataFrame:
+def proximity_chain(candidates: DataFrame, anchors: DataFrame, paths, radius_m: float = 5_000.0, detour: float = 4.0, rounds: int = 30) -> DataFrame:
     """Chain edges (a, b, cost) of candidate pairs (a, b).
 
     ``paths(pairs)`` gives (a, b, cost, path), path being an array of struct(lon, lat), for pairs that have one. A pair
@@ -118,9 +118,9 @@ def proximity_chain(candidates: DataFrame, anchors: DataFrame, paths, radius_m:
         fresh = halves.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         todo = materialize(fresh.join(seen, ["a", "b"], "left_anti"), f"chain-todo-{k}")
         if todo.isEmpty():
-            break
+            return proximity.canonical_pairs(kept, "cost")
         seen = seen.unionByName(todo)
-    return proximity.canonical_pairs(kept, "cost")
+    raise RuntimeError(f"pairs are still being divided after {rounds} rounds")
 
 
 def cluster_stations(stops: DataFrame, close_deg: float = 0.001) -> DataFrame:
@@ -136,12 +136,14 @@ def cluster_stations(stops: DataFrame, close_deg: float = 0.001) -> DataFrame:
         out = []
         for r in part.sort_values("stop").itertuples():
             bx, by = int(r.lon / close_deg), int(r.lat / close_deg)
-            hit = next((k for k in buckets.get((bx, by), ()) if abs(clusters[k][0] - r.lon) < close_deg and abs(clusters[k][1] - r.lat) < close_deg), None)
+            # a cluster lies in the nine buckets around its first stop and is looked up in those around the new one
+            near = (k for j in (-1, 0, 1) for i in (-1, 0, 1) for k in buckets.get((bx + i, by + j), ()))
+            hit = next((k for k in near if abs(clusters[k][0] - r.lon) < close_deg and abs(clusters[k][1] - r.lat) < close_deg), None)
             if hit is None:
                 hit = len(clusters)
                 clusters.append([r.lon, r.lat, 1, r.stop])
-                for i in (-1, 0, 1):
-                    for j in (-1, 0, 1):
+                for j in (-1, 0, 1):
+                    for i in (-1, 0, 1):
                         buckets.setdefault((bx + i, by + j), []).append(hit)
             else:
                 c = clusters[hit]

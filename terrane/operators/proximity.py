@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import geo
+from terrane.session import materialize
 
 METRES_PER_DEGREE = 111_000.0
+HALF_GLOBE_M = 20_040_000.0
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, cell_deg: float | None = None, left_at=("lon", "lat"), right_at=("lon", "lat")) -> DataFrame:
@@ -37,22 +39,21 @@ def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(left_id, right_id, "dist_m", "rank")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, first_m: float = 20_000.0, rounds: int = 9) -> DataFrame:
-    """The k nearest at any distance: the radius doubles for those that have fewer than k yet."""
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, first_m: float = 20_000.0) -> DataFrame:
+    """The k nearest at any distance: the radius doubles for those that have fewer than k yet, up to the whole globe."""
     out, rest, radius = None, left.select(left_id, "lon", "lat"), first_m
-    for turn in range(rounds):
+    while True:
         found = nearest_within(rest, right, left_id, right_id, radius, k)
-        if turn < rounds - 1:
-            served = found.groupBy(left_id).agg(F.count("*").alias("have")).where(F.col("have") >= k).select(left_id)
-            found = found.join(served, left_id, "left_semi")
-            out = found if out is None else out.unionByName(found)
-            rest = rest.join(served, left_id, "left_anti")
-            if rest.isEmpty():
-                return out
-        else:
-            out = found if out is None else out.unionByName(found)
+        if radius >= HALF_GLOBE_M:
+            return found if out is None else out.unionByName(found)
+        found = materialize(found, "nearest")
+        served = found.groupBy(left_id).agg(F.count("*").alias("have")).where(F.col("have") >= k).select(left_id)
+        rest = materialize(rest.join(served, left_id, "left_anti"), "nearest-rest")
+        found = found.join(served, left_id, "left_semi")
+        out = found if out is None else out.unionByName(found)
+        if rest.isEmpty():
+            return out
         radius *= 2
-    return out
 
 
 def counts_within(left: DataFrame, right: DataFrame, left_id: str, radius_m: float) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.operators.graph import best_by
-from terrane.session import materialize
+from terrane.session import materialize, release
 
 TREE = "city long, vid long, parent long, cost double, is_frontier boolean"
 
@@ -61,16 +61,19 @@ def bounded_trees(members: DataFrame, seeds: DataFrame, arcs: DataFrame, limit:
     return rows.unionByName(starts).groupBy("city").applyInPandas(grow, TREE)
 
 
-def ancestors_of(leaves: DataFrame, parents: DataFrame) -> DataFrame:
-    """(city, vid) on the ways from ``leaves`` to their roots, the leaves included."""
-    seen = frontier = materialize(leaves.select("city", "vid").distinct(), "ancestors")
-    links = parents.where("parent IS NOT NULL").select("city", "vid", "parent")
-    while True:
-        up = frontier.join(links, ["city", "vid"]).select("city", F.col("parent").alias("vid")).distinct()
-        frontier = materialize(up.join(seen, ["city", "vid"], "left_anti"), "ancestors-step")
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+def ancestors_of(leaves: DataFrame, parents: DataFrame, keys: tuple[str, ...] = ("city",)) -> DataFrame:
+    """(keys, vid) on the ways from ``leaves`` (keys, vid) to their roots over ``parents`` (keys, vid, parent), the leaves
+    included. The jumps double each round, so rounds grow with the logarithm of the depth."""
+    at = [*keys, "vid"]
+    seen = materialize(leaves.select(*at).distinct(), "ancestors")
+    jumps = materialize(parents.where("parent IS NOT NULL").select(*at, "parent"), "ancestors-jumps")
+    while not jumps.isEmpty():
+        up = seen.join(jumps, at).select(*keys, F.col("parent").alias("vid"))
+        further = jumps.withColumnRenamed("parent", "mid").join(jumps.withColumnRenamed("vid", "mid"), [*keys, "mid"]).select(*at, "parent")
+        before = seen, jumps
+        seen, jumps = materialize(seen.unionByName(up).distinct(), "ancestors"), materialize(further, "ancestors-jumps")
+        release(*before)
+    return seen
 
 
 def build_trunks(trees: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -83,8 +86,9 @@ def build_trunks(trees: DataFrame, pairs: DataFrame) -> DataFrame:
     there = trees.select(F.col("city").alias("dst"), "vid", F.lit(True).alias("in_b"))
     rows = materialize(a.join(there, ["dst", "vid"], "left").withColumn("in_b", F.coalesce("in_b", F.lit(False))), "trunk-rows")
     outside = rows.where("NOT in_b")
-    closed = ancestors_of(outside.where("is_frontier").select(F.col("src").alias("city"), "vid"), trees).withColumnRenamed("city", "src")
-    kept = outside.join(closed, ["src", "vid"], "left_semi").select("src", "dst", "vid")
+    # the ways to the root count pair by pair: a leaf that dst's tree holds keeps nothing for dst
+    closed = ancestors_of(outside.where("is_frontier"), rows, ("src", "dst"))
+    kept = outside.join(closed, ["src", "dst", "vid"], "left_semi").select("src", "dst", "vid")
     gates = outside.where("parent IS NOT NULL").select("src", "dst", F.col("parent").alias("vid")).distinct()
     gates = rows.where("in_b").join(gates, ["src", "dst", "vid"], "left_semi").select("src", "dst", "vid")
     all_kept = materialize(kept.unionByName(gates), "trunk-kept")
@@ -111,12 +115,8 @@ def prune_trunks(trunks: DataFrame, border: DataFrame, most_passes: int = 10) ->
     for _ in range(most_passes):
         ends = current.where("succ IS NULL").select(F.col("dst").alias("src"), "vid").distinct()
         open_ = current.join(frozen, "src", "left_anti")
-        seen = frontier = materialize(open_.join(ends, ["src", "vid"], "left_semi").select("src", "dst", "vid"), "prune-seen")
-        links = open_.where("succ IS NOT NULL").select("src", "dst", "vid", "succ")
-        while not frontier.isEmpty():
-            step = frontier.join(links, ["src", "dst", "vid"]).select("src", "dst", F.col("succ").alias("vid")).distinct()
-            frontier = materialize(step.join(seen, ["src", "dst", "vid"], "left_anti"), "prune-step")
-            seen = seen.unionByName(frontier)
+        marked = open_.join(ends, ["src", "vid"], "left_semi").select("src", "dst", "vid")
+        seen = ancestors_of(marked, open_.select("src", "dst", "vid", F.col("succ").alias("parent")), ("src", "dst"))
         some = seen.select("src", "dst").distinct()
         kept = current.join(seen, ["src", "dst", "vid"], "left_semi")
         following = materialize(kept.unionByName(current.join(some, ["src", "dst"], "left_anti")), "prune")

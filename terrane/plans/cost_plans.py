@@ -39,19 +39,15 @@ def factor_sql(profile: str, grade: str, curv: str) -> str:
     return f"CASE WHEN {closed} THEN NULL ELSE {base} * {track} * {surface} * {slope} * {canopy} * {scenic} END"
 
 
-#: Keeps products of short decimals away from rounding ties, where engines may differ in the last bit.
-_NUDGE = 0.00000317
-
-
 def _register(profile: str) -> None:
     forward, back = factor_sql(profile, "grade", "curv"), factor_sql(profile, "(-grade)", "curv")
-    sql = f"WITH {t.EDGES} SELECT gid, round(({forward}) * length + {_NUDGE}::DOUBLE, 4) AS cost, round(CASE WHEN oneway THEN -1.0 ELSE coalesce(({back}) * length, -1.0) END + {_NUDGE}::DOUBLE, 4) AS reverse_cost FROM edges"
+    sql = f"WITH {t.EDGES} SELECT gid, {t.rounded_sql(f'({forward}) * length', 4)} AS cost, {t.rounded_sql(f'CASE WHEN oneway THEN -1.0 ELSE coalesce(({back}) * length, -1.0) END', 4)} AS reverse_cost FROM edges"
 
     @register(f"cost_{profile}", sql)
     def plan(spark, d):
         rows = t.edges(spark, d)
-        fwd, rev = cost.edge_costs(cost.Edge(rows.columns), profile, *[F.col(c) for c in ("length", "grade", "curv", "curv", "oneway")])
-        return rows.select("gid", F.round(fwd + _NUDGE, 4).alias("cost"), F.round(rev + _NUDGE, 4).alias("reverse_cost"))
+        found = cost.with_costs(rows, profile, "length", "grade", "curv", "curv", "oneway")
+        return found.select("gid", t.rounded("cost", 4).alias("cost"), t.rounded("reverse_cost", 4).alias("reverse_cost"))
 
 
 for _name in cost.PROFILES:

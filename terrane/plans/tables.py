@@ -10,6 +10,16 @@ from terrane.session import table
 R = "6371000.0"
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """Rounded half up by the same steps in every engine; built-in roundings differ on ties."""
+    size = float(10**digits)
+    return F.floor((F.col(value) if isinstance(value, str) else value) * size + 0.5).cast("double") / size
+
+
+def rounded_sql(value: str, digits: int) -> str:
+    return f"(floor(({value}) * {10**digits}::DOUBLE + 0.5::DOUBLE) / {10**digits}::DOUBLE)"
+
+
 def lon_of(k: str) -> Column:
     return F.lit(5.0) + F.pmod(F.col(k) * 37, F.lit(1400)) / 100.0
 

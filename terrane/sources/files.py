@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tags of railways, stops, waterways and administrative levels.
+RAIL_KINDS, RAIL_USAGE, RAIL_SIDE = ("rail", "light_rail"), ("main", "branch"), ("spur", "siding", "yard", "crossover")
+RAIL_STOPS = ("station", "halt", "stop")
+WATERWAYS = ("river", "canal", "stream")
+ADMIN_LEVELS = ("6", "7", "8")
+
+
 def read_geojson_lines(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Features of a GeoJSON text sequence (record separators allowed): geometry type, coordinates as JSON, properties."""
     schema = f"type string, geometry struct<type:string, coordinates:string>, properties struct<{properties}>"
@@ -71,6 +78,41 @@ def append_trunks(trunks: DataFrame, path: str) -> int:
 
 
 def rail_ways(ways: DataFrame) -> DataFrame:
-    """Ways of passenger railways by their tags (railway, usage, service, disused, abandoned)."""
+    """Ways of passenger railways by their tags (railway, usage, service, disused, abandoned, construction): main and
+    branch lines in use; sidings and the like, and whatever is being built, are left out."""
     flag = lambda c: F.coalesce(F.col(c), F.lit("")) == "yes"
-    return ways.where(F.col("railway").isin("rail", "light_rail") & F.coalesce("usage", F.lit("main")).isin("main", "branch") & F.coalesce("service", F.lit("")).isin("") & ~flag("disused") & ~flag("abandoned"))
+    lines = F.col("railway").isin(*RAIL_KINDS) & F.col("usage").isin(*RAIL_USAGE)
+    side = F.coalesce(F.col("service"), F.lit("")).isin(*RAIL_SIDE)
+    return ways.where(lines & ~side & ~flag("disused") & ~flag("abandoned") & F.col("construction").isNull())
+
+
+def rail_stops(nodes: DataFrame) -> DataFrame:
+    """Nodes (railway, bus, train) of rail stops; those of buses without trains are left out."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit("")) == "yes"
+    return nodes.where(F.col("railway").isin(*RAIL_STOPS) & ~(yes("bus") & ~yes("train")))
+
+
+def waterways(ways: DataFrame) -> DataFrame:
+    """Ways (waterway, tunnel, layer, intermittent) of open, lasting waterways on or above the ground."""
+    layer = F.expr("try_cast(layer AS INT)")
+    above = F.col("layer").isNull() | F.coalesce(layer >= 0, F.lit(False))
+    dry = F.coalesce(F.col("intermittent"), F.lit("")) == "yes"
+    return ways.where(F.col("waterway").isin(*WATERWAYS) & (F.coalesce(F.col("tunnel"), F.lit("")) == "") & above & ~dry)
+
+
+def boundaries(areas: DataFrame) -> DataFrame:
+    """Administrative areas (boundary, admin_level) of districts and municipalities."""
+    return areas.where((F.col("boundary") == "administrative") & F.col("admin_level").isin(*ADMIN_LEVELS))
+
+
+def place_features(nodes: DataFrame, place: str = "village") -> DataFrame:
+    """(value): a GeoJSON feature a line for the nodes (id, place, name, population, wikidata, lon, lat) of a kind of
+    place; empty properties are left out."""
+    filled = [F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("name", "place", "population", "wikidata")]
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.concat(F.lit("node/"), "id").alias("id"),
+        F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
+        F.struct(*filled).alias("properties"),
+    )
+    return nodes.where(F.col("place") == place).select(F.to_json(feature).alias("value"))
