@@ -13,10 +13,11 @@ def _col(x) -> Column:
 
 
 def haversine_m(lon1, lat1, lon2, lat2) -> Column:
-    """Great-circle metres; the arcsine's argument is clamped to 1."""
+    """Great-circle metres, null where a coordinate is; the arcsine's argument is clamped to 1 (``least`` would make a
+    null half the globe)."""
     lon1, lat1, lon2, lat2 = map(_col, (lon1, lat1, lon2, lat2))
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def bearing(lon1, lat1, lon2, lat2) -> Column:
@@ -127,3 +128,51 @@ def in_ring(lon, lat, ring: Column) -> Column:
         return acc != (over & (lon < x))
 
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(False), crossing)
+
+
+def touches_box(lon1, lat1, lon2, lat2, box: tuple[float, float, float, float]) -> Column:
+    """Either end of an edge lies in the closed box."""
+    return in_box(lon1, lat1, box, closed=True) | in_box(lon2, lat2, box, closed=True)
+
+
+def oriented(forward: Column, first: Column, last: Column) -> Column:
+    """The two ends of an edge in the order in which it is travelled."""
+    return F.when(forward, F.array(first, last)).otherwise(F.array(last, first))
+
+
+def grown_box(box: Column, by_m: float) -> Column:
+    """A box struct(x0, y0, x1, y1) widened by metres at its middle latitude."""
+    dy = by_m / 111_000.0
+    dx = dy / F.greatest(F.cos(F.radians((box["y0"] + box["y1"]) / 2)), F.lit(0.01))
+    return F.struct((box["x0"] - dx).alias("x0"), (box["y0"] - dy).alias("y0"), (box["x1"] + dx).alias("x1"), (box["y1"] + dy).alias("y1"))
+
+
+def tiles_of(box: Column, size: float) -> Column:
+    """The tiles of a grid of multiples of ``size`` that cover a box, as array<struct(x0, y0, x1, y1)>, rows from the south."""
+    x_lo, y_lo = F.floor(box["x0"] / size) * size, F.floor(box["y0"] / size) * size
+    counts = lambda hi, lo: F.sequence(F.lit(0).cast("long"), F.ceil((hi - lo) / size) - 1)
+    edge = lambda lo, k: F.round(lo + k * size, 6)
+    tile = lambda i, j: F.struct(edge(x_lo, i).alias("x0"), edge(y_lo, j).alias("y0"), edge(x_lo, i + 1).alias("x1"), edge(y_lo, j + 1).alias("y1"))
+    return F.flatten(F.transform(counts(box["y1"], y_lo), lambda j: F.transform(counts(box["x1"], x_lo), lambda i: tile(i, j))))
+
+
+def z_order(x: Column, y: Column, bits: int = 16) -> Column:
+    """One number of two cell numbers, their bits taken in turn, so that near cells get near numbers."""
+    out = F.lit(0).cast("long")
+    for k in range(bits):
+        out = out + F.shiftleft(F.shiftright(x, k).bitwiseAND(F.lit(1)), 2 * k) + F.shiftleft(F.shiftright(y, k).bitwiseAND(F.lit(1)), 2 * k + 1)
+    return out
+
+
+def metre_grid(box: Column, size_m: float) -> Column:
+    """Columns and rows of a grid of squares of ``size_m`` metres over a box, and their sizes in degrees."""
+    dy = F.lit(size_m / 111_320.0)
+    dx = dy / F.cos(F.radians((box["y0"] + box["y1"]) / 2))
+    return F.struct(F.ceil((box["x1"] - box["x0"]) / dx).alias("cols"), F.ceil((box["y1"] - box["y0"]) / dy).alias("rows"), dx.alias("dx"), dy.alias("dy"))
+
+
+def ring_area(ring: Column) -> Column:
+    """Area of an open ring array<struct(lon, lat)> in square degrees."""
+    n = F.size(ring)
+    part = lambda k: F.element_at(ring, k)["lon"] * F.element_at(ring, F.when(k == n, 1).otherwise(k + 1))["lat"] - F.element_at(ring, F.when(k == n, 1).otherwise(k + 1))["lon"] * F.element_at(ring, k)["lat"]
+    return F.abs(F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, k: acc + part(k))) / 2

@@ -123,3 +123,61 @@ def booking_links(start: Column, end: Column, from_country: Column, to_country:
     last = F.struct(F.lit("Google Maps (transit)").alias("operator"), maps.alias("url"))
     links = F.when(home, F.array(own, db, last)).otherwise(F.array(db, abroad_own, last))
     return F.filter(links, lambda x: x.isNotNull())
+
+
+def shortened(values: Column, n: int = 20) -> Column:
+    """At most n elements of a list."""
+    return F.slice(values, 1, n)
+
+
+def mentioned(text: Column, words: list[str]) -> Column:
+    """The words that a text holds as whole words in any case, in their order there, each once."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b(" + "|".join(words) + r")\b"), F.lit(1))
+    return F.array_distinct(found)
+
+
+def in_scope(text: Column, triggers: list[str]) -> Column:
+    """Some trigger stands anywhere in the text, in any case."""
+    low = F.lower(text)
+    out = F.lit(False)
+    for t in triggers:
+        out = out | F.contains(low, F.lit(t))
+    return out
+
+
+def days_moved(text: Column, offset: Column, most: Column) -> Column:
+    """``Day n`` in prose, and n in the first cell of a table row, moved on by ``offset`` where n is at most ``most`` + 5.
+
+    A match's replacement depends on its number, so each number up to the bound is replaced behind a mark that keeps it
+    from being replaced again.
+    """
+
+    def moved(whole: Column) -> Column:
+        number = lambda acc, n: F.regexp_replace(
+            F.regexp_replace(acc, F.concat(F.lit(r"(?i)\bDay\s+0*"), n.cast("string"), F.lit(r"\b")), F.concat(F.lit("\u0001Day "), (n + offset).cast("string"))),
+            F.concat(F.lit(r"(?m)^(\s*\|\s*)0*"), n.cast("string"), F.lit(r"(\s*\|)")),
+            F.concat(F.lit("$1\u0001"), (n + offset).cast("string"), F.lit("$2")),
+        )
+        return F.aggregate(F.sequence(F.lit(1), most + 5), whole, number, lambda x: F.replace(F.replace(x, F.lit("\u0001Day "), F.lit("Day ")), F.lit("\u0001"), F.lit("")))
+
+    return F.when(text.isNull() | (offset == 0), text).otherwise(moved(text))
+
+
+#: What a tool's answer is counted by, and how that is called.
+DIGESTS = {
+    "search_anchors": ("results", "hits"), "stations_near": ("stations", "stations"), "stations_along_route": ("anchors", "rail-served anchors"),
+    "split_into_stages": ("stages", "stages"), "pois_near_anchor": ("pois", "POIs"), "pois_along_route": ("pois", "POIs"),
+}
+
+
+def output_digest(tool: Column, output: Column) -> Column:
+    """A line about a tool's answer in JSON: its error, its counts, or ok."""
+    get = lambda path: F.get_json_object(output, path)
+    shown = lambda path: F.coalesce(get(path), F.lit("None"))
+    out = F.lit("ok")
+    for name, (field, what) in DIGESTS.items():
+        n = F.coalesce(F.json_array_length(get(f"$.{field}")), F.lit(0))
+        out = F.when(tool == name, F.concat_ws(" ", n.cast("string"), F.lit(what))).otherwise(out)
+    stops = F.coalesce(F.json_array_length(get("$.chain_stops")), F.lit(0)).cast("string")
+    out = F.when(tool == "route", F.concat(shown("$.total_km"), F.lit(" km, "), stops, F.lit(" stops"))).otherwise(out)
+    return F.when(get("$.error").isNotNull(), F.concat(F.lit("error: "), get("$.error"))).otherwise(out)

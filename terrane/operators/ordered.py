@@ -55,21 +55,52 @@ def curvature_window(points: DataFrame, line: str, order: list[str], ahead_m: in
     return steps.withColumns({"curv_fwd": F.sum("bend").over(along.rangeBetween(0, ahead_m)), "curv_rev": F.sum("bend").over(along.rangeBetween(-ahead_m, 0))})
 
 
-def stage_ends(points: DataFrame, line: str, order: list[str], target_km: float) -> DataFrame:
-    """One row per stage: each line is cut into max(1, half-even round(length / target)) equal parts, each cut moved to
-    the nearest point (of two equally near ones the later), cuts that don't advance left out."""
+def stage_ends(points: DataFrame, line: str, order: list[str], target_km: float, vias: DataFrame | None = None, known_km: DataFrame | None = None) -> DataFrame:
+    """One row per stage: each line, or each part of it between ``vias``, is cut into max(1, half-even round(length /
+    target)) equal parts, each cut moved to the nearest point (of two equally near ones the later); what doesn't advance
+    is left out.
+
+    ``vias`` (line, k, lon, lat) are stops that must end a stage, in order of k, each at the line's nearest point.
+    ``known_km`` (line, km) gives lengths that the lines' own are scaled to.
+    """
     w = Window.partitionBy(line).orderBy(*order)
     steps = with_steps(points, line, order).withColumn("pos", F.row_number().over(w))
-    total = steps.groupBy(line).agg(F.max("cum_m").alias("total_m"))
-    days = F.greatest(F.lit(1), F.bround(F.col("total_m") / 1000 / target_km).cast("int"))
-    cuts = total.withColumn("days", days).withColumn("day", F.explode(F.sequence(F.lit(1), F.col("days")))).withColumn("at_m", F.col("total_m") * F.col("day") / F.col("days"))
-    near = Window.partitionBy(line, "day").orderBy(F.abs(F.col("cum_m") - F.col("at_m")), F.desc("pos"))
-    cut = steps.select(line, "pos", "cum_m").join(cuts.select(line, "day", "at_m"), line).withColumn("r", F.row_number().over(near)).where("r = 1")
-    by_day = Window.partitionBy(line).orderBy("day")
-    furthest = F.coalesce(F.max("pos").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1))
-    kept = cut.withColumn("furthest", furthest).where("pos > furthest")
-    km = (F.col("cum_m") - F.coalesce(F.lag("cum_m").over(by_day), F.lit(0.0))) / 1000
-    return kept.select(line, F.row_number().over(by_day).alias("stage"), "pos", F.round(km, 1).alias("stage_km"))
+    if known_km is not None:
+        whole = F.max("cum_m").over(Window.partitionBy(line))
+        scale = F.coalesce(F.try_divide(F.col("known_km") * 1000, whole), F.lit(1.0))
+        steps = steps.join(known_km.select(line, F.col("km").alias("known_km")), line, "left").withColumn("cum_m", F.col("cum_m") * scale)
+    last = F.lit(2**31 - 1)
+    bounds = steps.groupBy(line).agg(F.max("pos").alias("n")).select(line, F.explode(F.array(F.struct(F.lit(-1).alias("k"), F.lit(1).alias("pos")), F.struct(last.alias("k"), F.col("n").alias("pos")))).alias("x")).select(line, "x.*")
+    if vias is not None:
+        far = geo.haversine_m("v_lon", "v_lat", "lon", "lat")
+        at = steps.select(line, "pos", "lon", "lat").join(vias.select(line, "k", F.col("lon").alias("v_lon"), F.col("lat").alias("v_lat")), line)
+        bounds = bounds.unionByName(at.groupBy(line, "k").agg(F.min_by("pos", F.struct(far, "pos")).alias("pos")))
+    by_k = Window.partitionBy(line).orderBy("k")
+    before = F.max("pos").over(by_k.rowsBetween(Window.unboundedPreceding, -1))
+    bounds = bounds.withColumn("before", before).where("before IS NULL OR pos > before").join(steps.select(line, "pos", "cum_m"), [line, "pos"])
+    parts = bounds.select(line, F.col("pos").alias("end_pos"), F.col("cum_m").alias("end_m"), F.lag("cum_m").over(by_k).alias("from_m")).where("from_m IS NOT NULL")
+    days = F.greatest(F.lit(1), F.bround((F.col("end_m") - F.col("from_m")) / 1000 / target_km).cast("int"))
+    inner = F.when(days > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), days - 1)), lambda i: F.col("from_m") + (F.col("end_m") - F.col("from_m")) * i / days)).otherwise(F.array().cast("array<double>"))
+    cuts = parts.select(line, F.explode(inner).alias("cum_m"))
+    # each cut lies between two points of its line: no cut is compared with all points
+    same = Window.partitionBy(line, "cum_m")
+    marks = steps.select(line, "cum_m", F.struct("cum_m", F.max("pos").over(same).alias("pos")).alias("point")).unionByName(cuts.withColumn("point", F.lit(None).cast("struct<cum_m:double,pos:int>")))
+    along = Window.partitionBy(line).orderBy("cum_m", F.col("point").isNull(), F.col("point")["pos"])
+    low = F.last("point", True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    high = F.first("point", True).over(along.rowsBetween(0, Window.unboundedFollowing))
+    near = marks.select(line, "cum_m", "point", low.alias("low"), high.alias("high")).where("point IS NULL")
+    nearer = F.when(F.col("high").isNotNull() & (F.col("high")["cum_m"] - F.col("cum_m") <= F.col("cum_m") - F.col("low")["cum_m"]), F.col("high")).otherwise(F.col("low"))
+    ends = near.select(line, nearer.alias("x")).select(line, "x.pos", "x.cum_m").unionByName(parts.select(line, F.col("end_pos").alias("pos"), F.col("end_m").alias("cum_m"))).where("pos > 1").distinct()
+    by_pos = Window.partitionBy(line).orderBy("pos")
+    km = (F.col("cum_m") - F.coalesce(F.lag("cum_m").over(by_pos), F.lit(0.0))) / 1000
+    return ends.select(line, F.row_number().over(by_pos).alias("stage"), "pos", F.round(km, 1).alias("stage_km"))
+
+
+def totals(points: DataFrame, line: str, order: list[str], kept: DataFrame) -> DataFrame:
+    """One row: points and metres of all lines, and the points of the thinned lines ``kept``."""
+    steps = with_steps(points, line, order)
+    ends = steps.groupBy(line).agg(F.count("*").alias("n"), F.max("cum_m").alias("m"))
+    return ends.agg(F.sum("n").alias("n_before"), F.sum("m").alias("metres")).crossJoin(F.broadcast(kept.agg(F.count("*").alias("n_after"))))
 
 
 def decimated(line: Column, least_m: float) -> Column:

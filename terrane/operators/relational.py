@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.session import materialize
+
 
 def segments(ways: DataFrame, way: str = "way_id", nodes: str = "nodes") -> DataFrame:
     """(way, seq, src, dst) of the consecutive distinct nodes of each way."""
@@ -35,7 +37,8 @@ def surrogate_ids(rows: DataFrame, key: str, into: str, parts: int = 64) -> Data
 
     Only the ranges' sizes (``parts`` rows at most) meet in one task.
     """
-    ranged = rows.repartitionByRange(parts, key).withColumn("range_no", F.spark_partition_id())
+    # the ranges are used twice, so they are written: dealt anew they could differ
+    ranged = materialize(rows.repartitionByRange(parts, key).withColumn("range_no", F.spark_partition_id()), "ranges")
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("range_no").agg(F.count("*").alias("n")).select("range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     local = F.row_number().over(Window.partitionBy("range_no").orderBy(key))
@@ -77,3 +80,58 @@ def shared_services(stops: DataFrame, left: DataFrame, right: DataFrame) -> Data
     a = left.join(stops, "stop").select("pair", "route").distinct()
     b = right.join(stops, "stop").select("pair", "route").distinct()
     return a.join(b, ["pair", "route"]).groupBy("pair").agg(F.sort_array(F.collect_set("route")).alias("routes"))
+
+
+def way_seeds(edges: DataFrame, seeds: list[str], promotable: list[str]) -> DataFrame:
+    """Edges (highway, is_ferry, name, ref, length) that may start a chain: seed classes, ferries, and promotable classes
+    that have a name or a reference."""
+    named = (F.coalesce("name", F.lit("")) != "") | (F.coalesce("ref", F.lit("")) != "")
+    return edges.where((F.col("length") > 0) & (F.col("highway").isin(*seeds) | F.col("is_ferry") | (F.col("highway").isin(*promotable) & named)))
+
+
+def ferry_legs(edges: DataFrame, least_m: float = 100.0) -> DataFrame:
+    """Ferry edges (is_ferry, excluded, cost, length) that are open, priced and not too short."""
+    return edges.where(F.col("is_ferry") & ~F.col("excluded") & F.col("cost").isNotNull() & (F.col("length") >= least_m))
+
+
+def cheapest(rows: DataFrame, cost: str, most: int, tie: str, max_cost: float | None = None) -> DataFrame:
+    """Rows up to a cost; where none is given, the ``most`` cheapest."""
+    if max_cost is not None:
+        return rows.where(F.col(cost) <= max_cost)
+    return rows.orderBy(cost, tie).limit(most)
+
+
+def clustered(points: DataFrame, size: float, parts: int | None = None) -> DataFrame:
+    """Points (lon, lat) with ``z``, laid out so that a file's rows are near each other: range-dealt and sorted by z."""
+    from terrane.functions import geo
+
+    x, y = geo.cell("lon", "lat", size)
+    keyed = points.withColumn("z", geo.z_order(x + F.lit(int(180 / size)), y + F.lit(int(90 / size))))
+    dealt = keyed.repartitionByRange(parts, "z") if parts else keyed.repartitionByRange("z")
+    return dealt.sortWithinPartitions("z")
+
+
+def best_or(groups: DataFrame, rows: DataFrame, key: str, value: str, default) -> DataFrame:
+    """(key, best): the greatest value of each group, or the default where it has none."""
+    best = rows.groupBy(key).agg(F.max(value).alias("best"))
+    return groups.select(key).distinct().join(best, key, "left").select(key, F.coalesce("best", F.lit(default)).alias("best"))
+
+
+def box_counts(points: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """One row: all points, those in the closed box, and the others."""
+    from terrane.functions import geo
+
+    inside = geo.in_box("lon", "lat", box, closed=True)
+    return points.agg(F.count("*").alias("n"), F.count_if(inside).alias("n_inside"), F.count_if(~inside).alias("n_outside"))
+
+
+def progress(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """``wanted`` with ``done``: whether each key is in the other table."""
+    return wanted.join(done.select(key).distinct().withColumn("done", F.lit(True)), key, "left").withColumn("done", F.coalesce("done", F.lit(False)))
+
+
+def first_region(points: DataFrame, regions: DataFrame, point_id: str, default: str) -> DataFrame:
+    """(point_id, region): of the boxes (region, priority, x0, y0, x1, y1) that hold a point the one of least priority."""
+    held = points.select(point_id, "lon", "lat").join(F.broadcast(regions), F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
+    best = held.groupBy(point_id).agg(F.min_by("region", "priority").alias("region"))
+    return points.select(point_id).join(best, point_id, "left").select(point_id, F.coalesce("region", F.lit(default)).alias("region"))

@@ -32,9 +32,9 @@ def polyline_gaps(spark, d):
     return ordered.gaps(t.lines(spark, d), "line", t.ORDER, 300_000).select("line", "seq", F.round("step_m", 2).alias("step_m"))
 
 
-@register("climb_profile", f"{_W} SELECT line, seq, round(sum(greatest(0, elev - coalesce(pe, elev))) OVER (PARTITION BY line ORDER BY pos ROWS UNBOUNDED PRECEDING) + 0.00000317::DOUBLE, 4) AS climb_m FROM (SELECT *, lag(elev) OVER (PARTITION BY line ORDER BY pos) AS pe FROM cums)")
+@register("climb_profile", f"{_W} SELECT line, seq, round(sum(greatest(0, elev - coalesce(pe, elev))) OVER (PARTITION BY line ORDER BY pos ROWS UNBOUNDED PRECEDING), 2) AS climb_m FROM (SELECT *, lag(elev) OVER (PARTITION BY line ORDER BY pos) AS pe FROM cums)")
 def climb_profile(spark, d):
-    return ordered.climb_profile(t.lines(spark, d), "line", t.ORDER, "elev").select("line", "seq", F.round(F.col("climb_m") + 0.00000317, 4).alias("climb_m"))
+    return ordered.climb_profile(t.lines(spark, d), "line", t.ORDER, "elev").select("line", "seq", F.round("climb_m", 2).alias("climb_m"))
 
 
 _BEND = """coalesce(abs(degrees(atan2((lon - plon) * cos(radians(lat)) * (nlat - lat) - (lat - plat) * (nlon - lon) * cos(radians(lat)),
@@ -76,8 +76,8 @@ def decimated_lines(spark, d):
     return thin.select("line", "n_points", F.size("thin").alias("n_kept"), F.to_json("thin").alias("thin"))
 
 
-@register("points_in_ring", f"WITH {t.STATIONS} SELECT id FROM stations WHERE lat > 47 AND lat <= 53 AND (lon - 6) < (53 - lat) * 8.0 / 6.0 AND lon >= 6")
+@register("points_in_ring", f"WITH {t.STATIONS} SELECT id FROM stations WHERE lat > 47.005 AND lat < 53.005 AND lon < 14.003 - (lat - 47.005) * 8.0 / 6.0 AND lon > 6.003")
 def points_in_ring(spark, d):
-    ring = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((5.999, 47.0001), (14.0, 47.0001), (6.0, 53.0), (5.999, 53.0))])
+    ring = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((6.003, 47.005), (14.003, 47.005), (6.003, 53.005))])
     s = t.stations(spark, d)
-    return s.where(geo.in_ring("lon", "lat", ring) & (F.col("lon") >= 6)).select("id")
+    return s.where(geo.in_ring("lon", "lat", ring)).select("id")

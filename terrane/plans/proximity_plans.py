@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrane.functions import geo, text
-from terrane.operators import ordered, proximity
+from terrane.operators import ordered, proximity, relational
 from terrane.plans import tables as t
 from terrane.plans.catalog import register
 from terrane.session import table
@@ -147,6 +147,5 @@ _REGIONS = "(1, 'west', 5.0, 46.0, 9.0, 58.0), (2, 'south', 5.0, 46.0, 19.0, 50.
 
 @register("region_dispatch", f"WITH {t.ANCHORS}, regions(priority, region, x0, y0, x1, y1) AS (VALUES {_REGIONS}) SELECT anchor, coalesce((SELECT min_by(region, priority) FROM regions WHERE lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1), 'default') AS region FROM anchors")
 def region_dispatch(spark, d):
-    lon, lat = F.col("lon"), F.col("lat")
-    region = F.when(lon.between(5, 9) & lat.between(46, 58), "west").when(lon.between(5, 19) & lat.between(46, 50), "south").when(lon.between(12, 19) & lat.between(50, 58), "east")
-    return t.anchors(spark, d).select("anchor", F.coalesce(region, F.lit("default")).alias("region"))
+    boxes = spark.createDataFrame([(1, "west", 5.0, 46.0, 9.0, 58.0), (2, "south", 5.0, 46.0, 19.0, 50.0), (3, "east", 12.0, 50.0, 19.0, 58.0)], "priority int, region string, x0 double, y0 double, x1 double, y1 double")
+    return relational.first_region(t.anchors(spark, d), boxes, "anchor", "default")

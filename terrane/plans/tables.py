@@ -37,10 +37,8 @@ def lat_sql(k: str) -> str:
 
 
 def haversine_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
-    return (
-        f"(2 * {R}::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) "
-        f"* pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
-    )
+    h = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    return f"(2 * {R}::DOUBLE * asin(sqrt(CASE WHEN {h} > 1 THEN 1.0 ELSE {h} END)))"
 
 
 def bearing_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:

@@ -164,3 +164,39 @@ def test_stream_equals_table(spark, sf, tmp_path):
     run.awaitTermination(120)
     key = lambda df: sorted((r["w"]["start"], r["event_type"], r["n"]) for r in df.collect())
     assert key(spark.table("windowed")) == key(sessions.windowed_counts(spark.read.parquet(f"{tmp_path}/in")))
+
+
+def test_first_steps_are_zero(spark):
+    """A line starts at 0 metres: the distance from a point that isn't there is null, not half the globe."""
+    from terrane.functions import geo
+    from terrane.operators import ordered
+
+    line = spark.createDataFrame([(1, 0, 10.0, 50.0), (1, 1, 10.0, 51.0), (2, 0, 5.0, 5.0)], "line long, seq long, lon double, lat double")
+    found = {(r["line"], r["seq"]): r["cum_m"] for r in ordered.with_steps(line, "line", ["seq"]).collect()}
+    assert found[1, 0] == found[2, 0] == 0 and abs(found[1, 1] - 111_194.9) < 1
+    assert line.select(geo.haversine_m(F.lit(None).cast("double"), 1.0, 2.0, 3.0).alias("d")).first()["d"] is None
+
+
+def test_trunks_keep_what_the_pair_needs(spark):
+    """10 <- 11 <- 12 with 12 on the frontier: where the other tree holds 12, nothing leads there and the pair has no trunk."""
+    from terrane.operators import trees
+
+    tree = spark.createDataFrame([(1, 10, None, 0.0, False), (1, 11, 10, 1.0, False), (1, 12, 11, 2.0, True), (2, 12, None, 0.0, False), (3, 99, None, 0.0, False)], trees.TREE)
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "src long, dst long")
+    found = {tuple(r) for r in trees.build_trunks(tree, pairs).collect()}
+    assert found == {(1, 3, 10, None), (1, 3, 11, 10), (1, 3, 12, 11)}
+    assert {r["src"] for r in trees.direct_trunks(pairs, trees.build_trunks(tree, pairs)).collect()} == {1}
+
+
+def test_stages_end_at_stops_on_the_way(spark):
+    from terrane.operators import ordered
+
+    line = spark.createDataFrame([(1, k, k * 0.1, 0.0) for k in range(101)], "line long, seq long, lon double, lat double")
+    plain = [r["pos"] for r in ordered.stage_ends(line, "line", ["seq"], 400.0).orderBy("stage").collect()]
+    assert plain == [34, 68, 101]
+    vias = spark.createDataFrame([(1, 0, 2.01, 0.05), (1, 1, 1.0, 0.0)], "line long, k long, lon double, lat double")
+    stops = [r["pos"] for r in ordered.stage_ends(line, "line", ["seq"], 400.0, vias).orderBy("stage").collect()]
+    assert stops == [21, 61, 101]
+    known = spark.createDataFrame([(1, 2200.0)], "line long, km double")
+    longer = ordered.stage_ends(line, "line", ["seq"], 400.0, None, known).orderBy("stage").collect()
+    assert len(longer) == 6 and abs(sum(r["stage_km"] for r in longer) - 2200) < 1
