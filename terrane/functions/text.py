@@ -154,11 +154,11 @@ def days_moved(text: Column, offset: Column, most: Column) -> Column:
 
     def moved(whole: Column) -> Column:
         number = lambda acc, n: F.regexp_replace(
-            F.regexp_replace(acc, F.concat(F.lit(r"(?i)\bDay\s+0*"), n.cast("string"), F.lit(r"\b")), F.concat(F.lit("\u0001Day "), (n + offset).cast("string"))),
+            F.regexp_replace(acc, F.concat(F.lit(r"(?i)\bDay\s+0*"), n.cast("string"), F.lit(r"\b")), F.concat(F.lit("Day \u0001"), (n + offset).cast("string"))),
             F.concat(F.lit(r"(?m)^(\s*\|\s*)0*"), n.cast("string"), F.lit(r"(\s*\|)")),
             F.concat(F.lit("$1\u0001"), (n + offset).cast("string"), F.lit("$2")),
         )
-        return F.aggregate(F.sequence(F.lit(1), most + 5), whole, number, lambda x: F.replace(F.replace(x, F.lit("\u0001Day "), F.lit("Day ")), F.lit("\u0001"), F.lit("")))
+        return F.aggregate(F.sequence(F.lit(1), most + 5), whole, number, lambda x: F.replace(x, F.lit("\u0001"), F.lit("")))
 
     return F.when(text.isNull() | (offset == 0), text).otherwise(moved(text))
 

@@ -186,3 +186,103 @@ def stitch(up: DataFrame, down: DataFrame) -> DataFrame:
 def cells_of(size_m: float, lat: float) -> tuple[float, float]:
     """Degrees of longitude and latitude of a square of ``size_m`` metres at a latitude."""
     return size_m / (111_320.0 * math.cos(math.radians(lat))), size_m / 111_320.0
+
+
+def drop_indirect(edges: DataFrame, paths: DataFrame, neighbours: DataFrame, anchors: DataFrame, radius_m: float = 2_000.0) -> DataFrame:
+    """Chain edges (a, b, cost) without those whose path (a, b, lon, lat) passes a third anchor within the radius that
+    both ends have as a neighbour (a, b); only a path point's nearest anchor counts. An anchor that would lose all its
+    edges keeps its cheapest."""
+    points = paths.withColumn("p", F.monotonically_increasing_id()).select("p", "a", "b", "lon", "lat")
+    points = materialize(points, "path-points")
+    near = proximity.nearest_within(points, anchors.select("anchor", "lon", "lat"), "p", "anchor", radius_m).select("p", F.col("anchor").alias("c"))
+    passed = points.select("p", "a", "b").join(near, "p").where("c <> a AND c <> b").select("a", "b", "c").distinct()
+    mutual = passed.join(neighbours.select("a", F.col("b").alias("c")), ["a", "c"], "left_semi").join(neighbours.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_semi")
+    dropped = materialize(edges.join(mutual.select("a", "b").distinct(), ["a", "b"], "left_semi"), "indirect")
+    kept = materialize(edges.join(dropped.select("a", "b"), ["a", "b"], "left_anti"), "direct")
+    ends = lambda e: e.select(F.col("a").alias("anchor"), "a", "b", "cost").unionByName(e.select(F.col("b").alias("anchor"), "a", "b", "cost"))
+    lonely = ends(dropped).join(ends(kept).select("anchor").distinct(), "anchor", "left_anti")
+    back = lonely.groupBy("anchor").agg(F.min(F.struct("cost", "a", "b")).alias("x")).select("x.a", "x.b", "x.cost").distinct()
+    return kept.select("a", "b", "cost").unionByName(back)
+
+
+def without_ferries(pairs: DataFrame, ferries: DataFrame, piers: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) without the ferry links (a, b), in either direction; pairs of two piers (anchor) always stay."""
+    both = ferries.select("a", "b").unionByName(ferries.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    pier = piers.select(F.col("anchor").alias("a"))
+    docked = pairs.join(pier, "a", "left_semi").join(pier.withColumnRenamed("a", "b"), "b", "left_semi")
+    return pairs.join(both, ["a", "b"], "left_anti").select("a", "b").unionByName(docked.select("a", "b")).distinct()
+
+
+def ferry_owners(ends: DataFrame, trees: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(vid, city): the city whose tree (city, vid, cost) reaches a ferry's end (vid, lon, lat) at least cost; else the
+    nearest anchor."""
+    owned = trees.join(ends.select("vid"), "vid", "left_semi").groupBy("vid").agg(F.min(F.struct("cost", "city")).alias("x")).select("vid", F.col("x.city").alias("city"))
+    owned = materialize(owned, "ferry-owned")
+    rest = ends.join(owned, "vid", "left_anti")
+    return owned.unionByName(proximity.nearest(rest, anchors, "vid", "anchor").select("vid", F.col("anchor").alias("city")))
+
+
+def dock_once(piers: DataFrame, radius_m: float = 500.0) -> DataFrame:
+    """Piers (pier, lon, lat) without those that a kept pier of a lesser id has within the radius.
+
+    A pier stays once all lesser ones near it are gone, and takes the greater ones near it away; each round settles at
+    least the least undecided pier of every cluster.
+    """
+    near = proximity.radius_join(piers.select(F.col("pier").alias("a"), "lon", "lat"), piers.select(F.col("pier").alias("b"), "lon", "lat"), radius_m)
+    links = materialize(near.where("a < b").select("a", "b"), "pier-links")
+    gone = links.where("false").select(F.col("b").alias("pier"))
+    while not links.isEmpty():
+        first = links.select(F.col("a").alias("pier")).distinct().join(links.select(F.col("b").alias("pier")).distinct(), "pier", "left_anti")
+        lost = materialize(links.join(first.withColumnRenamed("pier", "a"), "a", "left_semi").select(F.col("b").alias("pier")).distinct(), "pier-lost")
+        gone = gone.unionByName(lost)
+        rest = links.join(first.withColumnRenamed("pier", "a"), "a", "left_anti")
+        links = materialize(rest.join(lost.withColumnRenamed("pier", "a"), "a", "left_anti").join(lost.withColumnRenamed("pier", "b"), "b", "left_anti").select("a", "b"), "pier-links")
+    return piers.join(gone, "pier", "left_anti")
+
+
+def joined_legs(legs: DataFrame) -> DataFrame:
+    """(trip, pos, city): the legs (trip, leg, pos, city) of a trip in one chain, the city at a boundary once."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("trip").orderBy("leg", "pos")
+    held = legs.withColumn("before", F.lag(F.struct("leg", "city")).over(order))
+    repeated = F.coalesce((F.col("before")["leg"] != F.col("leg")) & (F.col("before")["city"] == F.col("city")), F.lit(False))
+    return held.where(~repeated).select("trip", (F.row_number().over(order) - 1).alias("pos"), "city")
+
+
+def cluster_summary(clusters: DataFrame, stops: DataFrame) -> DataFrame:
+    """(cluster, gtfs_id, n_members, routes) of (stop, cluster) and stops (stop, routes): least id, members, and the union
+    of their routes in order."""
+    rows = clusters.join(stops.select("stop", "routes"), "stop")
+    base = rows.groupBy("cluster").agg(F.min("stop").alias("gtfs_id"), F.count("*").alias("n_members"))
+    served = rows.select("cluster", F.explode("routes").alias("route")).distinct().groupBy("cluster").agg(F.array_sort(F.collect_list("route")).alias("routes"))
+    return base.join(served, "cluster", "left")
+
+
+def lazy_reach(start: DataFrame, holds: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(city, step): cities reached from ``start`` (city) over (a, b), a's tree holding a vertex of b's polygon, with the
+    number of steps."""
+    seen = frontier = materialize(start.select("city", F.lit(0).alias("step")), "reach")
+    for k in range(1, most_rounds + 1):
+        step = holds.join(frontier.select(F.col("city").alias("a")), "a").select(F.col("b").alias("city")).distinct()
+        frontier = materialize(step.join(seen, "city", "left_anti").withColumn("step", F.lit(k)), "reach-step")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+    raise RuntimeError("the reach has not ended")
+
+
+def bracketed_path(walks: DataFrame) -> DataFrame:
+    """Trunks (src, dst, vid, succ) of single paths (src, dst, pos, vid), between two synthetic vertices -2 - src and -2 - dst."""
+    from pyspark.sql import Window
+
+    ends = walks.groupBy("src", "dst").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    rows = walks.select("src", "dst", "pos", "vid").unionByName(ends.select("src", "dst", (F.col("low") - 1).alias("pos"), (-2 - F.col("src")).alias("vid"))).unionByName(ends.select("src", "dst", (F.col("high") + 1).alias("pos"), (-2 - F.col("dst")).alias("vid")))
+    return rows.select("src", "dst", "vid", F.lead("vid").over(Window.partitionBy("src", "dst").orderBy("pos")).alias("succ"))
+
+
+def trunk_totals(trunks: DataFrame, tree_vertices: DataFrame) -> DataFrame:
+    """One row about (src, dst, vid, succ): trunks, vertices, means of vertices and ends, and the percentage kept of the
+    sources' trees (src, n)."""
+    each = trunks.groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_if(F.col("succ").isNull()).alias("ends")).join(tree_vertices.select("src", F.col("n").alias("whole")), "src")
+    return each.agg(F.count("*").alias("n_trunks"), F.sum("n").alias("n_vertices"), F.avg("n").alias("mean_vertices"), F.avg("ends").alias("mean_ends"), (100.0 * F.sum("n") / F.sum("whole")).alias("kept_percent"))

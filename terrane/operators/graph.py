@@ -50,9 +50,14 @@ def closure(seeds: DataFrame, arcs: DataFrame, most_rounds: int = 1000) -> DataF
 
 
 def flood_fill(ways: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Ways (way, vertex, name) reached from seed ways by steps between ways that share a vertex and a non-empty name."""
-    named = ways.where("name <> ''").select("way", "vertex", "name")
-    arcs = named.alias("x").join(named.alias("y"), ["vertex", "name"]).select(F.col("x.way").alias("src"), F.col("y.way").alias("dst")).distinct()
+    """Ways (way, vertex, name) reached from seed ways by steps between ways that share a vertex and a non-empty name
+    (or, if there is such a column, ``ref``)."""
+    label = [F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("name", "ref") if c in ways.columns]
+    named = ways.select("way", "vertex", F.explode(F.array(*label)).alias("x")).where("x.value <> ''").select("way", "vertex", "x").distinct()
+    # links to the least way of each vertex and label, both ways, reach as far as links between all pairs and are linear
+    hub = F.min("way").over(Window.partitionBy("vertex", "x"))
+    star = named.withColumn("hub", hub).where("way <> hub").select("way", "hub").distinct()
+    arcs = star.toDF("src", "dst").unionByName(star.toDF("dst", "src"))
     return closure(seeds.withColumnRenamed("way", "node"), arcs).withColumnRenamed("node", "way")
 
 
@@ -127,3 +132,8 @@ def leaf_chains(successors: DataFrame) -> DataFrame:
 def best_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("best_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("best_rank = 1").drop("best_rank")
+
+
+def largest(roots: DataFrame) -> DataFrame:
+    """One row (root, n): the component of most nodes; of equal ones the least root."""
+    return roots.groupBy("root").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "root").limit(1)

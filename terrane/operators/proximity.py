@@ -106,3 +106,48 @@ def sector_neighbours(points: DataFrame, id_col: str, radius_m: float, sectors:
 def canonical_pairs(pairs: DataFrame, cost: str) -> DataFrame:
     """Unordered pairs (a < b) with their least cost."""
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), cost).groupBy("a", "b").agg(F.min(cost).alias(cost))
+
+
+def disc_sector_neighbours(points: DataFrame, id_col: str, radius_m: float, sectors: int = 16, width_deg: float = 45.0, disc_m: float = 5_000.0) -> DataFrame:
+    """(a, b, dist_m): the nearest neighbour in each sector around a point; a sector also takes what lies beside it by no
+    more than the half angle of a disc around the neighbour."""
+    a, b = points.select(F.col(id_col).alias("a"), "lon", "lat"), points.select(F.col(id_col).alias("b"), "lon", "lat")
+    pairs = radius_join(a, b, radius_m).where("a <> b").withColumn("way", geo.bearing("l_lon", "l_lat", "r_lon", "r_lat"))
+    tolerance = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(disc_m) / F.greatest("dist_m", F.lit(1.0)))))
+    pairs = pairs.withColumn("sector", F.explode(F.sequence(F.lit(0), F.lit(sectors - 1))))
+    pairs = pairs.where(geo.bearing_difference("way", F.col("sector") * (360.0 / sectors)) <= width_deg / 2 + tolerance)
+    best = pairs.groupBy("a", "sector").agg(F.min(F.struct("dist_m", "b")).alias("x"))
+    return best.select("a", "x.b", "x.dist_m").distinct()
+
+
+def in_polygons(points: DataFrame, areas: DataFrame, point_id: str, area_id: str, cell_deg: float = 1.0) -> DataFrame:
+    """(point_id, area_id, square_deg) of the polygons (area_id, ring) that hold each point: rings are copied to the cells that
+    their boxes cover, then tested by ray casting."""
+    ring = F.col("ring")
+    low, high = (lambda c: F.array_min(F.transform(ring, lambda p: p[c]))), (lambda c: F.array_max(F.transform(ring, lambda p: p[c])))
+    span = lambda c: F.sequence(F.floor(low(c) / cell_deg), F.floor(high(c) / cell_deg))
+    covered = areas.select(area_id, "ring", geo.ring_area(ring).alias("square_deg"), F.explode(span("lon")).alias("cx"), span("lat").alias("ys"))
+    covered = covered.withColumn("cy", F.explode("ys")).drop("ys")
+    held = points.select(point_id, "lon", "lat", F.floor(F.col("lon") / cell_deg).alias("cx"), F.floor(F.col("lat") / cell_deg).alias("cy"))
+    return held.join(covered, ["cx", "cy"]).where(geo.in_ring("lon", "lat", ring)).select(point_id, area_id, "square_deg")
+
+
+def smallest_polygon(points: DataFrame, areas: DataFrame, point_id: str, area_id: str, cell_deg: float = 1.0) -> DataFrame:
+    """(point_id, area_id) of the smallest polygon that holds each point; ties by the area's id."""
+    held = in_polygons(points, areas, point_id, area_id, cell_deg)
+    return held.groupBy(point_id).agg(F.min(F.struct("square_deg", area_id)).alias("x")).select(point_id, F.col("x")[area_id].alias(area_id))
+
+
+def holding_all(points: DataFrame, areas: DataFrame, group: str, point_id: str, area_id: str, cell_deg: float = 1.0) -> DataFrame:
+    """(group, area_id): the polygons that hold every point of a group (group, point_id, lon, lat)."""
+    sizes = points.groupBy(group).agg(F.countDistinct(point_id).alias("n"))
+    held = points.select(group, point_id).distinct().join(in_polygons(points, areas, point_id, area_id, cell_deg).select(point_id, area_id).distinct(), point_id)
+    return held.groupBy(group, area_id).agg(F.count("*").alias("m")).join(sizes, group).where("m = n").select(group, area_id)
+
+
+def served_stations(stations: DataFrame, track: DataFrame, id_col: str, radius_m: float, lines: DataFrame, least_lines: int = 100, least_m: float = 500_000.0) -> DataFrame:
+    """Stations without those farther than the radius from any track point; all stay where the lines (length) are too few
+    or too short to judge by."""
+    known = lines.agg((F.count("*") >= least_lines).alias("many"), (F.coalesce(F.sum("length"), F.lit(0.0)) >= least_m).alias("long"))
+    far = farther_than(stations.select(id_col, "lon", "lat"), track, id_col, radius_m).select(id_col).crossJoin(F.broadcast(known)).where("many AND long").select(id_col)
+    return stations.join(far, id_col, "left_anti")

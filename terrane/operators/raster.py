@@ -80,6 +80,18 @@ def sample_midpoints(edges: DataFrame, grid: DataFrame, size: float) -> DataFram
     return at.join(grid, ["row", "col"], "left").withColumn("sample", F.coalesce("value", F.lit(0.0))).drop("value")
 
 
+def sample_bilinear(points: DataFrame, grid: DataFrame, size: float, id_col: str, nodata: float | None = None) -> DataFrame:
+    """(id, sample): each point's value between the four cells around it, cell (row, col) standing at its corner; null
+    where one of the four is missing, null or ``nodata``."""
+    y, x = F.col("lat") / size, F.col("lon") / size
+    at = points.select(id_col, F.floor(y).alias("r0"), F.floor(x).alias("c0"), (y - F.floor(y)).alias("fr"), (x - F.floor(x)).alias("fc"))
+    part = lambda dr, dc: F.struct((F.col("r0") + dr).alias("row"), (F.col("c0") + dc).alias("col"), ((F.col("fr") if dr else 1 - F.col("fr")) * (F.col("fc") if dc else 1 - F.col("fc"))).alias("w"))
+    four = at.select(id_col, F.explode(F.array(part(0, 0), part(0, 1), part(1, 0), part(1, 1))).alias("x")).select(id_col, "x.*")
+    known = grid.where("value IS NOT NULL") if nodata is None else grid.where((F.col("value") != nodata) & F.col("value").isNotNull())
+    found = four.join(known.select("row", "col", "value"), ["row", "col"], "left").groupBy(id_col)
+    return found.agg(F.when(F.count("value") == 4, F.sum(F.col("w") * F.col("value"))).alias("sample"))
+
+
 def sample_along(edges: DataFrame, grid: DataFrame, size: float, spacing: float, id_col: str = "edge", least: int = 3, most: int = 50) -> DataFrame:
     """(edge, sample): mean over evenly spaced points of each edge, off-grid and null cells left out, 0 without any."""
     n = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.col("length") / spacing)))

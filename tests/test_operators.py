@@ -200,3 +200,52 @@ def test_stages_end_at_stops_on_the_way(spark):
     known = spark.createDataFrame([(1, 2200.0)], "line long, km double")
     longer = ordered.stage_ends(line, "line", ["seq"], 400.0, None, known).orderBy("stage").collect()
     assert len(longer) == 6 and abs(sum(r["stage_km"] for r in longer) - 2200) < 1
+
+
+def test_piers_dock_once(spark):
+    """The least pier stays and takes those near it; what only a lost pier was near to stays."""
+    from terrane.operators import chains
+
+    r = random.Random(4)
+    rows = [(k, 10 + r.random() * 0.05, 50 + r.random() * 0.05) for k in range(120)]
+    kept: list = []
+    metres = lambda a, b: 2 * 6_371_000 * math.asin(math.sqrt(math.sin(math.radians(b[2] - a[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2))
+    for p in rows:
+        if all(metres(p, q) > 500 for q in kept):
+            kept.append(p)
+    found = chains.dock_once(spark.createDataFrame(rows, "pier long, lon double, lat double"))
+    assert sorted(x["pier"] for x in found.collect()) == [p[0] for p in kept] and 5 < len(kept) < 120
+
+
+def test_station_clusters_look_around(spark):
+    """A cluster that has drifted is found from the buckets around a stop; the order of ids decides."""
+    from terrane.operators import chains
+
+    r = random.Random(9)
+    rows = [(k, "x", 10 + r.random() * 0.01, 50 + r.random() * 0.01) for k in range(80)]
+    clusters: list = []
+    expected = {}
+    for k, _, lon, lat in rows:
+        fits = [c for c in clusters if abs(c[0] - lon) < 0.001 and abs(c[1] - lat) < 0.001 and abs(int(c[4] / 0.001) - int(lon / 0.001)) < 3 and abs(int(c[5] / 0.001) - int(lat / 0.001)) < 3]
+        if len(fits) > 1:  # the search order over buckets decides
+            at = lambda c: min((j, i, clusters.index(c)) for j in (-1, 0, 1) for i in (-1, 0, 1) if abs(int(lon / 0.001) + i - int(c[4] / 0.001)) < 2 and abs(int(lat / 0.001) + j - int(c[5] / 0.001)) < 2)
+            fits.sort(key=at)
+        if fits:
+            c = fits[0]
+            c[0], c[1], c[2] = (c[0] * c[2] + lon) / (c[2] + 1), (c[1] * c[2] + lat) / (c[2] + 1), c[2] + 1
+        else:
+            c = [lon, lat, 1, k, lon, lat]
+            clusters.append(c)
+        expected[k] = c[3]
+    found = {x["stop"]: x["cluster"] for x in chains.cluster_stations(spark.createDataFrame(rows, "stop long, name_key string, lon double, lat double")).collect()}
+    assert found == expected
+
+
+def test_generated_cost_methods_are_small(spark):
+    """Methods above 8,000 bytes are never compiled by the JVM."""
+    from terrane.plans import catalog
+
+    debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    for name in ("cost_direct", "cost_scenic", "cost_direct_multi"):
+        stages = debug.codegenStringSeq(catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan())
+        assert all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
