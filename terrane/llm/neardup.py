@@ -27,10 +27,11 @@ columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.session import fresh_names, materialize, release
@@ -42,12 +43,12 @@ SYMBOLS = CHUNKS * CHUNK
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash, emptied at 150,000 words."""
+    """Word to 64-bit hash, emptied at 100,000 words."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 150_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -272,7 +273,8 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
         slot = np.flatnonzero(total)
         yield pd.DataFrame({"slot": slot, "n": total[slot]})
 
-    found = sets.select("members").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    with _small_batches(sets.sparkSession):
+        found = sets.select("members").mapInPandas(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(_SLOTS, np.int64)
     counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     return counts
@@ -371,7 +373,7 @@ def rest_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame, reach: int
     if todo.isEmpty():
         return None
     held = _written(needed_sets(todo.select(F.col("node").alias("a"), F.col("node").alias("b")), sets), "open-sets")
-    keys = materialize(rare_keys(held.join(todo, "node"), shingle_counts(held), percent), "rare-keys")
+    keys = _written(rare_keys(held.join(todo, "node"), shingle_counts(held), percent), "rare-keys")
     release(held)
     pairs = materialize(rare_pairs(keys, percent), "rare-pairs")
     release(keys)
@@ -401,15 +403,21 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def _written(df: DataFrame, label: str, rows: int = 1000) -> DataFrame:
-    """``materialize`` with small Arrow batches, for rows with whole sets or texts."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, rows)
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of few rows, for rows with whole sets or texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
     try:
-        return materialize(df, label)
+        yield
     finally:
-        conf.set(key, before)
+        spark.conf.set(key, before)
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    with _small_batches(df.sparkSession):
+        return materialize(df, label)
 
 
 def _joined(links: DataFrame, roots: DataFrame, more: DataFrame | None) -> tuple[DataFrame, DataFrame]:

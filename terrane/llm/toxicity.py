@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -85,8 +86,8 @@ class LexiconAutomaton:
 
     def forget(self) -> None:
         """Drop the states made so far; they are made again as words need them."""
-        self.ids: dict[frozenset, int] = {}
-        self.sets: list[dict[int, int]] = []
+        self.ids: dict[bytes, int] = {}
+        self.sets: list[bytes] = []  # by state its trie nodes and edits so far, packed: 4 * node + edits
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple] = []
         self.start = self._state(self._close({0: 0}))
@@ -105,10 +106,10 @@ class LexiconAutomaton:
     def _state(self, state: dict[int, int]) -> int:
         if not state:
             return -1
-        key = frozenset(state.items())
+        key = array("I", sorted([4 * node + e for node, e in state.items()])).tobytes()
         if key not in self.ids:
             self.ids[key] = len(self.sets)
-            self.sets.append(state)
+            self.sets.append(key)
             self.steps.append({})
             found = [(k, e) for node, e in state.items() for k in self.ends[node] if e <= allowed_edits(self.terms[k].text)]
             best = lambda keep: max((x for x in found if keep(*x)), key=lambda x: (self.terms[x[0]].weight, -x[1]), default=None)
@@ -127,7 +128,8 @@ class LexiconAutomaton:
                 if e <= self.reach[node] and new.get(node, 99) > e:
                     new[node] = e
 
-            for node, e in self.sets[s].items():
+            for x in array("I", self.sets[s]):
+                node, e = x >> 2, x & 3
                 put(node, e + 1)
                 for label, child in self.children[node].items():
                     put(child, e if label == c else e + 1)
@@ -159,14 +161,14 @@ class LexiconAutomaton:
 
 
 class Matcher(dict):
-    """Word to its hit (term, edits) or None; emptied at 500,000 words."""
+    """Word to its hit (term, edits) or None; emptied at 150,000 words."""
 
     def __init__(self, terms: list[Term]):
         super().__init__()
         self.terms, self.automaton = terms, LexiconAutomaton(terms)
 
     def __missing__(self, word: str):
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         core = _EDGE.sub("", word)
         hit = self.automaton.match(core) if core else None
