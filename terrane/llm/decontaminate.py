@@ -134,6 +134,9 @@ class BlockIndex:
 
     def scan(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list]]:
         """Per text: words, merged spans of hit words (end exclusive) and the ids of the items found."""
+        return [found for k in range(0, len(texts), 500) for found in self._scan(texts[k : k + 500])]
+
+    def _scan(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list]]:
         get = self.vocabulary.get
         split = [words(t) for t in texts]
         lengths = np.array([len(w) for w in split], np.int64)

@@ -333,9 +333,9 @@ def train(
                 for stem, part in ((False, words), (True, stems)):
                     for w in part:
                         counts.setdefault((w, stem), [0, 0, 0, 0])[2 * fold + y] += 1
-            if len(counts) > 400_000:
-                yield frame(counts)
-                counts = {}
+                if len(counts) > 60_000:
+                    yield frame(counts)
+                    counts = {}
         yield frame(counts)
 
     def frame(counts: dict) -> pd.DataFrame:
