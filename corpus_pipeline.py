@@ -16,8 +16,14 @@ from terrane.session import fresh_names, materialize, table
 TOXIC = 0.3
 
 
+def _text_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts, so few of them go to a Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the model, learned from the labels of ``sf_dir``, scores as toxic."""
+    _text_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     (found,) = fresh_names(docs, 1)
     return toxicity.scored(docs, model, into=found).where(F.col(found)["score"] < TOXIC).drop(found)
@@ -25,11 +31,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least id, of each group linked by 0.8 or more on shingles of five words."""
+    _text_batches(spark)
     return neardup.deduplicated(docs, shingle=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that share ten consecutive words, or a whole shorter item, with the benchmark."""
+    _text_batches(spark)
     (hit,) = fresh_names(docs, 1)
     return decontaminate.flagged(docs, table(spark, sf_dir, "benchmark"), hit).where(~F.col(hit)).drop(hit)
 
@@ -47,6 +55,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 4096 tokens."""
+    _text_batches(spark)
     return packing.pack(docs, tokens.vocabulary("word_bpe_49k.json"), end_id=2)
 
 
