@@ -111,7 +111,8 @@ _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 def encoder(path: str, style: str) -> PieceEncoder:
     """The worker's own encoder; its cache lives as long as the worker."""
     if (path, style) not in _ENCODERS:
-        _ENCODERS[path, style] = PieceEncoder(path, style)
+        # words repeat more than the byte style's pieces do, so a smaller memory serves them
+        _ENCODERS[path, style] = PieceEncoder(path, style, 900_000 if style == "byte" else 300_000)
     return _ENCODERS[path, style]
 
 
