@@ -16,13 +16,15 @@ NAMES = (
 
 
 def main() -> None:
+    import tempfile
+
     from pyspark.sql import SparkSession
 
     from terrane.plans import catalog
 
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="bench-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     plans, took = catalog.queries(), {}
