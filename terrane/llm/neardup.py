@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrane.llm.memory import kept
 from terrane.session import fresh_names, materialize, release
 
 _BLANK = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -54,21 +55,19 @@ class WordHashes(dict):
         return h
 
 
-_HASHES = WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
+def shingle_set(text: str | None, size: int, hashes: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles."""
+    hashes = WordHashes() if hashes is None else hashes
     words = text.encode("utf-8").translate(_BLANK).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     size = min(size, len(h))
     n = len(h) - size + 1
     out = np.full(n, size, np.uint64)
@@ -108,11 +107,12 @@ def shingle_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> Data
         from pyspark import TaskContext
 
         ab, uid = multipliers(), TaskContext.get().partitionId() << 33
+        hashes = kept("word hashes", WordHashes)
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part, rows = batch.iloc[at : at + 1000], []
                 for text in part["text"].tolist():
-                    members = shingle_set(text if isinstance(text, str) else None, size)
+                    members = shingle_set(text if isinstance(text, str) else None, size, hashes)
                     blob = to_bytes(members)
                     rows.append((len(members), xxhash.xxh3_128_digest(blob), signature(members, ab) if len(members) else None, blob))
                 out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "signature", "members"])

@@ -18,6 +18,8 @@ import struct
 
 import regex
 
+from terrane.llm.memory import kept
+
 #: Characters whose classes and case are alike in every Unicode version.
 _PLAIN = regex.compile(r"[\x09\x0A\x0D\x20-\x7E¡-¬®-įı-ɏ‐-‧]*+")
 _LAST_LATIN = "\u024F"
@@ -105,15 +107,10 @@ class PieceEncoder:
         return self.first[parts[0]] + b"".join(map(self.after_space.__getitem__, parts[1:]))
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
-
-
 def encoder(path: str, style: str) -> PieceEncoder:
-    """The worker's own encoder; its cache lives as long as the worker."""
-    if (path, style) not in _ENCODERS:
-        # words repeat more than the byte style's pieces do, so a smaller memory serves them
-        _ENCODERS[path, style] = PieceEncoder(path, style, 900_000 if style == "byte" else 300_000)
-    return _ENCODERS[path, style]
+    """The worker's own encoder; its cache lives until the worker serves another operator."""
+    # words repeat more than the byte style's pieces do, so a smaller memory serves them
+    return kept(("encoder", path, style), lambda: PieceEncoder(path, style, 900_000 if style == "byte" else 300_000))
 
 
 def vocabulary(name: str) -> str:

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.memory import kept
 from terrane.session import materialize
 
 #: Common English insults.
@@ -363,7 +364,6 @@ def train(
     return ToxicityModel(terms((0, 1)), fit(got[:, :MODELLED], got[:, MODELLED]), window)
 
 
-_MATCHERS: dict[str, Matcher] = {}
 RESULT = "struct<score: double, n_exact: long, n_fuzzy: long, n_quoted: long>"
 
 
@@ -374,10 +374,7 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", into:
     @F.pandas_udf(RESULT)
     def score(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        matcher = _MATCHERS.get(m.key)
-        if matcher is None:
-            _MATCHERS.clear()
-            matcher = _MATCHERS[m.key] = Matcher(m.terms)
+        matcher = kept(("toxicity", m.key), lambda: Matcher(m.terms))
         x = np.array([matcher.features(t if isinstance(t, str) else None, m.window) for t in texts.tolist()]).reshape(-1, MODELLED + 3)
         return pd.DataFrame({"score": m.score(x), "n_exact": x[:, MODELLED], "n_fuzzy": x[:, MODELLED + 1], "n_quoted": x[:, MODELLED + 2]}).astype({"n_exact": "int64", "n_fuzzy": "int64", "n_quoted": "int64"})
 
