@@ -89,6 +89,25 @@ def bounded_costs(pairs: DataFrame, arcs: DataFrame, region: str, ratio: float =
     return left.cogroup(arcs.select(region, "src", "dst", "cost").groupBy(region)).applyInPandas(solve, "src long, dst long, cost double")
 
 
+def entry_points(searches: DataFrame, targets: DataFrame, arcs: DataFrame, region: str, bias: float = 0.0, prefer_m: float = 5_000.0, most: float = 50.0) -> DataFrame:
+    """(search, target, cost): where each search best enters its targets, by cost + ``bias`` * kilometres left to its aim.
+
+    ``searches`` has (search, region, vid, prefer_lon, prefer_lat, aim_lon, aim_lat), ``targets`` (search, target, lon,
+    lat). Targets within ``prefer_m`` of the preferred point stand for all of a search that has such; a null point
+    prefers none, a null aim adds nothing. A vertex in the margins of several regions counts by its least cost. Paths cost ``most`` at most and lie in their region's arcs, which are searched
+    whole; searches that reach no target have no row. Ties go to the least target.
+    """
+    met = targets.select("search", "target", "lon", "lat").join(searches, "search")
+    met = met.withColumn("inside", F.coalesce(geo.haversine_m("prefer_lon", "prefer_lat", "lon", "lat") <= prefer_m, F.lit(False)))
+    some = met.groupBy("search").agg(F.max("inside").alias("some"))
+    open_ = met.join(some, "search").where(F.col("inside") | ~F.col("some"))
+    pairs = open_.select(region, F.col("vid").alias("src"), F.col("target").alias("dst"), F.lit(0.0).alias("crow_m")).distinct()
+    costs = bounded_costs(pairs, arcs, region, extra_m=most, most_m=most).toDF("vid", "target", "cost")
+    left = F.coalesce(geo.haversine_m("lon", "lat", "aim_lon", "aim_lat") / 1000, F.lit(0.0))
+    reached = open_.join(costs, ["vid", "target"]).withColumn("score", F.col("cost") + bias * left)
+    return graph.best_by(reached, ["search"], ["score", "target"]).select("search", "target", "cost")
+
+
 def reachable_within(costs: DataFrame, crow: DataFrame, ratio: float = 8.0) -> DataFrame:
     """Pairs whose cost is above 0 and at most ``ratio`` times their crow-fly distance (src, dst, crow_m)."""
     return costs.join(crow, ["src", "dst"]).where((F.col("cost") > 0) & (F.col("cost") <= ratio * F.col("crow_m")))

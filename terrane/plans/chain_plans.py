@@ -36,21 +36,47 @@ def station_clusters(spark, d):
     return chains.cluster_stations(s, 0.3)
 
 
-@register("bounded_costs")
+_PAIRED = f"""WITH RECURSIVE {t.CITY_ARCS}, spots AS (SELECT n_nationkey::BIGINT AS node, {t.lon_sql('n_nationkey')} AS lon, {t.lat_sql('n_nationkey')} AS lat FROM nation),
+ p AS (SELECT node AS src, node AS dst, 0.0::DOUBLE AS cost, 0 AS hops FROM spots
+ UNION SELECT p.src, arcs.dst, min(p.cost + arcs.cost), hops + 1 FROM p JOIN arcs ON p.dst = arcs.src WHERE hops < 10 GROUP BY p.src, arcs.dst, hops + 1),
+ d AS (SELECT src, dst, min(cost) AS cost FROM p GROUP BY 1, 2)"""
+
+
+@register("bounded_costs", f"{_PAIRED}, w AS (SELECT src, (dst + 5) % 25 AS dst, cost * 1.5::DOUBLE AS crow FROM arcs WHERE src <> (dst + 5) % 25), l AS (SELECT src, least(2 * max(crow) + 50, 300000) AS most FROM w GROUP BY src) SELECT DISTINCT w.src, w.dst, d.cost FROM w JOIN l ON l.src = w.src JOIN d ON d.src = w.src AND d.dst = w.dst WHERE d.cost <= most")
 def bounded_costs(spark, d):
     arcs = t.city_arcs(spark, d).withColumn("region", F.lit(0))
     pairs = arcs.select("region", F.col("src"), F.pmod(F.col("dst") + 5, F.lit(25)).alias("dst"), (F.col("cost") * 1.5).alias("crow_m")).where("src <> dst").distinct()
     return chains.bounded_costs(pairs, arcs, "region", extra_m=50.0)
 
 
-_SERVED = f"served AS (SELECT DISTINCT s_nationkey::BIGINT AS anchor, l_orderkey % 40 AS route FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 48)"
+_SERVED = f"served AS (SELECT DISTINCT s_nationkey::BIGINT AS anchor, l_orderkey % 40 AS route FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
 _CITY = f"cities AS (SELECT n_nationkey::BIGINT AS anchor, {t.lon_sql('n_nationkey')} AS lon, {t.lat_sql('n_nationkey')} AS lat FROM nation)"
 
 
+_LEFT = t.haversine_sql("x.lon", "x.lat", "m.lon", "m.lat")
+_NEAR = t.haversine_sql("f.lon", "f.lat", "x.lon", "x.lat")
+_ENTRY = f"""{_PAIRED}, m AS (SELECT a.node AS search, x.node AS target, {_NEAR} <= 300000 AS inside, {_LEFT} / 1000 AS km
+ FROM spots a JOIN spots x ON x.node <> a.node AND (a.node + x.node) % 2 = 1 JOIN spots f ON f.node = (a.node + 7) % 25 JOIN spots m ON m.node = (a.node + 3) % 25),
+ k AS (SELECT *, bool_or(inside) OVER (PARTITION BY search) AS any_near FROM m),
+ r AS (SELECT search, target, cost, row_number() OVER (PARTITION BY search ORDER BY cost + 0.05 * km, target) AS r FROM k JOIN d ON search = src AND target = dst WHERE (inside OR NOT any_near) AND cost <= 40)
+ SELECT search, target, cost FROM r WHERE r = 1"""
+
+
+@register("entry_points", _ENTRY)
+def entry_points(spark, d):
+    at = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), t.lon_of("n_nationkey").alias("lon"), t.lat_of("n_nationkey").alias("lat"))
+    turned = lambda k, *names: at.select(F.pmod(F.col("node") - k, F.lit(25)).alias("search"), "lon", "lat").toDF("search", *names)
+    searches = at.select(F.col("node").alias("search"), F.lit(0).alias("region"), F.col("node").alias("vid"))
+    searches = searches.join(turned(7, "prefer_lon", "prefer_lat"), "search").join(turned(3, "aim_lon", "aim_lat"), "search")
+    targets = searches.select("search").join(at.withColumnRenamed("node", "target"), F.pmod("search", F.lit(2)) == 1 - F.pmod("target", F.lit(2)))
+    arcs = t.city_arcs(spark, d).withColumn("region", F.lit(0))
+    return chains.entry_points(searches, targets, arcs, "region", bias=0.05, prefer_m=300_000, most=40.0)
+
+
 @register("rail_graph", f"WITH {_SERVED}, {_CITY} SELECT DISTINCT x.anchor AS src, y.anchor AS dst, round({t.haversine_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} / 1000, 4) AS cost FROM served x JOIN served y ON x.route = y.route AND x.anchor <> y.anchor JOIN cities a ON a.anchor = x.anchor JOIN cities b ON b.anchor = y.anchor")
 def rail_graph(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("anchor"))
-    served = table(spark, d, "lineitem").where("l_quantity > 48").join(s, "l_suppkey").select("anchor", F.pmod("l_orderkey", F.lit(40)).alias("route")).distinct()
+    served = table(spark, d, "lineitem").join(s, "l_suppkey").select("anchor", F.pmod("l_orderkey", F.lit(40)).alias("route")).distinct()
     k = F.col("n_nationkey").cast("long")
     cities = table(spark, d, "nation").select(k.alias("anchor"), t.lon_of("n_nationkey").alias("lon"), t.lat_of("n_nationkey").alias("lat"))
     return chains.rail_graph(served, cities).select("src", "dst", F.round("cost", 4).alias("cost"))
