@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,18 +31,31 @@ def uniform_blur(grid: DataFrame, radius: int) -> DataFrame:
     return both.select("row", "col", (F.col("t") / float((2 * radius + 1) ** 2)).alias("value"))
 
 
-def local_deviation(grid: DataFrame, radius: int) -> DataFrame:
-    """Standard deviation over the square window, of the cells that there are (nulls left out)."""
-    cells = grid.where("value IS NOT NULL")
-    spread = cells.select(
-        "value",
-        F.explode(F.sequence(F.col("row") - radius, F.col("row") + radius)).alias("r"),
-        "col",
-    ).groupBy("r", "col").agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"), F.count("*").alias("n"))
-    wide = spread.select("r", F.explode(F.sequence(F.col("col") - radius, F.col("col") + radius)).alias("c"), "s1", "s2", "n")
-    sums = wide.groupBy("r", "c").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("n").alias("n"))
+def local_deviation(grid: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
+    """Standard deviation over the square window, of the cells that there are (nulls left out).
+
+    With ``nearest`` the grid's outermost rows and columns are repeated beyond its border; else nothing lies there.
+    """
+    cells = grid.where("value IS NOT NULL").select("row", "col", "value")
+    ends = grid.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("row", "col") for f in (F.min, F.max)]).first() if nearest else None
+
+    def spread(axis: str) -> Column:
+        """The middles of the windows that a cell lies in, and how often it counts there."""
+
+        def times(middle: Column) -> Column:
+            at, low, high = F.col(axis), F.lit(ends[f"{axis}_min"]), F.lit(ends[f"{axis}_max"])
+            beyond = F.when(at == low, F.greatest(low - middle + radius, F.lit(0))).otherwise(0)
+            return 1 + beyond + F.when(at == high, F.greatest(middle + radius - high, F.lit(0))).otherwise(0)
+
+        middles = F.sequence(F.col(axis) - radius, F.col(axis) + radius)
+        return F.explode(F.transform(middles, lambda m: F.struct(m.alias("at"), (times(m) if nearest else F.lit(1)).alias("times"))))
+
+    by_row = cells.withColumn("r", spread("row")).withColumn("w", F.col("r.times"))
+    by_row = by_row.groupBy("r.at", "col").agg(F.sum(F.col("w") * F.col("value")).alias("s1"), F.sum(F.col("w") * F.col("value") * F.col("value")).alias("s2"), F.sum("w").alias("n"))
+    both = by_row.withColumnRenamed("at", "row").withColumn("c", spread("col")).withColumn("w", F.col("c.times"))
+    sums = both.groupBy("row", F.col("c.at").alias("col")).agg(*[F.sum(F.col("w") * F.col(x)).alias(x) for x in ("s1", "s2", "n")])
     mean = F.col("s1") / F.col("n")
-    out = sums.select(F.col("r").alias("row"), F.col("c").alias("col"), F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean)).alias("value"))
+    out = sums.select("row", "col", F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean)).alias("value"))
     return grid.select("row", "col").join(out, ["row", "col"])
 
 

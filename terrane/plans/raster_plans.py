@@ -26,6 +26,11 @@ def raster_deviation(spark, d):
     return raster.local_deviation(t.grid(spark, d), 2).select("row", "col", F.round("value", 5).alias("value"))
 
 
+@register("raster_deviation_nearest", f"WITH {t.GRID}, e AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM grid), s AS (SELECT row, col, greatest(r0, least(r1, row + dr)) AS r, greatest(c0, least(c1, col + dc)) AS c FROM grid, e, range(-2, 3) a(dr), range(-2, 3) b(dc)), g AS (SELECT s.row, s.col, sqrt(greatest(0.0, sum(v.value * v.value) / count(*) - pow(sum(v.value) / count(*), 2))) AS value FROM s JOIN grid v ON v.row = r AND v.col = c GROUP BY 1, 2) SELECT row, col, round(value, 5) AS value FROM g")
+def raster_deviation_nearest(spark, d):
+    return raster.local_deviation(t.grid(spark, d), 2, nearest=True).select("row", "col", F.round("value", 5).alias("value"))
+
+
 @register("max_pool_pyramid", f"WITH {t.GRID}, l AS (SELECT unnest(range(0, 4)) AS level) SELECT level::INT AS level, floor(row / pow(2, level))::BIGINT AS row, floor(col / pow(2, level))::BIGINT AS col, max(value) AS value FROM grid, l GROUP BY 1, 2, 3")
 def max_pool_pyramid(spark, d):
     return raster.pyramid(t.grid(spark, d), 3)
