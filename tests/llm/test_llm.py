@@ -717,3 +717,13 @@ def test_pipeline(spark, sf, tmp_path):
         if name == "secrets":
             assert kept.keys() == texts.keys() and all(not spans_brute(t) for t in kept.values())
     assert docs.agg(F.countDistinct("doc_id")).first()[0] == len(kept)
+
+
+def test_a_worker_keeps_the_memory_of_one_operator():
+    from terrane.llm.memory import kept
+
+    first = kept("one", dict)
+    first["word"] = 1
+    assert kept("one", dict) is first
+    assert kept("two", dict) == {}
+    assert kept("one", dict) == {}
