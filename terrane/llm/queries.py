@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, licenses, lmscore, neardup, packing, quality, secrets, substrings, tokenfiles, tokens, toxicity, warc
+from terrane.llm import decontaminate, licenses, lmscore, neardup, packing, quality, secrets, substrings, tokenfiles, tokens, toxicity, vectorcodes, warc
 from terrane.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,27 @@ FROM split LEFT JOIN kept USING (doc_id)
 @query("op11_substring_dedup", OP11_SQL)
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.without_repeats(table(spark, sf_dir, "documents"), window=20))
+
+
+def _op12_sql(rounds: int = 4) -> str:
+    """Plain Lloyd rounds, all distances worked out; integers of this size are exact as doubles."""
+    ctes = [
+        "kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "cut AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, (SELECT unnest(range(4)) AS p))",
+        "book0 AS MATERIALIZED (SELECT p, e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM cut) WHERE e < 256)",
+    ]
+    for k in range(rounds + 1):
+        far = "list_inner_product(c.x, c.x) + list_inner_product(b.x, b.x) - 2 * list_inner_product(c.x, b.x)"
+        ctes.append(f"near{k} AS MATERIALIZED (SELECT vec_id, p, m.e AS e, m.d AS d, x FROM (SELECT vec_id, c.p AS p, any_value(c.x) AS x, min({{'d': {far}, 'e': b.e}}) AS m FROM cut c JOIN book{k} b ON c.p = b.p GROUP BY vec_id, c.p))")
+        if k < rounds:
+            means = f"SELECT p, e, list(c ORDER BY i) AS x FROM (SELECT p, e, i, floor(sum(y) / count(*)) AS c FROM (SELECT p, e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS y FROM near{k}) GROUP BY p, e, i) GROUP BY p, e"
+            ctes.append(f"book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.x, b.x) AS x FROM book{k} b LEFT JOIN ({means}) n USING (p, e))")
+    ctes.append(f"done AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)")
+    ctes.append(f"digest AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS y FROM book{rounds}))")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM done JOIN kept USING (vec_id), digest"
+
+
+@query("op12_vector_codes", _op12_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectorcodes.with_label_errors(vectorcodes.encoded(table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
