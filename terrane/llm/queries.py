@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import decontaminate, licenses, lmscore, neardup, packing, quality, secrets, substrings, tokenfiles, tokens, toxicity, vectorcodes, warc
+from terrane.llm import decontaminate, licenses, lmscore, merkle, neardup, packing, quality, secrets, substrings, tokenfiles, tokens, toxicity, vectorcodes, warc
 from terrane.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,46 @@ def _op12_sql(rounds: int = 4) -> str:
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vectorcodes.with_label_errors(vectorcodes.encoded(table(spark, sf_dir, "embeddings")))
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+#: CRC-32 bit by bit over the id's digits; nodes of the trees level by level; a leaf's siblings by its index.
+OP13_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS g, text, lang, source, n_chars,
+         n_chars + CASE WHEN xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ord(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1))))) % 7 = 0 THEN 1 ELSE 0 END AS other
+  FROM documents
+), leaves AS (
+  SELECT doc_id, g, sha256(a || n || t) AS leaf, sha256(a || o || t) AS again
+  FROM (SELECT doc_id, g,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n, coalesce(strlen(CAST(other AS VARCHAR)) || ':' || other, '-') AS o, coalesce(strlen(text) || ':' || text, '-') AS t FROM docs)
+), placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+tree AS (
+  SELECT g, 0 AS lvl, idx, leaf AS h, n FROM placed
+  UNION ALL SELECT g, lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, lvl, idx // 2, n
+), nodes AS MATERIALIZED (SELECT * FROM tree),
+subs AS MATERIALIZED (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, idx, subroot AS h, n FROM subs
+  UNION ALL SELECT lvl + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, idx // 2, n
+), tops AS MATERIALIZED (SELECT * FROM top),
+steps AS MATERIALIZED (
+  SELECT p.doc_id, p.leaf, p.idx, p.g, t.lvl AS k, (p.idx >> t.lvl) % 2 AS side, s.h AS sib
+  FROM placed p JOIN (SELECT DISTINCT g, lvl, n FROM nodes) t ON t.g = p.g AND t.n > 1 LEFT JOIN nodes s ON s.g = p.g AND s.lvl = t.lvl AND s.idx = xor(p.idx >> t.lvl, 1)
+  UNION ALL SELECT p.doc_id, p.leaf, p.idx, p.g, 1000 + t.lvl, (b.idx >> t.lvl) % 2, s.h
+  FROM placed p JOIN subs b ON b.g = p.g JOIN (SELECT DISTINCT lvl, n FROM tops) t ON t.n > 1 LEFT JOIN tops s ON s.lvl = t.lvl AND s.idx = xor(b.idx >> t.lvl, 1)
+), ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g, idx ORDER BY k) AS turn FROM steps),
+fold AS (
+  SELECT g, idx, 0 AS turn, again AS h FROM placed
+  UNION ALL SELECT f.g, f.idx, f.turn + 1, sha256(CASE WHEN r.sib IS NULL THEN f.h WHEN r.side = 1 THEN r.sib || f.h ELSE f.h || r.sib END) FROM fold f JOIN ranked r ON r.g = f.g AND r.idx = f.idx AND r.turn = f.turn + 1
+), folded AS (SELECT g, idx, arg_max(h, turn) AS folded_root FROM fold GROUP BY g, idx),
+proofs AS (SELECT g, idx, sha256(coalesce(string_agg(sib, '' ORDER BY k), '')) AS proof_sha256 FROM ranked GROUP BY g, idx)
+SELECT p.doc_id, p.leaf, b.subroot, r.h AS root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = r.h AS verified
+FROM placed p JOIN subs b USING (g) JOIN folded f ON f.g = p.g AND f.idx = p.idx LEFT JOIN proofs q ON q.g = p.g AND q.idx = p.idx, (SELECT h FROM tops WHERE n = 1) r
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(merkle.manifest(table(spark, sf_dir, "documents"), merkle.one_more()))
