@@ -196,7 +196,8 @@ def entry_sums(state: DataFrame, books: Codebooks) -> dict[tuple[int, int], tupl
                 count += np.bincount(at, minlength=parts * n)
                 np.add.at(total, at, x.reshape(-1, width))
         some = np.flatnonzero(count)
-        yield pd.DataFrame({"at": some, "n": count[some], "total": list(total[some])})
+        if len(some):
+            yield pd.DataFrame({"at": some, "n": count[some], "total": list(total[some])})
 
     partial = state.select("vec", "entry").mapInPandas(run, "at long, n long, total array<long>")
     sums = [F.sum(F.col("total")[k]) for k in range(width)]
