@@ -7,8 +7,8 @@ agree on an offset are verified by their mandatory key phrase at that place. Phr
 are found besides, wherever their words stand next to each other.
 
 Defined cases: null and empty texts have no words, no label and score 0; equal offsets and repeated rows are judged alike;
-ties between templates keep both labels; other columns are kept and may have any name that does not begin with
-``license_``; an empty table gives no rows (and all IDFs are equal).
+ties between templates keep both labels; other columns are kept, whatever their names (but for one of the result's name);
+an empty table gives no rows (and all IDFs are equal).
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.session import fresh_names
+
 #: Phrases that name a family.
 FAMILIES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Label, notice, mandatory key phrase.
@@ -72,8 +74,8 @@ def _literal_map(entries: dict[str, Column]) -> Column:
     return F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
 
 
-def scan(docs: DataFrame, idf: dict[str, float], rare: int = 8, templates=TEMPLATES, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, base places, labels and score in the struct column ``license_scan``.
+def scan(docs: DataFrame, idf: dict[str, float], rare: int = 8, templates=TEMPLATES, text_col: str = "text", into: str = "license_scan") -> DataFrame:
+    """``docs`` with n_words, base places, labels and score in the struct column ``into``, in place of any of that name.
 
     ``rare``: so many of each template's words in the file are looked up, those of highest IDF. A template is verified
     when at least half as many votes as it has looked-up words agree on an offset.
@@ -84,8 +86,8 @@ def scan(docs: DataFrame, idf: dict[str, float], rare: int = 8, templates=TEMPLA
             postings.setdefault(w, []).append((k, q))
     ranked = sorted(postings, key=lambda w: (-idf[w], w))
     rank = {w: r for r, w in enumerate(ranked)}
-    # the rarest words of each template open the search: a file without any of them holds no template
-    openers = sorted({min(notice.split(), key=rank.__getitem__) for _, notice, _ in templates} | {f.split()[-1] for f in FAMILIES})
+    # a template is only verified with its whole mandatory phrase, so a file without the phrase's rarest word can't hold it
+    openers = sorted({min(phrase.split(), key=lambda w: (rank.get(w, -1), w)) for _, _, phrase in templates} | {f.split()[-1] for f in FAMILIES})
     pair = "array<struct<t:int,q:int>>"
     table = _literal_map({w: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in p]).cast(pair) for w, p in postings.items()})
     ranks = _literal_map({w: F.lit(r) for w, r in rank.items()})
@@ -144,17 +146,19 @@ def scan(docs: DataFrame, idf: dict[str, float], rare: int = 8, templates=TEMPLA
 
         return bound(seen, look_up)
 
-    low = F.col("license_low")
+    low_, found_, words_ = fresh_names(docs, 3)
+    low = F.col(low_)
     opened = low.rlike("|".join(openers))
     nothing = F.struct(F.array().cast("array<struct<at:int,label:string>>").alias("places"), F.array().cast("array<struct<label:string,share:double>>").alias("matches"))
     found = F.when(opened, bound(words_of(low), lambda ws: F.struct(places(ws).alias("places"), matches(ws).alias("matches")))).otherwise(nothing)
-    out = docs.withColumn("license_low", lowered(F.col(text_col))).withColumn("license_found", found).withColumn("license_words", F.regexp_count(low, F.lit(WORD)).cast("long"))
-    at = F.transform("license_found.places", lambda x: x["at"])
-    base = F.array_sort(F.array_distinct(F.transform("license_found.places", lambda x: x["label"])))
-    more = F.transform("license_found.matches", lambda x: x["label"])
-    best = F.coalesce(F.array_max(F.transform("license_found.matches", lambda x: x["share"])), F.lit(0.0))
+    out = docs.withColumn(low_, lowered(F.col(text_col))).withColumn(found_, found).withColumn(words_, F.regexp_count(low, F.lit(WORD)).cast("long"))
+    hits, places_of = F.col(found_)["matches"], F.col(found_)["places"]
+    at = F.transform(places_of, lambda x: x["at"])
+    base = F.array_sort(F.array_distinct(F.transform(places_of, lambda x: x["label"])))
+    more = F.transform(hits, lambda x: x["label"])
+    best = F.coalesce(F.array_max(F.transform(hits, lambda x: x["share"])), F.lit(0.0))
     scan = F.struct(
-        F.col("license_words").alias("n_words"),
+        F.col(words_).alias("n_words"),
         F.size(at).cast("long").alias("n_base"),
         F.array_min(at).cast("long").alias("first_word"),
         F.array_max(at).cast("long").alias("last_word"),
@@ -162,4 +166,4 @@ def scan(docs: DataFrame, idf: dict[str, float], rare: int = 8, templates=TEMPLA
         F.array_sort(F.array_distinct(F.concat(base, more))).alias("labels"),
         F.greatest(best, F.when(F.size(at) > 0, 0.5).otherwise(0.0)).alias("score"),
     )
-    return out.withColumn("license_scan", scan).drop("license_low", "license_found", "license_words")
+    return out.withColumn(into, scan).drop(low_, found_, words_)

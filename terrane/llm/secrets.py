@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.session import materialize
+from terrane.session import fresh_names, materialize
 
 Query = tuple  # ("tri", t) | ("and", [Query]) | ("or", [Query]) | ("all",)
 ALL: Query = ("all",)
@@ -215,19 +215,21 @@ def spans_of(rule: Rule, rank: int, text: Column) -> Column:
 
 
 def scan(docs: DataFrame, rules=RULES, broadcast_candidates: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``secret_spans``: all matches by start, then rank of the rule (code points, end exclusive)."""
+    """``docs`` with ``secret_spans``, in place of any of that name: all matches by start, then rank of the rule (code
+    points, end exclusive)."""
+    key, kinds = fresh_names(docs, 2)
     found = materialize(candidates(build_index(docs, rules, id_col, text_col), rules), "secret-candidates")
-    found = found.toDF("secret_key", "secret_kinds")
+    found = found.toDF(key, kinds)
     if found.count() <= broadcast_candidates:
         found = F.broadcast(found)
-    keyed = docs.withColumn("secret_key", document_key(id_col, text_col)).join(found, "secret_key", "left")
+    keyed = docs.withColumn(key, document_key(id_col, text_col)).join(found, key, "left")
     text, parts = F.coalesce(F.col(text_col), F.lit("")), []
     for rank, rule in enumerate(rules):
         spans = spans_of(rule, rank, text)
         if trigram_query(rule.pattern) != ALL:
-            spans = F.when(F.array_contains("secret_kinds", rule.kind), spans).otherwise(F.array().cast(SPAN))
+            spans = F.when(F.array_contains(kinds, rule.kind), spans).otherwise(F.array().cast(SPAN))
         parts.append(spans)
-    return keyed.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("secret_key", "secret_kinds")
+    return keyed.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop(key, kinds)
 
 
 def listed(spans: Column) -> Column:
