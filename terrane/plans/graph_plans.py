@@ -106,57 +106,90 @@ def adjacency(spark, d):
     return graph.both_ways(e).groupBy("src").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
 
 
-def _trees(spark, d):
-    """Trees of a few overlapping cities on a lattice whose nodes are parts."""
-    v = table(spark, d, "part").select(F.col("p_partkey").alias("vid"))
-    arcs = v.select(F.col("vid").alias("src"), F.explode(F.array(F.col("vid") + 1, F.col("vid") - 1, F.col("vid") + 20, F.col("vid") - 20)).alias("dst"))
-    arcs = arcs.join(v.select(F.col("vid").alias("dst")), "dst").select("src", "dst", (1.0 + F.pmod(F.least("src", "dst") * 7, F.lit(5))).alias("cost"))
-    cities = spark.range(0, 5).select(F.col("id").alias("city"))
-    members = cities.crossJoin(F.broadcast(spark.range(0, 120).select(F.col("id").alias("off")))).select("city", (F.col("city") * 30 + F.col("off")).alias("vid")).join(v, "vid").select("city", "vid")
-    seeds = cities.select("city", (F.col("city") * 30 + 60).alias("vid"))
-    return trees.bounded_trees(members, seeds, arcs)
-
-
-@register("spt_trees")
-def spt_trees(spark, d):
-    return _trees(spark, d)
+#: Vertices that a city's polygon reaches from its seed, along the lattice's rows and columns.
+_REACH = 12
+
+
+def seeds_of(spark, d):
+    """(city, vid): every supplier's place on the lattice; the next one's lies some twenty vertices on."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("city"), (F.col("s_suppkey") * 20 + 10).alias("vid")).join(table(spark, d, "part").select(F.col("p_partkey").alias("vid")), "vid").select("city", "vid")
 
 
-def _city_pairs(spark):
-    return spark.createDataFrame([(a, b) for a in range(5) for b in range(5) if abs(a - b) == 1 or (a, b) == (0, 4)], "src long, dst long")
+def trees_of(spark, d):
+    """Trees of all cities, each inside the square of vertices around its seed."""
+    p = table(spark, d, "part")
+    wide = p.agg(F.ceil(F.sqrt(F.count("*").cast("double"))).alias("wide"))
+    near = F.sequence(F.lit(-_REACH), F.lit(_REACH))
+    x, y = F.pmod("vid", "wide"), F.floor(F.col("vid") / F.col("wide"))
+    around = seeds_of(spark, d).join(F.broadcast(wide)).select("city", "wide", x.alias("x"), y.alias("y"), F.explode(near).alias("dx"))
+    around = around.withColumn("dy", F.explode(near)).withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")}).where("x >= 0 AND x < wide AND y >= 0")
+    members = around.select("city", (F.col("y") * F.col("wide") + F.col("x")).alias("vid")).join(p.select(F.col("p_partkey").alias("vid")), "vid").select("city", "vid")
+    return trees.bounded_trees(members, seeds_of(spark, d), t.lattice(spark, d)[1])
 
 
-def _trunks(spark, d):
+def pairs_of(spark, d):
+    """(src, dst): neighbouring cities, both ways."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    near = s.join(s.select((F.col("k") - 1).alias("k"), F.col("k").alias("other")), "k")
+    return near.select(F.col("k").alias("src"), F.col("other").alias("dst")).unionByName(near.select(F.col("other").alias("src"), F.col("k").alias("dst")))
+
+
+def trunks_of(spark, d):
     from terrane.session import materialize
 
-    grown, pairs = materialize(_trees(spark, d), "trees"), _city_pairs(spark)
+    grown, pairs = materialize(trees_of(spark, d), "trees"), materialize(pairs_of(spark, d), "pairs")
     built = materialize(trees.build_trunks(grown, pairs), "trunks")
     return built.unionByName(trees.direct_trunks(pairs, built))
 
 
-@register("trunk_build")
+_TREES = f"""{t.LATTICE}, seeds AS (SELECT s_suppkey AS city, s_suppkey * 20 + 10 AS vid FROM supplier WHERE s_suppkey * 20 + 10 IN (SELECT p_partkey FROM part)),
+members AS MATERIALIZED (SELECT city, p_partkey AS vid FROM seeds, wide, part WHERE abs(p_partkey % wide - vid % wide) <= {_REACH} AND abs(p_partkey // wide - vid // wide) <= {_REACH}),
+own AS MATERIALIZED (SELECT m.city, src, dst, cost FROM arcs JOIN members m ON m.vid = src JOIN members n ON n.city = m.city AND n.vid = dst),
+walk AS (SELECT city, vid, 0.0::DOUBLE AS dist, 0 AS hops FROM seeds UNION ALL SELECT walk.city, dst, min(dist + cost), hops + 1 FROM walk JOIN own ON own.city = walk.city AND src = vid WHERE hops < 100 GROUP BY walk.city, dst, hops + 1),
+best AS MATERIALIZED (SELECT city, vid, min(dist) AS cost FROM walk GROUP BY 1, 2),
+trees AS MATERIALIZED (SELECT b.city, b.vid, min(u.vid) AS parent, b.cost, coalesce(bool_or(x.out), false) AS is_frontier FROM best b LEFT JOIN own ON own.city = b.city AND own.dst = b.vid LEFT JOIN best u ON u.city = b.city AND u.vid = own.src AND u.cost + own.cost = b.cost
+ LEFT JOIN (SELECT m.city, m.vid, true AS out FROM members m JOIN arcs ON src = m.vid LEFT JOIN members n ON n.city = m.city AND n.vid = dst WHERE n.vid IS NULL GROUP BY 1, 2) x ON x.city = b.city AND x.vid = b.vid GROUP BY b.city, b.vid, b.cost)"""
+_TRUNKS = f"""{_TREES}, pairs AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM supplier a JOIN supplier b ON abs(a.s_suppkey - b.s_suppkey) = 1),
+held AS MATERIALIZED (SELECT src, dst, a.vid, a.parent, a.is_frontier, b.vid IS NOT NULL AS in_b FROM pairs JOIN trees a ON a.city = src LEFT JOIN trees b ON b.city = dst AND b.vid = a.vid),
+climb AS (SELECT src, dst, vid FROM held WHERE NOT in_b AND is_frontier UNION SELECT h.src, h.dst, h.parent FROM climb c JOIN held h ON h.src = c.src AND h.dst = c.dst AND h.vid = c.vid WHERE h.parent IS NOT NULL),
+kept AS MATERIALIZED (SELECT src, dst, vid, parent FROM held JOIN climb USING (src, dst, vid) WHERE NOT in_b
+ UNION SELECT h.src, h.dst, h.vid, h.parent FROM held h JOIN held c ON c.src = h.src AND c.dst = h.dst AND c.parent = h.vid WHERE h.in_b AND NOT c.in_b),
+trunks AS MATERIALIZED (SELECT k.src, k.dst, k.vid, o.vid AS succ FROM kept k LEFT JOIN kept o ON o.src = k.src AND o.dst = k.dst AND o.vid = k.parent
+ UNION ALL SELECT src, dst, unnest([-2 - src, -2 - dst]), unnest([-2 - dst, NULL]) FROM pairs ANTI JOIN kept USING (src, dst))"""
+
+
+@register("spt_trees", f"WITH RECURSIVE {_TREES} SELECT city, vid, parent, cost, is_frontier FROM trees")
+def spt_trees(spark, d):
+    return trees_of(spark, d)
+
+
+@register("trunk_build", f"WITH RECURSIVE {_TRUNKS} SELECT src, dst, vid, succ FROM trunks")
 def trunk_build(spark, d):
-    return _trunks(spark, d)
+    return trunks_of(spark, d)
 
 
 @register("trunk_prune")
 def trunk_prune(spark, d):
-    return trees.prune_trunks(_trunks(spark, d), spark.createDataFrame([(0,)], "city long"))
+    return trees.prune_trunks(trunks_of(spark, d), spark.createDataFrame([(0,)], "city long"))
 
 
-@register("trunk_walk")
+@register("trunk_walk", f"WITH RECURSIVE {_TRUNKS}, steps AS (SELECT src, dst, 0::BIGINT AS pos, max(vid) AS vid FROM trunks GROUP BY 1, 2 UNION ALL SELECT s.src, s.dst, pos + 1, succ FROM steps s JOIN trunks t ON t.src = s.src AND t.dst = s.dst AND t.vid = s.vid WHERE succ IS NOT NULL) SELECT src, dst, pos, vid FROM steps")
 def trunk_walk(spark, d):
     from terrane.session import materialize
 
-    tr = materialize(_trunks(spark, d), "trunks")
+    tr = materialize(trunks_of(spark, d), "trunks")
     return trees.walk(tr, tr.groupBy("src", "dst").agg(F.max("vid").alias("vid")))
 
 
-@register("corridor_overlap")
+@register("corridor_overlap", f"WITH RECURSIVE {_TREES} SELECT a.city AS a, b.city AS b, a.vid, a.cost AS cost_a, b.cost AS cost_b FROM trees a JOIN trees b ON b.city = a.city + 1 AND b.vid = a.vid")
 def corridor_overlap(spark, d):
-    g = _trees(spark, d)
-    a, b = g.where("city = 1").select("vid", F.col("cost").alias("cost_a")), g.where("city = 2").select("vid", F.col("cost").alias("cost_b"))
-    return a.join(b, "vid")
+    """The vertices that a city's tree shares with the next one's, with both costs."""
+    from terrane.session import materialize
+
+    g = materialize(trees_of(spark, d), "trees")
+    a = g.select(F.col("city").alias("a"), "vid", F.col("cost").alias("cost_a"))
+    b = g.select((F.col("city") - 1).alias("a"), F.col("city").alias("b"), "vid", F.col("cost").alias("cost_b"))
+    return a.join(b, ["a", "vid"]).select("a", "b", "vid", "cost_a", "cost_b")
 
 
 @register("hull_polygons")
