@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrane.functions import geo
 from terrane.operators import graph, proximity
 from terrane.operators.trees import dijkstra
-from terrane.session import materialize
+from terrane.session import materialize, release
 
 
 def bridge_gaps(ways: DataFrame, roots: DataFrame, gap_m: float = 200.0) -> DataFrame:
@@ -281,11 +281,13 @@ def cluster_summary(clusters: DataFrame, stops: DataFrame) -> DataFrame:
 def lazy_reach(start: DataFrame, holds: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(city, step): cities reached from ``start`` (city) over (a, b), a's tree holding a vertex of b's polygon, with the
     number of steps."""
+    holds = materialize(holds.select("a", "b").distinct().repartition("a"), "reach-holds")
     seen = frontier = materialize(start.select("city", F.lit(0).alias("step")), "reach")
     for k in range(1, most_rounds + 1):
         step = holds.join(frontier.select(F.col("city").alias("a")), "a").select(F.col("b").alias("city")).distinct()
         frontier = materialize(step.join(seen, "city", "left_anti").withColumn("step", F.lit(k)), "reach-step")
         if frontier.isEmpty():
+            release(holds)
             return seen
         seen = seen.unionByName(frontier)
     raise RuntimeError("the reach has not ended")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.session import materialize
+from terrane.session import materialize, release
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -28,22 +28,27 @@ def connected_components(links: DataFrame) -> DataFrame:
     links = materialize(links.where("a <> b").select("a", "b").distinct(), "cc-links")
     while not links.isEmpty():
         arcs = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = arcs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
-        for _ in range(2):
-            hooks = materialize(hooks.join(hooks.toDF("p", "q"), "p").select("a", F.col("q").alias("p")), "cc-hooks")
+        first = materialize(arcs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "cc-hooks")
+        # hooks point to smaller nodes; following them twice shortens the chains
+        twice = first.join(first.toDF("p", "q"), "p").select("a", F.col("q").alias("p"))
+        hooks = materialize(twice.join(first.toDF("p", "q"), "p").select("a", F.col("q").alias("p")), "cc-hooks")
+        before = roots, links, first, hooks
         roots = materialize(roots.join(hooks.toDF("root", "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), "cc-roots")
         moved = links.join(hooks.toDF("a", "pa"), "a").join(hooks.toDF("b", "pb"), "b")
-        links = materialize(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), "cc-links")
+        links = materialize(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct(), "cc-links")
+        release(*before)
     return roots
 
 
 def closure(seeds: DataFrame, arcs: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """Nodes reached from ``seeds`` (node) over arcs (src, dst), the seeds included."""
+    """Nodes reached from ``seeds`` (node) over arcs (src, dst), the seeds included. The arcs are worked out once."""
+    arcs = materialize(arcs.select("src", "dst").distinct().repartition("src"), "closure-arcs")
     seen = frontier = materialize(seeds.select("node").distinct(), "closure")
     for _ in range(most_rounds):
         step = arcs.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(seen, "node", "left_anti"), "closure-step")
         if frontier.isEmpty():
+            release(arcs)
             return seen
         seen = seen.unionByName(frontier)
     raise RuntimeError("the closure has not ended")
@@ -65,8 +70,10 @@ def shortest_paths(sources: DataFrame, arcs: DataFrame, limit: float | None = No
     """(node, label, dist, parent): the nearest source of each node, its distance and the node before it.
 
     ``sources`` has (node, label). Bellman-Ford by frontier: only nodes that got better in a round go on in the next.
-    Ties: the least label, then the least parent.
+    Ties: the least label, then the least parent. The arcs are worked out once, the cheapest of parallel ones. For road
+    networks, whose paths have thousands of arcs, ``tiled.tiled_paths`` takes a round for each tile instead.
     """
+    arcs = materialize(arcs.groupBy("src", "dst").agg(F.min("cost").alias("cost")).repartition("src"), "paths-arcs")
     best = materialize(sources.select("node", "label", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("parent")), "paths")
     frontier = best
     for _ in range(most_rounds):
@@ -75,10 +82,15 @@ def shortest_paths(sources: DataFrame, arcs: DataFrame, limit: float | None = No
             step = step.where(F.col("dist") <= limit)
         step = step.groupBy("node").agg(F.min(F.struct("dist", "label", "parent")).alias("x")).select("node", "x.label", "x.dist", "x.parent")
         old = best.select("node", F.col("dist").alias("old"))
+        before = frontier
         frontier = materialize(step.join(old, "node", "left").where("old IS NULL OR dist < old").drop("old"), "paths-step")
+        if before is not best:
+            release(before)
         if frontier.isEmpty():
+            release(arcs)
             return best
-        best = materialize(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier), "paths")
+        best, held = materialize(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier), "paths"), best
+        release(held)
     raise RuntimeError("the paths have not ended")
 
 

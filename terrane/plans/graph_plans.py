@@ -36,10 +36,10 @@ def rail_closure(spark, d):
     return graph.closure(spark.createDataFrame([(0,)], "node long"), t.city_arcs(spark, d))
 
 
-@register("flood_fill", "WITH RECURSIVE w AS (SELECT l_orderkey AS way, l_suppkey AS vertex, l_returnflag || l_linestatus || (l_orderkey % 9) AS name FROM lineitem WHERE l_orderkey < 3000), arcs AS (SELECT DISTINCT x.way AS s, y.way AS d FROM w x JOIN w y ON x.vertex = y.vertex AND x.name = y.name), r AS (SELECT DISTINCT way FROM w WHERE way <= 3 UNION SELECT d FROM r JOIN arcs ON way = s) SELECT way FROM r")
+@register("flood_fill", "WITH RECURSIVE w AS (SELECT l_orderkey AS way, l_suppkey AS vertex, l_returnflag || l_linestatus || (l_orderkey % 9) AS name FROM lineitem), arcs AS (SELECT DISTINCT x.way AS s, y.way AS d FROM w x JOIN w y ON x.vertex = y.vertex AND x.name = y.name), r AS (SELECT DISTINCT way FROM w WHERE way <= 3 UNION SELECT d FROM r JOIN arcs ON way = s) SELECT way FROM r")
 def flood_fill(spark, d):
     name = F.concat("l_returnflag", "l_linestatus", F.pmod("l_orderkey", F.lit(9)).cast("string"))
-    w = table(spark, d, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("way"), F.col("l_suppkey").alias("vertex"), name.alias("name"))
+    w = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("way"), F.col("l_suppkey").alias("vertex"), name.alias("name"))
     return graph.flood_fill(w, w.where("way <= 3").select("way").distinct())
 
 

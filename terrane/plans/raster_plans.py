@@ -73,9 +73,9 @@ def less_gaussian(spark, d):
     return raster.less_gaussian(t.grid(spark, d), 2.0, tile=32)
 
 
-@register("filled_polygons", f"WITH {t.ANCHORS}, c AS (SELECT anchor, lon, lat FROM anchors WHERE anchor < 20) SELECT DISTINCT row, col FROM (SELECT lon, lat, unnest(range(floor((lat - 0.7013) / 0.25)::BIGINT, floor((lat + 0.7013) / 0.25)::BIGINT + 1)) AS row FROM c), range(0, 100) x(col) WHERE abs((col + 0.5) * 0.25 - lon) + abs((row + 0.5) * 0.25 - lat) < 0.7013")
+@register("filled_polygons", f"WITH {t.ANCHORS}, c AS (SELECT anchor, lon, lat FROM anchors) SELECT DISTINCT row, col FROM (SELECT lon, lat, unnest(range(floor((lat - 0.7013) / 0.25)::BIGINT, floor((lat + 0.7013) / 0.25)::BIGINT + 1)) AS row FROM c), range(0, 100) x(col) WHERE abs((col + 0.5) * 0.25 - lon) + abs((row + 0.5) * 0.25 - lat) < 0.7013")
 def filled_polygons(spark, d):
-    a = t.anchors(spark, d).where("anchor < 20")
+    a = t.anchors(spark, d)
     corner = lambda dx, dy: F.struct((F.col("lon") + dx).alias("lon"), (F.col("lat") + dy).alias("lat"))
     rings = a.select(F.col("anchor").alias("ring_id"), F.array(corner(0.7013, 0.0), corner(0.0, 0.7013), corner(-0.7013, 0.0), corner(0.0, -0.7013)).alias("ring"))
     return raster.fill_polygons(rings, 0.25).select("row", "col")
