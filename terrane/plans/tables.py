@@ -133,6 +133,17 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 LINES = f"lines AS (SELECT o_custkey AS line, o_orderdate, o_orderkey AS seq, {lon_sql('o_orderkey')} AS lon, {lat_sql('o_orderkey')} AS lat, o_totalprice / 1000 AS elev FROM orders)"
+
+
+def tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Every order as a short straight track: line (its customer), seg, x1, y1, x2, y2."""
+    k = F.col("seg")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("line"), F.col("o_orderkey").alias("seg")).withColumns({"x1": lon_of("seg"), "y1": lat_of("seg")})
+    return o.select("line", "seg", "x1", "y1", (F.col("x1") + (F.pmod(k * 7, F.lit(31)) - 15) / 128.0).alias("x2"), (F.col("y1") + (F.pmod(k * 11, F.lit(29)) - 14) / 128.0).alias("y2"))
+
+
+TRACKS = f"""tracks AS MATERIALIZED (SELECT line, seg, x1, y1, x1 + ((seg * 7) % 31 - 15)::DOUBLE / 128.0::DOUBLE AS x2, y1 + ((seg * 11) % 29 - 14)::DOUBLE / 128.0::DOUBLE AS y2
+ FROM (SELECT o_custkey AS line, o_orderkey AS seg, {lon_sql('o_orderkey')} AS x1, {lat_sql('o_orderkey')} AS y1 FROM orders))"""
 STEPS = f"""steps AS (SELECT *, coalesce({haversine_sql('plon', 'plat', 'lon', 'lat')}, 0.0) AS step_m FROM (SELECT *, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat, row_number() OVER w AS pos
  FROM lines WINDOW w AS (PARTITION BY line ORDER BY o_orderdate, seq))),
  cums AS (SELECT *, sum(step_m) OVER (PARTITION BY line ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum_m FROM steps)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.sources.store import VersionedTable
 
 #: Tags of railways, stops, waterways and administrative levels.
 RAIL_KINDS, RAIL_USAGE, RAIL_SIDE = ("rail", "light_rail"), ("main", "branch"), ("spur", "siding", "yard", "crossover")
@@ -62,19 +63,8 @@ def read_cells(spark: SparkSession, path: str, box: tuple[float, float, float, f
 
 
 def append_trunks(trunks: DataFrame, path: str) -> int:
-    """Append the trunks of pairs that the store lacks; the number of rows written."""
-    spark = trunks.sparkSession
-    try:
-        done = spark.read.parquet(path).select("src", "dst").distinct()
-        trunks = trunks.join(done, ["src", "dst"], "left_anti")
-    except Exception as e:  # noqa: BLE001 - an absent store is an empty one
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    trunks = trunks.cache()
-    n = trunks.count()
-    trunks.write.mode("append").parquet(path)
-    trunks.unpersist()
-    return n
+    """Append the trunks of pairs that the store (a ``VersionedTable``) lacks; the number of rows written."""
+    return VersionedTable(trunks.sparkSession, path).append_missing(trunks, ["src", "dst"])
 
 
 def rail_ways(ways: DataFrame) -> DataFrame:
