@@ -291,3 +291,82 @@ def pair_paths(pairs: DataFrame, net: Network, costs: DataFrame) -> DataFrame:
     found = tree_paths(held.select("search", F.col("dst").alias("target")), trees)
     release(trees)
     return found.select("search", "pos", "vid")
+
+
+def first_targets(searches: DataFrame, targets: DataFrame, net: Network, bias: float = 0.0, first: float = 1_000.0, most: float = 50_000.0, growth: float = 4.0) -> DataFrame:
+    """(search, target, cost, score): where each search best enters its targets (search, target), by cost + ``bias`` *
+    kilometres left to its aim; ``searches`` has (search, vid, aim_lon, aim_lat), a null aim adds nothing.
+
+    A search is tried within a small cost first and again, within ``growth`` times it, only if that leaves its answer open: a
+    target beyond costs more than the bound, so a score up to it can't be beaten. So the answer is that of a whole search,
+    and only tiles within reach of a try are read. Costs are ``most`` at most; searches that reach no target have no row.
+    Ties go to the least target.
+    """
+    at = net.vertices.select(F.col("vid").alias("target"), "lon", "lat")
+    wanted = materialize(targets.select("search", "target").distinct().join(at, "target"), "first-targets")
+    todo, found, bound = searches.select("search", "vid", "aim_lon", "aim_lat"), None, min(first, most)
+    while True:
+        sources = todo.select("search", F.col("vid").alias("node"), F.lit(0).cast("long").alias("label"), F.lit(float(bound)).alias("most"))
+        trees = tiled_paths(sources, net)
+        met = wanted.join(trees.select("search", F.col("node").alias("target"), F.col("dist").alias("cost")), ["search", "target"]).join(todo, "search")
+        left = F.coalesce(geo.haversine_m("lon", "lat", "aim_lon", "aim_lat") / 1000, F.lit(0.0))
+        best = met.groupBy("search").agg(F.min(F.struct((F.col("cost") + bias * left).alias("score"), "target", "cost")).alias("x"))
+        best = best.select("search", "x.target", "x.cost", "x.score")
+        sure = materialize(best if bound >= most else best.where(F.col("score") <= bound), "first-found")
+        release(trees)
+        found = sure if found is None else found.unionByName(sure)
+        if bound >= most:
+            return found
+        todo = materialize(todo.join(sure.select("search"), "search", "left_anti"), "first-todo")
+        if todo.isEmpty():
+            return found
+        bound = min(bound * growth, most)
+
+
+def split_batches(pairs: DataFrame, loads: DataFrame, bound: float, cell_deg: float, margin_deg: float = 0.0, depth: int = 4) -> DataFrame:
+    """``pairs`` (src, dst, x1, y1, x2, y2) with ``batch`` and ``load``: the pairs of a source in one batch, or in sectors
+    around it where the batch's box would hold too much.
+
+    ``loads`` has (cx, cy, n), what a cell of ``cell_deg`` degrees holds. A batch of several pairs whose box, with its
+    margin, holds more than ``bound`` is divided into 2, then 4, ... sectors by the targets' bearings, ``depth`` times at
+    most; so no task's work grows with a crowded place. A single pair is never divided.
+    """
+    at = lambda v: F.floor(v / cell_deg).cast("long")
+    todo, done = pairs.withColumn("batch", F.col("src").cast("string")), None
+    for k in range(depth + 1):
+        low, high = (lambda a, b: F.min(F.least(a, b)) - margin_deg), (lambda a, b: F.max(F.greatest(a, b)) + margin_deg)
+        boxes = todo.groupBy("batch").agg(F.count("*").alias("n_pairs"), low("x1", "x2").alias("w"), high("x1", "x2").alias("e"), low("y1", "y2").alias("s"), high("y1", "y2").alias("n_"))
+        cells = boxes.select("batch", F.explode(F.sequence(at(F.col("w")), at(F.col("e")))).alias("cx"), "s", "n_").select("batch", "cx", F.explode(F.sequence(at(F.col("s")), at(F.col("n_")))).alias("cy"))
+        held = cells.join(loads, ["cx", "cy"]).groupBy("batch").agg(F.sum("n").alias("load"))
+        sized = boxes.select("batch", "n_pairs").join(held, "batch", "left").select("batch", "n_pairs", F.coalesce("load", F.lit(0)).alias("load"))
+        held = materialize(todo.join(sized, "batch"), f"batches-{k}")
+        large = (F.col("load") > bound) & (F.col("n_pairs") > 1) if k < depth else F.lit(False)
+        kept = held.where(~large).drop("n_pairs")
+        done = kept if done is None else done.unionByName(kept)
+        n = 2 ** (k + 1)
+        sector = (F.floor(geo.bearing("x1", "y1", "x2", "y2") / (360.0 / n)).cast("long") % n).cast("string")
+        todo = held.where(large).drop("n_pairs", "load").withColumn("batch", F.concat_ws("/", "batch", sector))
+        if k < depth and todo.isEmpty():
+            break
+    return done
+
+
+def batch_costs(batches: DataFrame, vertices: DataFrame, arcs: DataFrame, cell_deg: float, margin_deg: float) -> DataFrame:
+    """(src, dst, cost) of the pairs of ``split_batches`` by paths inside their batch's cells: one task holds one batch's arcs."""
+    at = lambda v: F.floor(v / cell_deg).cast("long")
+    low, high = (lambda a, b: F.min(F.least(a, b)) - margin_deg), (lambda a, b: F.max(F.greatest(a, b)) + margin_deg)
+    boxes = batches.groupBy("batch").agg(low("x1", "x2").alias("w"), high("x1", "x2").alias("e"), low("y1", "y2").alias("s"), high("y1", "y2").alias("n"))
+    cells = boxes.select("batch", F.explode(F.sequence(at(F.col("w")), at(F.col("e")))).alias("cx"), "s", "n").select("batch", "cx", F.explode(F.sequence(at(F.col("s")), at(F.col("n")))).alias("cy"))
+    cells = materialize(cells, "batch-cells")
+    placed = vertices.select("vid", at(F.col("lon")).alias("cx"), at(F.col("lat")).alias("cy"))
+    inside = materialize(cells.join(placed, ["cx", "cy"]).select("batch", "vid"), "batch-vertices")
+    own = arcs.join(inside.withColumnRenamed("vid", "src"), "src").join(inside.withColumnRenamed("vid", "dst"), ["batch", "dst"]).select("batch", "src", "dst", "cost")
+
+    def solve(wanted: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        table, out = _adjacency(links), []
+        for src, part in wanted.groupby("src"):
+            best = _search(table, [(int(src), (0.0, 0, 0, 0))], float("inf"))
+            out += [(int(src), int(d), best[d][0]) for d in part["dst"].tolist() if d in best]
+        return pd.DataFrame(out, columns=["src", "dst", "cost"])
+
+    return batches.select("batch", "src", "dst").groupBy("batch").cogroup(own.groupBy("batch")).applyInPandas(solve, "src long, dst long, cost double")

@@ -94,3 +94,32 @@ def pair_paths(spark, d):
     found = tiled.pair_paths(pairs, net, tiled.astar_costs(pairs, net, over))
     release(over)
     return found
+
+
+@register(
+    "first_targets",
+    f"""WITH RECURSIVE {t.LATTICE}, n AS (SELECT count(*) AS n FROM part), starts AS (SELECT n_nationkey::BIGINT AS search, (n_nationkey * 7919 + 5) % n AS vid FROM nation, n),
+targets AS (SELECT DISTINCT (s_suppkey * 7919 + 3) % n AS target FROM supplier, n),
+walk AS (SELECT search, vid AS node, 0.0::DOUBLE AS dist, 0::BIGINT AS hops FROM starts UNION ALL SELECT search, dst, min(dist + cost), hops + 1 FROM walk JOIN arcs ON node = src WHERE hops < {_HOPS} GROUP BY search, dst, hops + 1),
+best AS (SELECT search, node, min(dist) AS dist FROM walk GROUP BY 1, 2)
+SELECT search, arg_min(node, (dist, node)) AS target, min(dist) AS cost FROM best JOIN targets ON node = target WHERE dist <= 2000 GROUP BY search""",
+)
+def first_targets(spark, d):
+    """The supplier's place that every nation's trip reaches first."""
+    starts = _stops(spark, d).where("seq = 1").select(F.col("trip").alias("search"), "vid", F.lit(None).cast("double").alias("aim_lon"), F.lit(None).cast("double").alias("aim_lat"))
+    # the searches are one a nation; every place is a target of each
+    targets = _sources(spark, d).select(F.col("node").alias("target")).distinct().join(F.broadcast(starts.select("search")))
+    return tiled.first_targets(starts, targets, _network(spark, d), first=60.0, most=2000.0).select("search", "target", "cost")
+
+
+@register("split_costs")
+def split_costs(spark, d):
+    """Costs from every supplier's place to the next eight ones', batches divided where their boxes hold too many vertices."""
+    places, arcs = t.lattice(spark, d)
+    s = _sources(spark, d).select("label", "node").join(places.withColumnRenamed("vid", "node"), "node")
+    ahead = s.select(F.explode(F.sequence(F.col("label") - 8, F.col("label") - 1)).alias("label"), F.col("node").alias("dst"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    pairs = s.select("label", F.col("node").alias("src"), F.col("lon").alias("x1"), F.col("lat").alias("y1")).join(ahead, "label").where("src <> dst").select("src", "dst", "x1", "y1", "x2", "y2").distinct()
+    at = lambda c: F.floor(F.col(c) / t.LATTICE_TILE).cast("long")
+    loads = places.groupBy(at("lon").alias("cx"), at("lat").alias("cy")).agg(F.count("*").alias("n"))
+    batches = tiled.split_batches(pairs, loads, 1_000.0, t.LATTICE_TILE, t.LATTICE_TILE)
+    return tiled.batch_costs(batches, places, arcs, t.LATTICE_TILE, t.LATTICE_TILE)

@@ -117,3 +117,52 @@ def test_tree_paths_of_a_long_line(spark):
     found = tiled.tree_paths(spark.createDataFrame([(1, 999), (1, 0), (1, 512)], "search long, target long"), parents).collect()
     assert sorted((r["target"], r["pos"]) for r in found) == sorted((t, p) for t in (999, 0, 512) for p in range(t + 1))
     assert all(r["pos"] == r["vid"] for r in found)
+
+
+@pytest.mark.parametrize("bias", [0.0, 0.05])
+def test_first_targets_equal_a_whole_search(spark, graph, bias):
+    from terrane.functions import geo  # noqa: F401 - the same distance is written plainly below
+    from tests.test_walks import haversine
+
+    at, arcs, net = graph
+    r = random.Random(10)
+    searches = [(k, r.choice(sorted(at)), *((None, None) if k % 5 == 0 else (r.random(), r.random()))) for k in range(20)]
+    targets = [(k, v) for k, *_ in searches for v in r.sample(sorted(at), r.randrange(1, 6))]
+    found = tiled.first_targets(spark.createDataFrame(searches, "search long, vid long, aim_lon double, aim_lat double"), spark.createDataFrame(targets, "search long, target long"), net, bias=bias, first=2.0, most=15.0, growth=2.0)
+    got = {x["search"]: (x["target"], x["cost"]) for x in found.collect()}
+    for k, v, x, y in searches:
+        best = plain(arcs, [(v, 0)])
+        scores = [(best[w][0] + (bias * haversine(*at[w], x, y) / 1000 if x is not None else 0.0), w) for s, w in targets if s == k and w in best and best[w][0] <= 15.0]
+        assert (k in got) == bool(scores)
+        if scores:
+            assert got[k] == (min(scores)[1], best[min(scores)[1]][0])
+
+
+def test_split_batches(spark, graph):
+    """A crowded place: batches stay below the bound, and costs are those of the batches that aren't split."""
+    at, arcs, net = graph
+    r = random.Random(11)
+    ids = sorted(v for v in at if v < 150)
+    pairs = [(s, d, *at[s], *at[d]) for s in ids[:8] for d in r.sample(ids, 25) if s != d]
+    table = spark.createDataFrame(pairs, "src long, dst long, x1 double, y1 double, x2 double, y2 double")
+    cell, loads = 0.1, {}
+    for x, y in at.values():
+        key = (int(x // cell), int(y // cell))
+        loads[key] = loads.get(key, 0) + (40 if x < 0.5 and y < 0.5 else 1)
+    load = spark.createDataFrame([(*k, n) for k, n in loads.items()], "cx long, cy long, n long")
+    split = tiled.split_batches(table, load, 1500.0, cell).collect()
+    assert sorted((x["src"], x["dst"]) for x in split) == sorted(p[:2] for p in pairs)
+    groups = {}
+    for x in split:
+        groups.setdefault(x["batch"], []).append(x)
+    for batch, xs in groups.items():
+        w, e = min(min(x["x1"], x["x2"]) for x in xs), max(max(x["x1"], x["x2"]) for x in xs)
+        s, n = min(min(x["y1"], x["y2"]) for x in xs), max(max(x["y1"], x["y2"]) for x in xs)
+        whole = sum(v for (cx, cy), v in loads.items() if w // cell <= cx <= e // cell and s // cell <= cy <= n // cell)
+        assert {x["load"] for x in xs} == {whole} and (whole <= 1500 or len(xs) == 1 or batch.count("/") == 4)
+    assert max(b.count("/") for b in groups) >= 1
+    vertices = spark.createDataFrame([(v, *p) for v, p in at.items()], "vid long, lon double, lat double")
+    roads = spark.createDataFrame(arcs, "src long, dst long, cost double")
+    cost = lambda bound: {(x["src"], x["dst"]): x["cost"] for x in tiled.batch_costs(tiled.split_batches(table, load, bound, cell, 1.0), vertices, roads, cell, 1.0).collect()}
+    trees = {s: plain(arcs, [(s, 0)]) for s in ids[:8]}
+    assert cost(1500.0) == cost(1e9) == {(s, d): trees[s][d][0] for s, d, *_ in pairs if d in trees[s]}
