@@ -218,14 +218,16 @@ def thresholds(measured: DataFrame, labels: DataFrame, rules=RULES, risk: float
         firsts.append(F.element_at(F.array(*[F.lit(t) for t in steps]), F.col(f"below_{k}") + 1))
     good = held.where("NOT for_path AND good = 1").select("stratum", F.least(*firsts).alias("first"))
     enough = math.log(1 / error) / -math.log1p(-risk)
-    sizes = good.groupBy("stratum").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
-    sizes = {row["stratum"]: row["n"] for row in sizes.collect()}
+    # the sum is over the counts by step, of which a stratum has no more than steps
+    whole = F.sum("count").over(Window.partitionBy("stratum"))
+    by_step = good.groupBy("stratum", "first").count().withColumn("n", whole).where(F.col("n") >= enough).collect()
+    sizes = {row["stratum"]: row["n"] for row in by_step}
     least = testable(list(sizes.values()), risk, error)
     sizes = {x: n for x, n in sizes.items() if n >= least}
     rejected = {x: [0] * (len(path) + 1) for x in sizes}
-    by_step = good.withColumn("n", F.count("*").over(Window.partitionBy("stratum"))).where(F.col("n") >= least)
-    for row in by_step.groupBy("stratum", "first").count().collect():
-        rejected[row["stratum"]][row["first"]] = row["count"]
+    for row in by_step:
+        if row["stratum"] in sizes:
+            rejected[row["stratum"]][row["first"]] = row["count"]
     found = {}
     for x, n in sizes.items():
         k = strictest(np.cumsum(rejected[x][:-1]).tolist(), n, risk, error / len(sizes))
