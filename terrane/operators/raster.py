@@ -105,9 +105,13 @@ def sample_bilinear(points: DataFrame, grid: DataFrame, size: float, id_col: str
     return found.agg(F.when(F.count("value") == 4, F.sum(F.col("w") * F.col("value"))).alias("sample"))
 
 
-def sample_along(edges: DataFrame, grid: DataFrame, size: float, spacing: float, id_col: str = "edge", least: int = 3, most: int = 50) -> DataFrame:
-    """(edge, sample): mean over evenly spaced points of each edge, off-grid and null cells left out, 0 without any."""
-    n = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.col("length") / spacing)))
+def sample_along(edges: DataFrame, grid: DataFrame, size: float, spacing: float, id_col: str = "edge", least: int = 3, most: int = 50, nearest: bool = False) -> DataFrame:
+    """(edge, sample): mean over evenly spaced points of each edge, off-grid and null cells left out, 0 without any.
+
+    An edge has length / ``spacing`` points, ``least`` to ``most``, cut to a whole number or, if ``nearest``, rounded to one
+    (halves to the even), as shares of a mask are taken."""
+    n = F.greatest(F.lit(float(least)), F.least(F.lit(float(most)), F.col("length") / spacing))
+    n = (F.bround(n) if nearest else F.floor(n)).cast("long")
     points = edges.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     t = F.col("k") / (F.col("n") - 1)
     points = points.select(id_col, F.floor((F.col("y1") + t * (F.col("y2") - F.col("y1"))) / size).alias("row"), F.floor((F.col("x1") + t * (F.col("x2") - F.col("x1"))) / size).alias("col"))

@@ -130,8 +130,14 @@ def progress(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.join(done.select(key).distinct().withColumn("done", F.lit(True)), key, "left").withColumn("done", F.coalesce("done", F.lit(False)))
 
 
-def first_region(points: DataFrame, regions: DataFrame, point_id: str, default: str) -> DataFrame:
-    """(point_id, region): of the boxes (region, priority, x0, y0, x1, y1) that hold a point the one of least priority."""
-    held = points.select(point_id, "lon", "lat").join(F.broadcast(regions), F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
+def first_region(points: DataFrame, regions: DataFrame, point_id: str, default: str, cell_deg: float = 1.0) -> DataFrame:
+    """(point_id, region): of the boxes (region, priority, x0, y0, x1, y1) that hold a point the one of least priority.
+
+    Boxes are copied to the cells that they cover, so points meet the boxes of their cell by an equi-join.
+    """
+    at = lambda v: F.floor(F.col(v) / cell_deg).cast("long")
+    covered = regions.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    held = points.select(point_id, "lon", "lat", at("lon").alias("cx"), at("lat").alias("cy")).join(covered, ["cx", "cy"])
+    held = held.where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
     best = held.groupBy(point_id).agg(F.min_by("region", "priority").alias("region"))
     return points.select(point_id).join(best, point_id, "left").select(point_id, F.coalesce("region", F.lit(default)).alias("region"))

@@ -171,6 +171,23 @@ def convex_hulls(points: DataFrame, group: str) -> DataFrame:
     return points.select(group, "lon", "lat").distinct().groupBy(group).applyInPandas(hull, f"{group} {kind}, pos long, lon double, lat double")
 
 
+def another_way(graph: dict[int, dict[int, float]], a: int, b: int, limit: float) -> bool:
+    """Whether some path from a to b costs at most the limit; both ends search, each up to half of it."""
+    sides, open_ = ({a: 0.0}, {b: 0.0}), ([(0.0, a)], [(0.0, b)])
+    while open_[0] and open_[1] and open_[0][0][0] + open_[1][0][0] <= limit:
+        k = 0 if open_[0][0][0] <= open_[1][0][0] else 1
+        d, v = heapq.heappop(open_[k])
+        if d > sides[k][v]:
+            continue
+        for w, c in graph.get(v, {}).items():
+            if d + c <= limit and d + c < sides[k].get(w, float("inf")):
+                sides[k][w] = d + c
+                if d + c + sides[1 - k].get(w, float("inf")) <= limit:
+                    return True
+                heapq.heappush(open_[k], (d + c, w))
+    return False
+
+
 def drop_detours(edges: DataFrame, ratio: float = 1.3, component: str | None = None) -> DataFrame:
     """Edges (a, b, cost) without those that another way of at most ``ratio`` times their cost replaces: the costliest
     first, an edge staying if an end would be left without any. One task per component."""
@@ -183,7 +200,7 @@ def drop_detours(edges: DataFrame, ratio: float = 1.3, component: str | None = N
         kept = []
         for a, b, c in sorted(zip(part["a"], part["b"], part["cost"], strict=True), key=lambda e: (-e[2], e[0], e[1])):
             del graph[a][b], graph[b][a]
-            if graph[a] and graph[b] and b in dijkstra({k: list(v.items()) for k, v in graph.items()}, [a], ratio * c, {b}):
+            if graph[a] and graph[b] and another_way(graph, a, b, ratio * c):
                 continue
             graph[a][b] = graph[b][a] = c
             kept.append((a, b, c))

@@ -8,7 +8,7 @@ from terrane.operators import raster, traces
 from terrane.plans import tables as t
 from terrane.plans.catalog import register
 from terrane.session import table
-from terrane.streaming import sessions
+from terrane.streaming import folds, sessions
 
 
 @register("raster_points", f"WITH {t.STATIONS} SELECT DISTINCT floor(lat / 0.5)::BIGINT AS row, floor(lon / 0.5)::BIGINT AS col FROM stations")
@@ -63,6 +63,14 @@ def sample_along(spark, d):
     return raster.sample_along(_segments(spark, d), t.grid(spark, d), 1.0, 10.0).select("edge", F.round("sample", 6).alias("sample"))
 
 
+@register(
+    "mask_shares",
+    f"WITH {t.GRID}, {_SEG}, n AS (SELECT *, round_even(greatest(3.0, least(50.0, length / 10)), 0)::BIGINT AS n FROM seg), p AS (SELECT *, unnest(range(n)) AS k FROM n) SELECT edge, round(coalesce(avg(value), 0.0), 6) AS sample FROM (SELECT edge, floor(y1 + (k::DOUBLE / (n - 1)) * (y2 - y1))::BIGINT AS row, floor(x1 + (k::DOUBLE / (n - 1)) * (x2 - x1))::BIGINT AS col FROM p) LEFT JOIN grid USING (row, col) GROUP BY 1",
+)
+def mask_shares(spark, d):
+    return raster.sample_along(_segments(spark, d), t.grid(spark, d), 1.0, 10.0, nearest=True).select("edge", F.round("sample", 6).alias("sample"))
+
+
 @register("distance_to_high")
 def distance_to_high(spark, d):
     return raster.distance_to_high(t.grid(spark, d), 49.0, 30.0)
@@ -116,3 +124,30 @@ def windowed_counts(spark, d):
 @register("sessionised_events", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, k")
 def sessionised_events(spark, d):
     return sessions.sessions(table(spark, d, "events")).select("user_id", "n", "first_ts", "last_ts")
+
+
+def _rounds(spark, d):
+    """Events as a trace: a request is a user's day, a round an hour of it."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type").isin("view", "click"), "tool_call").when(F.col("event_type") == "purchase", "round_end").when(F.col("event_type") == "signup", "request_end").otherwise("other")
+    request = F.col("user_id") * 100 + F.dayofmonth("ts")
+    return e.select(request.alias("request_id"), kind.alias("event"), F.hour("ts").cast("long").alias("round_i"), F.round("value").alias("latency_ms"), (F.pmod("event_id", F.lit(7)) == 0).alias("is_error"), "ts")
+
+
+_ROUNDS = """e AS (SELECT user_id * 100 + day(ts) AS request_id, CASE WHEN event_type IN ('view', 'click') THEN 'tool_call' WHEN event_type = 'purchase' THEN 'round_end' WHEN event_type = 'signup' THEN 'request_end' ELSE 'other' END AS event,
+ hour(ts)::BIGINT AS round_i, round(value) AS ms, event_id % 7 = 0 AS is_error FROM events),
+ ends AS (SELECT request_id, bool_or(event = 'request_end') AS ended FROM e GROUP BY 1),
+ folded AS (SELECT request_id, round_i, count(*) FILTER (event = 'tool_call') AS n_tools, count(*) FILTER (event = 'tool_call' AND is_error) AS n_errors, coalesce(sum(ms) FILTER (event = 'tool_call'), 0.0) AS tool_ms, coalesce(sum(ms) FILTER (event = 'round_end'), 0.0) AS round_ms FROM e GROUP BY 1, 2)"""
+
+
+@register("round_folds", f"WITH {_ROUNDS} SELECT folded.*, ended FROM folded JOIN ends USING (request_id)")
+def round_folds(spark, d):
+    return folds.rounds(_rounds(spark, d))
+
+
+@register("prompt_means", f"WITH {_ROUNDS}, r AS (SELECT request_id, sum(n_tools) AS tools, sum(tool_ms) AS tool_ms, sum(tool_ms + round_ms) AS wall_ms FROM folded GROUP BY 1) SELECT request_id % 11 AS prompt, count(*) AS n_requests, round(avg(tools), 6) AS mean_tools, round(avg(tool_ms), 6) AS mean_tool_ms, round(avg(wall_ms), 6) AS mean_wall_ms FROM r GROUP BY 1")
+def prompt_means(spark, d):
+    rows = folds.rounds(_rounds(spark, d))
+    prompts = rows.select("request_id").distinct().withColumn("prompt", F.pmod("request_id", F.lit(11)))
+    found = folds.prompt_means(rows, prompts)
+    return found.select("prompt", "n_requests", *[F.round(c, 6).alias(c) for c in ("mean_tools", "mean_tool_ms", "mean_wall_ms")])

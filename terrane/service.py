@@ -101,10 +101,22 @@ def pois_along_route(net: Network, line: DataFrame, category: str, buffer_km: fl
     return near.orderBy("off_m", "poi").limit(limit)
 
 
-def split_into_stages(net: Network, line: DataFrame, target_km: float) -> DataFrame:
-    """Stages of about ``target_km`` (values from 15 to 50 are taken as miles), each with the anchor nearest to its end."""
+def split_into_stages(net: Network, line: DataFrame, target_km: float, via_refs: tuple[str, ...] = (), known_km: float | None = None) -> DataFrame:
+    """Stages of about ``target_km`` (values from 15 to 50 are taken as miles), each with the anchor nearest to its end.
+
+    Every anchor of ``via_refs``, in their order, ends a stage where the line is nearest to it; ``known_km`` is the length
+    that the line's own is scaled to.
+    """
     km = target_km * 1.60934 if 15 <= target_km <= 50 else target_km
-    ends = ordered.stage_ends(line, "line", ["seq"], km)
+    spark, lines = net.anchors.sparkSession, line.select("line").distinct()
+    wanted = spark.createDataFrame([(k, ref) for k, ref in enumerate(via_refs)], "k int, ref string")
+    stops = wanted.join(net.anchors.select("ref", F.col("lon").alias("v_lon"), F.col("lat").alias("v_lat")), "ref", "left")
+    if via_refs and (lost := stops.where("v_lon IS NULL").first()):
+        return _error(net, f"unknown ref: {lost['ref']}")
+    # the vias are what the caller names: a handful
+    vias = lines.join(F.broadcast(stops)).select("line", "k", F.col("v_lon").alias("lon"), F.col("v_lat").alias("lat")) if via_refs else None
+    lengths = lines.withColumn("km", F.lit(float(known_km))) if known_km else None
+    ends = ordered.stage_ends(line, "line", ["seq"], km, vias, lengths)
     place = line.withColumn("pos", F.row_number().over(Window.partitionBy("line").orderBy("seq"))).join(ends, ["line", "pos"])
     at = place.select(F.struct("line", "stage").alias("end"), "lon", "lat", "line", "stage", "stage_km")
     near = proximity.nearest(at, net.anchors, "end", "anchor").select("end", "anchor")
@@ -150,7 +162,11 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
 
 
 def call(net: Network, tool: str, **arguments: Any) -> DataFrame:
-    """A tool by its name."""
+    """A tool by its name. What goes wrong while it is planned (a wrong argument, an unknown column) is told as a row
+    (error), as an unknown name is."""
     if tool not in TOOLS:
         return _error(net, f"unknown tool: {tool}")
-    return TOOLS[tool](net, **arguments)
+    try:
+        return TOOLS[tool](net, **arguments)
+    except Exception as e:  # noqa: BLE001 - the caller gets every failure as a value
+        return _error(net, f"{type(e).__name__}: {e}".splitlines()[0])

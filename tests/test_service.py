@@ -52,6 +52,21 @@ def test_along_a_line(spark, net):
     assert [r["stage"] for r in stages] == [1, 2, 3] and stages[-1]["overnight"] == "Linz"
 
 
+def test_stages_end_at_vias(spark, net):
+    line = spark.createDataFrame([(1, k, 16.37 - k * 0.02, 48.21) for k in range(105)], "line long, seq long, lon double, lat double")
+    anchors = net.anchors.unionByName(spark.createDataFrame([(5, "db:5", "Melk", 5000, "austria", 15.33, 48.22)], net.anchors.schema))
+    more = service.Network(anchors, net.stations, net.services, net.pois, net.chain)
+    stages = service.call(more, "split_into_stages", line=line, target_km=52.0, via_refs=("db:5",)).collect()
+    assert [r["overnight"] for r in stages if abs(sum(x["stage_km"] for x in stages if x["stage"] <= r["stage"]) - 77.1) < 2] == ["Melk"]
+    assert sum(r["stage_km"] for r in service.call(more, "split_into_stages", line=line, target_km=52.0, known_km=200.0).collect()) == pytest.approx(200.0, abs=0.3)
+    assert service.call(more, "split_into_stages", line=line, target_km=52.0, via_refs=("db:77",)).first()["error"] == "unknown ref: db:77"
+
+
+def test_failures_are_values(net):
+    assert "TypeError" in service.call(net, "route", wrong=1).first()["error"]
+    assert service.call(net, "stations_near", lon="a column that isn't there", lat=1.0).columns == ["error"]
+
+
 def test_whole_build(spark):
     n = 24
     vertices = spark.createDataFrame([(i * n + j, 10 + i * 0.02, 48 + j * 0.02, 0.0) for i in range(n) for j in range(n)], "id long, lon double, lat double, elev double")
