@@ -22,14 +22,19 @@ def fresh_names(df: DataFrame, n: int) -> list[str]:
     return [c for c in free if c not in taken][:n]
 
 
+#: Folders made where ``spark.checkpoint.dir`` is unset, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a private temporary one only on a local master where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="terrane-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # a running session's setting can't be changed, so the folder is remembered here
+        app = spark.sparkContext.applicationId
+        base = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="terrane-shared-")
     return base.rstrip("/")
 
 
