@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions import geo
 from terrane.operators.graph import best_by
 from terrane.session import materialize, release
 
@@ -215,3 +216,43 @@ def absorb(piers: DataFrame, places: DataFrame, pairs: DataFrame) -> DataFrame:
     named = pairs.join(places.select("place", "name", "population"), "place")
     best = best_by(named, ["pier"], [F.desc_nulls_last("population"), "place"])
     return piers.join(best.select("pier", F.col("name").alias("place_name"), "population"), "pier", "left")
+
+
+def chain_polygon_points(anchors: DataFrame, lines: DataFrame, disc_m: float = 5_000.0) -> DataFrame:
+    """(anchor, lon, lat): the points whose hull is an anchor's polygon: what its chain reaches in a hop and a half.
+
+    ``anchors`` has (anchor, lon, lat, is_pier), ``lines`` (a, b, path), path being an array of struct(lon, lat) from a to b
+    that counts in both directions. An anchor has the disc around itself; for each neighbour on land the line to it, the
+    disc around the line's end, and from there the lines to the neighbour's other neighbours on land, up to the first point
+    past their half. Of a neighbour that is a pier a land anchor has the end of the line only, a pier nothing.
+    """
+    from terrane.operators import ordered
+
+    pier = anchors.select(F.col("anchor").alias("to"), F.coalesce("is_pier", F.lit(False)).alias("to_pier"))
+    there = lines.select(F.col("a").alias("anchor"), F.col("b").alias("to"), "path")
+    back = lines.select(F.col("b").alias("anchor"), F.col("a").alias("to"), F.reverse("path").alias("path"))
+    hops = materialize(there.unionByName(back).where(F.size("path") > 0).join(pier, "to").withColumn("hop", F.monotonically_increasing_id()), "polygon-hops")
+    own_pier = anchors.select("anchor", F.coalesce("is_pier", F.lit(False)).alias("own_pier"))
+    near = hops.join(own_pier, "anchor")
+    end = F.element_at("path", -1)
+    disc = lambda lon, lat: F.explode(geo.circle(lon, lat, disc_m)).alias("p")
+    land = near.where("NOT to_pier")
+    parts = [
+        anchors.select("anchor", disc("lon", "lat")),
+        near.where("to_pier AND NOT own_pier").select("anchor", end.alias("p")),
+        land.select("anchor", F.explode("path").alias("p")),
+        land.select("anchor", end["lon"].alias("x"), end["lat"].alias("y")).select("anchor", disc("x", "y")),
+    ]
+    # the half of every line is worked out once, whoever uses it
+    points = hops.where("NOT to_pier").select("hop", F.posexplode("path").alias("seq", "p")).select("hop", "seq", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
+    halves = ordered.half_prefix(points, "hop", ["seq"]).select("hop", F.struct("lon", "lat").alias("p")).join(hops.select("hop", F.col("anchor").alias("via"), "to"), "hop")
+    onward = land.select("anchor", F.col("to").alias("via")).distinct().join(halves, "via").where("to <> anchor").select("anchor", "p")
+    out = onward
+    for part in parts:
+        out = out.unionByName(part.select("anchor", F.struct(F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat")).alias("p")))
+    return out.select("anchor", "p.lon", "p.lat").distinct()
+
+
+def chain_polygons(anchors: DataFrame, lines: DataFrame, disc_m: float = 5_000.0) -> DataFrame:
+    """(anchor, pos, lon, lat): the hull of every anchor's ``chain_polygon_points``."""
+    return convex_hulls(chain_polygon_points(anchors, lines, disc_m), "anchor")

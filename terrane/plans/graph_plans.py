@@ -197,6 +197,16 @@ def hull_polygons(spark, d):
     return trees.convex_hulls(t.anchors(spark, d).select("nation", "lon", "lat"), "nation")
 
 
+@register("chain_polygons")
+def chain_polygons(spark, d):
+    """Every city's polygon over the chain of its neighbours in number; every seventh is a pier."""
+    a = t.anchors(spark, d).select("anchor", "lon", "lat", (F.col("anchor") % 7 == 0).alias("is_pier"))
+    ahead = a.select((F.col("anchor") - 1).alias("anchor"), F.col("anchor").alias("b"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    step = lambda k: F.struct((F.col("lon") + (F.col("x2") - F.col("lon")) * k / 4).alias("lon"), (F.col("lat") + (F.col("y2") - F.col("lat")) * k / 4).alias("lat"))
+    lines = a.join(ahead, "anchor").select(F.col("anchor").alias("a"), "b", F.array(*[step(k) for k in range(5)]).alias("path"))
+    return trees.chain_polygons(a, lines)
+
+
 @register("multi_hop_redundancy")
 def multi_hop_redundancy(spark, d):
     return trees.drop_detours(_undirected(spark, d))

@@ -154,3 +154,52 @@ def test_a_shared_folder_is_made_once_where_none_is_set(spark, monkeypatch):
     monkeypatch.setattr(session, "_OWN", {})
     first = session.shared_dir(Session())
     assert first.startswith("file:///") and session.shared_dir(Session()) == first
+
+
+def test_chain_polygon_points(spark):
+    r = random.Random(6)
+    anchors = {k: (10 + r.random(), 47 + r.random(), k % 4 == 1) for k in range(12)}
+    lines = {}
+    for a in anchors:
+        for b in r.sample(sorted(anchors), 3):
+            if a < b:
+                (x1, y1, _), (x2, y2, _) = anchors[a], anchors[b]
+                n = r.randrange(1, 6)
+                lines[a, b] = [(x1 + (x2 - x1) * (k / n) ** 2, y1 + (y2 - y1) * k / n) for k in range(n + 1)]
+    own = {}
+    for (a, b), path in lines.items():
+        own.setdefault(a, []).append((b, path))
+        own.setdefault(b, []).append((a, path[::-1]))
+
+    def disc(x, y):
+        step = 2 * math.pi / 32
+        return {(round(x + math.cos(step * k) * 5000 / (111_320 * math.cos(math.radians(y))), 7), round(y + math.sin(step * k) * 5000 / 111_320, 7)) for k in range(32)}
+
+    def half(path):
+        steps, total = [haversine(*p, *q) for p, q in zip(path, path[1:], strict=False)], 0.0
+        for k, s in enumerate(steps):
+            total += s
+            if total >= sum(steps) / 2:
+                return path[: k + 2]
+        return path
+
+    low = lambda ps: {(round(x, 7), round(y, 7)) for x, y in ps}
+    expected = {}
+    for a, (x, y, pier) in anchors.items():
+        points = disc(x, y)
+        for b, path in own.get(a, []):
+            if anchors[b][2]:
+                points |= set() if pier else low(path[-1:])
+                continue
+            points |= low(path) | disc(*path[-1])
+            for c, more in own.get(b, []):
+                if c != a and not anchors[c][2]:
+                    points |= low(half(more))
+        expected[a] = points
+    places = spark.createDataFrame([(k, *v) for k, v in anchors.items()], "anchor long, lon double, lat double, is_pier boolean")
+    table = spark.createDataFrame([(a, b, p) for (a, b), p in lines.items()], "a long, b long, path array<struct<lon:double,lat:double>>")
+    got = {}
+    for x in trees.chain_polygon_points(places, table).collect():
+        got.setdefault(x["anchor"], set()).add((round(x["lon"], 7), round(x["lat"], 7)))
+    assert got == expected
+    assert {x["anchor"] for x in trees.chain_polygons(places, table).collect()} == set(anchors)
