@@ -3,8 +3,8 @@
 1. Documents are stored once, in chunks of up to ``chunk_words`` words: a chunk is one row with its texts compressed, so
    every later step sees the same chunks, however often an executor is lost.
 2. Each chunk hashes all its windows: prefix sums of word hashes times powers of an odd base give the polynomial hash of
-   every window at once, for two independent bases and word hashes. A chunk's distinct windows are dealt into groups by
-   one hash; a group's part is one row of packed hashes (72 bits beyond the group) and the least document id of each.
+   every window at once, for two bases. A chunk's distinct windows are dealt into groups by
+   ranges of one hash; a group's part is one row of the other hash of each and its least document id, packed.
 3. A task works through one group: windows that several chunks hold are found by sorting, and each chunk gets back one bit
    for each of its windows, set where the window starts earlier elsewhere. What a chunk repeats itself, it knows.
 4. Bits and chunks meet again, and windows with a bit merge into maximal intervals of words.
@@ -12,7 +12,8 @@
 The number of groups follows the number of windows (``group_windows`` in each), so a group fits in a task at every size,
 and a window that every document holds is one entry of each chunk. A row of step 2 holds about ``chunk_words *
 group_windows / windows of the corpus`` entries; beyond some terabytes of text both should be raised together. Windows
-are told apart by 72 bits and their group's number: among 10^13 windows a false repeat is expected less than once.
+are told apart by 64 bits and their group's number, which grows with the corpus: among 10^13 windows a false repeat is
+expected less than once (within a chunk 128 bits are compared).
 
 Defined cases: a null, empty or blank text has no words, and one of fewer words than a window loses none; null ids come
 after all others; rows of one id are documents of their own, the earlier being the one that was stored first, so of
@@ -21,7 +22,9 @@ repeated rows one keeps its words; other columns are not read; an empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,8 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.batches import written
-from terrane.llm.memory import kept
-from terrane.session import release
 
 #: Odd bases of the two hashes; both are 5 modulo 8, for which differences of powers keep all but a few low bits.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -39,31 +40,11 @@ _CHUNKS = "chunk long, n_windows long, doc_ids binary, blank binary, sizes binar
 _RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string"
 
 
-class WordTable(dict):
-    """Word to its place in two arrays of 64-bit hashes; emptied at ``limit`` words."""
+def word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    """64-bit hashes of n words; as fast without a memory of words, a fifth of which are new in most texts."""
+    import xxhash
 
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
-        self.hashes = np.zeros((2, limit), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        place = self[word] = len(self)
-        self.hashes[:, place] = divmod(xxhash.xxh3_128_intdigest(word), 1 << 64)
-        return place
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """The two hashes of each word, in two rows."""
-        out = np.empty((2, len(words)), np.uint64)
-        step = self.limit // 2
-        for at in range(0, len(words), step):
-            part = words[at : at + step]
-            if len(self) + len(part) > self.limit:
-                self.clear()
-            out[:, at : at + len(part)] = self.hashes[:, np.fromiter(map(self.__getitem__, part), np.int64, len(part))]
-        return out
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,17 +61,17 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def window_hashes(hashed: np.ndarray, window: int) -> np.ndarray:
-    """The Rabin-Karp hashes of the windows of ``window`` words, in two rows.
+    """Two Rabin-Karp hashes of each window of ``window`` words, in two rows, the second over the words' mixed hashes.
 
     With prefix sums S of w[k] * b**-k, the hash of the window from i on is (S[i + window] - S[i]) * b**i.
     """
-    n = hashed.shape[1] - window + 1
+    n = len(hashed) - window + 1
     if n <= 0:
         return np.empty((2, 0), np.uint64)
     out = np.empty((2, n), np.uint64)
-    for k, base in enumerate(_BASES):
-        sums = np.zeros(hashed.shape[1] + 1, np.uint64)
-        np.cumsum(hashed[k] * powers(pow(base, -1, 1 << 64), hashed.shape[1]), out=sums[1:])
+    for k, (base, values) in enumerate(zip(_BASES, (hashed, mix(hashed)), strict=True)):
+        sums = np.zeros(len(hashed) + 1, np.uint64)
+        np.cumsum(values * powers(pow(base, -1, 1 << 64), len(hashed)), out=sums[1:])
         out[k] = mix((sums[window:] - sums[:-window]) * powers(base, n))
     return out
 
@@ -107,28 +88,38 @@ def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 class Chunk:
     """The windows of a chunk's documents, taken in the order of their ids."""
 
-    def __init__(self, doc_ids: np.ndarray, blank: np.ndarray, texts: list[bytes], window: int, table: WordTable):
-        self.doc_ids, self.blank, self.window = doc_ids, blank, window
-        self.words = [t.split() for t in texts]
-        hashes = [window_hashes(table.of(w), window) for w in self.words]
+    def __init__(self, doc_ids: np.ndarray, blank: np.ndarray, texts: list[bytes], window: int):
         order = np.lexsort((np.arange(len(doc_ids)), doc_ids))
-        sizes = np.array([hashes[d].shape[1] for d in order], np.int64)
-        self.order, self.bounds = order, np.concatenate([[0], sizes.cumsum()])
-        self.hashes = np.concatenate([hashes[d] for d in order], axis=1) if len(order) else np.empty((2, 0), np.uint64)
-        self.rank = np.repeat(np.arange(len(order)), sizes)
+        self.doc_ids, self.blank, self.window = doc_ids[order], blank[order], window
+        self.words = [texts[d].split() for d in order.tolist()]
+        sizes = np.array([len(w) for w in self.words], np.int64)
+        self.bounds = np.concatenate([[0], sizes.cumsum()])
+        n = int(self.bounds[-1])
+        rank = np.repeat(np.arange(len(sizes)), sizes)
+        # all words stand in one row; windows that reach into the next document are none
+        self.at = np.flatnonzero(rank[: max(0, n - window + 1)] == rank[window - 1 :])
+        self.hashes = window_hashes(word_hashes(itertools.chain.from_iterable(self.words), n), window)[:, self.at]
+        self.rank = rank[self.at]
 
     def dealt(self, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first windows of each hash in the order (group, hash), the bounds of the groups that have some, and the
-        numbers of those groups."""
-        group = (self.hashes[1] >> np.uint64(8)) % np.uint64(groups)
-        tail = self.hashes[1] & np.uint64(255)
-        order = np.lexsort((tail, self.hashes[0], group))  # stable, so the first of equal windows is the earliest
-        g, a, t = group[order], self.hashes[0][order], tail[order]
+        """The first windows of each hash in the order of one of the hashes, the bounds of the groups that have some, and
+        the numbers of those groups: a group is a range of that hash."""
+        key = self.hashes[1]
+        if not len(key):
+            return np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.int64)
+        order = np.argsort(key)
+        k, other = key[order], self.hashes[0][order]
         new = np.ones(len(order), bool)
-        new[1:] = (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (t[1:] != t[:-1])
-        first = order[new]
-        numbers, starts = np.unique(g[new], return_index=True)
-        return first, np.append(starts, len(first)), numbers.astype(np.int64)
+        new[1:] = k[1:] != k[:-1]
+        if (other[1:] != other[:-1])[~new[1:]].any():  # one hash is equal and the other is not: nearly never
+            order = np.lexsort((self.hashes[0], key))
+            k, other = key[order], self.hashes[0][order]
+            new[1:] = (k[1:] != k[:-1]) | (other[1:] != other[:-1])
+        starts = np.flatnonzero(new)
+        first = np.minimum.reduceat(order, starts)  # of equal windows the earliest
+        group = (((k[starts] >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        return first, np.append(cuts, len(first)), group[cuts]
 
     def results(self, groups: int, bits: dict[int, bytes]) -> Iterator[tuple]:
         """A row for each document, ``bits`` telling by group which windows start earlier in other chunks."""
@@ -140,9 +131,10 @@ class Chunk:
             if g in bits:
                 part = first[bounds[k] : bounds[k + 1]]
                 removed[part] = np.unpackbits(np.frombuffer(bits[g], np.uint8), count=len(part)).view(bool)
-        for place, d in enumerate(self.order.tolist()):
-            words = self.words[d]
-            spans = merged(np.flatnonzero(removed[self.bounds[place] : self.bounds[place + 1]]), self.window)
+        gone = np.zeros(int(self.bounds[-1]), bool)
+        gone[self.at[removed]] = True
+        for d, words in enumerate(self.words):
+            spans = merged(np.flatnonzero(gone[self.bounds[d] : self.bounds[d + 1]]), self.window)
             left, at = [], 0
             for s, e in spans:
                 left += words[at:s]
@@ -164,7 +156,7 @@ def _opened(row, window: int) -> Chunk:
     joined = zstandard.ZstdDecompressor().decompress(bytes(row.texts))
     ends = np.frombuffer(row.sizes, np.int64).cumsum()
     texts = [joined[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-    return Chunk(np.frombuffer(row.doc_ids, np.int64), np.frombuffer(row.blank, bool), texts, window, kept("word table", WordTable))
+    return Chunk(np.frombuffer(row.doc_ids, np.int64), np.frombuffer(row.blank, bool), texts, window)
 
 
 def chunked(docs: DataFrame, window: int, chunk_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -202,32 +194,38 @@ def chunked(docs: DataFrame, window: int, chunk_words: int, id_col: str, text_co
     return rows.mapInPandas(run, _CHUNKS)
 
 
+def packed(values: np.ndarray, most: int) -> bytes:
+    """Numbers up to ``most``: a byte each, and a bit for every further binary digit."""
+    planes = [np.packbits((values >> b & 1).astype(bool)).tobytes() for b in range(8, max(8, most.bit_length()))]
+    return values.astype(np.uint8).tobytes() + b"".join(planes)
+
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    """The n numbers of ``packed``."""
+    out, size = np.frombuffer(blob[:n], np.uint8).astype(np.int64), (n + 7) // 8
+    for b, at in enumerate(range(n, len(blob), size), 8):
+        out |= np.unpackbits(np.frombuffer(blob[at : at + size], np.uint8), count=n).astype(np.int64) << b
+    return out
+
+
 def dealt_windows(chunks: DataFrame, window: int, groups: int) -> DataFrame:
-    """(grp, chunk, hashes, tails, ids, which): a chunk's distinct windows of a group, in the order of their hashes."""
+    """(grp, chunk, hashes, ids, which): a chunk's distinct windows of a group, and the document of each: its place among
+    those that the group meets, whose ids ascend."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 chunk = _opened(r, window)
                 first, bounds, numbers = chunk.dealt(groups)
-                ids = chunk.doc_ids[chunk.order][chunk.rank[first]]
-                hashes, tails = chunk.hashes[0][first], chunk.hashes[1][first].astype(np.uint8)
-                rows = []
+                ranks, hashes, rows = chunk.rank[first], chunk.hashes[0][first], []
                 for g, s, e in zip(numbers.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    known, which = np.unique(ids[s:e], return_inverse=True)
-                    steps = np.diff(known, prepend=known[:1])
-                    wide = next(t for t in (np.uint8, np.uint16, np.uint32) if len(known) - 1 <= np.iinfo(t).max)
-                    low = next((t for t in (np.uint8, np.uint16, np.uint32) if 0 <= steps.min() and steps.max() <= np.iinfo(t).max), np.int64)
-                    rows.append((g, r.chunk, hashes[s:e].tobytes(), tails[s:e].tobytes(), int(known[0]), steps.astype(low).tobytes(), which.astype(wide).tobytes()))
-                yield pd.DataFrame(rows, columns=["grp", "chunk", "hashes", "tails", "low", "steps", "which"])
-
-    return chunks.mapInPandas(run, "grp long, chunk long, hashes binary, tails binary, low long, steps binary, which binary")
-
+                    there = np.zeros(len(chunk.doc_ids), bool)
+                    there[ranks[s:e]] = True
+                    known, which = chunk.doc_ids[there], (there.cumsum() - 1)[ranks[s:e]]
+                    rows.append((g, r.chunk, hashes[s:e].tobytes(), zlib.compress(np.diff(known, prepend=0).tobytes(), 1), packed(which, len(known) - 1)))
+                yield pd.DataFrame(rows, columns=["grp", "chunk", "hashes", "ids", "which"])
 
-def _unpacked(blob: bytes, n: int, wide: type = np.int64) -> np.ndarray:
-    """n numbers of as many bytes each as the blob has."""
-    size = len(blob) // n
-    return np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: wide}[size]).astype(np.int64)
+    return chunks.mapInPandas(run, "grp long, chunk long, hashes binary, ids binary, which binary")
 
 
 def earlier_elsewhere(dealt: DataFrame) -> DataFrame:
@@ -245,17 +243,15 @@ def earlier_elsewhere(dealt: DataFrame) -> DataFrame:
         often[1:] |= same
         often[:-1] |= same
         some = order[often]  # only windows whose hash occurs again are looked at further
-        tails = np.frombuffer(b"".join(group["tails"]), np.uint8)[some]
         ids = []
-        for n, low, steps, which in zip(sizes.tolist(), group["low"].tolist(), group["steps"], group["which"], strict=True):
-            place = _unpacked(which, n)
-            ids.append((low + _unpacked(steps, int(place.max()) + 1).cumsum())[place])
+        for n, known, which in zip(sizes.tolist(), group["ids"], group["which"], strict=True):
+            ids.append(np.frombuffer(zlib.decompress(known), np.int64).cumsum()[unpacked(which, n)])
         row = np.repeat(np.arange(len(sizes)), sizes)[some]
         ids, chunk = np.concatenate(ids)[some], group["chunk"].to_numpy()[row]
-        turn = np.lexsort((chunk, ids, tails, hashes[some]))
-        a, t = hashes[some][turn], tails[turn]
+        turn = np.lexsort((chunk, ids, hashes[some]))
+        a = hashes[some][turn]
         later = np.zeros(len(turn), bool)
-        later[1:] = (a[1:] == a[:-1]) & (t[1:] == t[:-1])
+        later[1:] = a[1:] == a[:-1]
         flags = np.zeros(len(order), bool)
         flags[some[turn[later]]] = True
         bounds, out = np.concatenate([[0], sizes.cumsum()]).tolist(), []
@@ -268,7 +264,7 @@ def earlier_elsewhere(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("grp").applyInPandas(run, "chunk long, grp long, bits binary")
 
 
-def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 1_000_000, group_windows: int = 2_000_000) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 250_000, group_windows: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, spans (removed intervals of words, ends exclusive) and kept_text
     (the words left, joined by one blank).
 
@@ -280,7 +276,7 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     windows = chunks.agg(F.sum("n_windows")).first()[0] or 0
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(least, -(-windows // group_windows))
-    # a chunk's row holds a million words: few of them go to a worker at once
+    # a chunk's row holds many words: few of them go to a worker at once
     found = written(earlier_elsewhere(dealt_windows(chunks, window, groups)), "repeats", rows=8)
     bits = found.groupBy("chunk").agg(F.collect_list(F.struct("grp", "bits")).alias("bits")).select("chunk", "bits.grp", "bits.bits")
 
@@ -292,9 +288,7 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
                 rows["doc_id"] = rows["doc_id"].astype("Int64")
                 yield rows
 
-    result = written(chunks.join(bits, "chunk", "left").mapInPandas(run, _RESULT), "without-repeats", rows=8)
-    release(chunks, found)
-    return result
+    return chunks.join(bits, "chunk", "left").mapInPandas(run, _RESULT)
 
 
 def digest(found: DataFrame) -> DataFrame:

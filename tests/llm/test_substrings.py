@@ -75,7 +75,7 @@ def test_empty_table(spark):
 
 
 def test_window_hashes_are_of_the_window_alone():
-    hashed = substrings.WordTable(limit=40).of([str(k % 30).encode() for k in range(500)])
+    hashed = substrings.word_hashes([str(k % 30).encode() for k in range(500)], 500)
     found = substrings.window_hashes(hashed, 20)
     for k in (0, 1, 17, 29):
         assert (found[:, k] == found[:, k + 30 * np.arange(15)].T).all()
@@ -85,3 +85,11 @@ def test_window_hashes_are_of_the_window_alone():
 def test_digest(spark):
     found = substrings.digest(substrings.without_repeats(table(spark, [(1, "a  b\nc")]))).first()
     assert found["kept_sha256"] == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_packed_numbers():
+    r = random.Random(13)
+    for most in (0, 1, 255, 256, 511, 70_000, 2**31):
+        for n in (1, 7, 8, 1000):
+            values = np.array([most] + [r.randrange(most + 1) for _ in range(n - 1)], np.int64)
+            assert (substrings.unpacked(substrings.packed(values, most), n) == values).all()
