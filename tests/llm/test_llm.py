@@ -694,7 +694,7 @@ def test_warc_records(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_llm_oracle(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     found, expected = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
     key = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).values.tolist()))
