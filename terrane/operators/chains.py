@@ -241,6 +241,23 @@ def ferry_owners(ends: DataFrame, trees: DataFrame, anchors: DataFrame) -> DataF
     return owned.unionByName(proximity.nearest(rest, anchors, "vid", "anchor").select("vid", F.col("anchor").alias("city")))
 
 
+#: Fixed value: what a ferry costs beside the way between the cities.
+FERRY_COST = 20_000.0
+
+
+def ferry_city_edges(ferries: DataFrame, owners: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Directed edges (a, b, cost) between the cities that own the ends of ferries (source, target, cost, reverse_cost):
+    ``FERRY_COST`` and the metres between the cities' centres, so that a short ferry is no shortcut. ``owners`` has (vid,
+    city). A negative, null or endless cost closes a direction; ferries within a city or with an end that nobody owns are
+    left out; every ferry has edges of its own."""
+    open_ = lambda c: F.coalesce((F.col(c) >= 0) & (F.col(c) < 1e14), F.lit(False))
+    held = ferries.join(owners.select(F.col("vid").alias("source"), F.col("city").alias("a")), "source").join(owners.select(F.col("vid").alias("target"), F.col("city").alias("b")), "target").where("a <> b")
+    at = anchors.select("anchor", "lon", "lat")
+    placed = held.join(at.toDF("a", "x1", "y1"), "a").join(at.toDF("b", "x2", "y2"), "b").withColumn("far", F.lit(FERRY_COST) + geo.haversine_m("x1", "y1", "x2", "y2"))
+    there = placed.where(open_("cost")).select("a", "b", F.col("far").alias("cost"))
+    return there.unionByName(placed.where(open_("reverse_cost")).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("far").alias("cost")))
+
+
 def dock_once(piers: DataFrame, radius_m: float = 500.0) -> DataFrame:
     """Piers (pier, lon, lat) without those that a kept pier of a lesser id has within the radius.
 

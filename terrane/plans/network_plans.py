@@ -307,6 +307,22 @@ def ferry_owners(spark, d):
     return chains.ferry_owners(t.vertices(spark, d).select(F.col("id").alias("vid"), "lon", "lat"), trees, t.anchors(spark, d))
 
 
+@register(
+    "ferry_city_edges",
+    f"WITH {t.ANCHORS}, owned AS (SELECT l_partkey AS vid, min_by(l_suppkey, {{'c': l_extendedprice, 's': l_suppkey}}) AS city FROM lineitem GROUP BY 1), rides AS (SELECT o_custkey AS source, o_custkey + 13 AS target, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END AS cost, CASE WHEN o_orderkey % 3 = 0 THEN 1e15 ELSE 1 END AS reverse_cost FROM orders), "
+    f"ends AS (SELECT u.city AS a, v.city AS b, cost, reverse_cost, {t.rounded_sql('20000 + ' + t.haversine_sql('x.lon', 'x.lat', 'y.lon', 'y.lat'), 3)} AS far FROM rides JOIN owned u ON u.vid = source JOIN owned v ON v.vid = target JOIN anchors x ON x.anchor = u.city JOIN anchors y ON y.anchor = v.city WHERE u.city <> v.city) "
+    "SELECT a, b, far AS cost FROM ends WHERE cost >= 0 AND cost < 1e14 UNION ALL SELECT b, a, far FROM ends WHERE reverse_cost >= 0 AND reverse_cost < 1e14",
+)
+def ferry_city_edges(spark, d):
+    """A ferry for every order, its ends owned by the cities whose line items reach them at least cost."""
+    trees = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("city"), F.col("l_partkey").alias("vid"), F.col("l_extendedprice").alias("cost"))
+    owners = trees.groupBy("vid").agg(F.min(F.struct("cost", "city")).alias("x")).select("vid", F.col("x.city").alias("city"))
+    k = F.col("o_orderkey")
+    rides = table(spark, d, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_custkey") + 13).alias("target"), F.when(k % 5 == 0, -1.0).otherwise(1.0).alias("cost"), F.when(k % 3 == 0, 1e15).otherwise(1.0).alias("reverse_cost"))
+    found = chains.ferry_city_edges(rides, owners, t.anchors(spark, d))
+    return found.select("a", "b", t.rounded(F.col("cost"), 3).alias("cost"))
+
+
 @register("docked_piers")
 def docked_piers(spark, d):
     return chains.dock_once(t.stations(spark, d).select(F.col("id").alias("pier"), "lon", "lat"), 60_000).select("pier")
