@@ -37,7 +37,7 @@ _AB = t.haversine_sql("a.lon", "a.lat", "s.lon", "s.lat")
 
 @register("radius_join", f"WITH {t.ANCHORS}, {t.STATIONS} SELECT anchor, id, round({_AB}, 2) AS dist_m FROM anchors a, stations s WHERE {_AB} <= 25000")
 def radius_join(spark, d):
-    pairs = proximity.radius_join(t.anchors(spark, d).select("anchor", "lon", "lat"), t.stations(spark, d).select("id", "lon", "lat"), 25_000)
+    pairs = proximity.pairs_within(t.anchors(spark, d), t.stations(spark, d), "anchor", "id", 25_000)
     return pairs.select("anchor", "id", F.round("dist_m", 2).alias("dist_m"))
 
 
