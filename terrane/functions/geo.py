@@ -62,11 +62,12 @@ def point_segment_km(plon, plat, alon, alat, blon, blat) -> Column:
 
 
 def bend_degrees(alon, alat, blon, blat, clon, clat) -> Column:
-    """Turn at b on the way from a to c, in [0, 180]."""
+    """Turn at b on the way from a to c, in [0, 180]; 0 where one of both steps has no length."""
     alon, alat, blon, blat, clon, clat = map(_col, (alon, alat, blon, blat, clon, clat))
     k = F.cos(F.radians(blat))
     x1, y1, x2, y2 = (blon - alon) * k, blat - alat, (clon - blon) * k, clat - blat
-    return F.abs(F.degrees(F.atan2(x1 * y2 - y1 * x2, x1 * x2 + y1 * y2)))
+    still = ((x1 == 0) & (y1 == 0)) | ((x2 == 0) & (y2 == 0))
+    return F.when(still, 0.0).otherwise(F.abs(F.degrees(F.atan2(x1 * y2 - y1 * x2, x1 * x2 + y1 * y2))))
 
 
 def unit_sphere(lon, lat) -> Column:

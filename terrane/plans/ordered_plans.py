@@ -37,7 +37,8 @@ def climb_profile(spark, d):
     return ordered.climb_profile(t.lines(spark, d), "line", t.ORDER, "elev").select("line", "seq", F.round("climb_m", 2).alias("climb_m"))
 
 
-_BEND = """coalesce(abs(degrees(atan2((lon - plon) * cos(radians(lat)) * (nlat - lat) - (lat - plat) * (nlon - lon) * cos(radians(lat)),
+#: A step without length has no direction, so no bend; the arctangent of zeros would go by their signs.
+_BEND = """coalesce(CASE WHEN (lon = plon AND lat = plat) OR (nlon = lon AND nlat = lat) THEN 0.0::DOUBLE END, abs(degrees(atan2((lon - plon) * cos(radians(lat)) * (nlat - lat) - (lat - plat) * (nlon - lon) * cos(radians(lat)),
  (lon - plon) * cos(radians(lat)) * (nlon - lon) * cos(radians(lat)) + (lat - plat) * (nlat - lat)))), 0.0)"""
 
 
