@@ -134,3 +134,15 @@ def test_trunk_store(spark, tmp_path):
     assert [files.append_trunks(trunks, f"{tmp_path}/t") for _ in range(2)] == [2, 0]
     assert files.append_trunks(trunks.unionByName(trunks.withColumn("dst", F.lit(3).cast("long"))), f"{tmp_path}/t") == 2
     assert VersionedTable(spark, f"{tmp_path}/t").read().count() == 4
+
+
+def test_a_pair_in_many_cells_is_measured_once_and_not_shuffled(spark):
+    r = random.Random(5)
+    rows = [(k, *[r.randrange(-40, 40) / 8 for _ in range(4)]) for k in range(60)] + [(60, 0.5, -5.0, 0.5, 5.0), (61, -5.0, 1.0, 5.0, 1.0), (62, 0.25, -5.0, 0.25 + 1e-12, 5.0)]
+    ring = [(-3.0, -3.1), (3.2, -2.9), (3.1, 3.0), (-3.1, 3.3)]
+    areas = spark.createDataFrame([(k, [(x + k / 16, y - k / 16) for x, y in ring]) for k in range(20)], "area long, ring array<struct<lon:double,lat:double>>")
+    lines = spark.createDataFrame(rows, "seg long, x1 double, y1 double, x2 double, y2 double")
+    by_cells = {c: sorted(map(tuple, segments.overlap_lengths(lines, areas, "seg", "area", c).collect())) for c in (0.25, 0.7, 100.0)}
+    assert by_cells[0.25] == by_cells[0.7] == by_cells[100.0] and len({x[:2] for x in by_cells[0.25]}) == len(by_cells[0.25]) > 500
+    plan = segments.overlap_lengths(lines, areas, "seg", "area", 0.25)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join") and "Aggregate" not in plan[: plan.index("Join")] and "Join" not in plan[: plan.index("MapInArrow")]
