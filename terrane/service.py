@@ -78,7 +78,7 @@ def route(net: Network, from_ref: str, to_ref: str) -> DataFrame:
     if a is None or b is None:
         return _error(net, f"unknown ref: {from_ref if a is None else to_ref}")
     spark = net.anchors.sparkSession
-    best = graph.shortest_paths(spark.createDataFrame([(a["anchor"], a["anchor"])], "node long, label long"), net.chain)
+    best = graph.shortest_paths(spark.createDataFrame([(a["anchor"], a["anchor"])], "node long, label long"), net.chain, target=b["anchor"])
     back = graph.closure(spark.createDataFrame([(b["anchor"],)], "node long"), best.where("parent IS NOT NULL").select(F.col("node").alias("src"), F.col("parent").alias("dst")))
     found = best.join(back, "node", "left_semi").select(F.col("node").alias("anchor"), F.col("dist").alias("dist_m"))
     total = F.max("dist_m").over(Window.partitionBy()) * 1.20 / 1000

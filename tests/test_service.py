@@ -44,6 +44,15 @@ def test_routes(net):
     assert links[0]["operator"] == "ÖBB Scotty" and "date=01.05.2024" in links[0]["url"] and len(links) == 3
 
 
+def test_a_route_is_not_lost_in_a_long_chain(spark, net):
+    """A way of two arcs at the head of a chain that takes more rounds than a search may have."""
+    arcs = spark.range(1, 3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(7.0).alias("cost")).where("src <> 2")
+    arcs = arcs.unionByName(spark.createDataFrame([(1, 3, 21.0), (2, 3, 13.0), (2, 3, 15.0)], "src long, dst long, cost double"))
+    long = service.Network(net.anchors, net.stations, net.services, net.pois, arcs)
+    assert [(r["anchor"], r["dist_m"]) for r in service.call(long, "route", from_ref="db:1", to_ref="db:3").collect()] == [(1, 0.0), (2, 7.0), (3, 20.0)]
+    assert [(r["anchor"], r["dist_m"]) for r in service.call(long, "route", from_ref="db:2", to_ref="db:2").collect()] == [(2, 0.0)]
+
+
 def test_along_a_line(spark, net):
     line = spark.createDataFrame([(1, k, 16.37 - k * 0.02, 48.21) for k in range(105)], "line long, seq long, lon double, lat double")
     assert [r["station"] for r in service.call(net, "stations_along_route", line=line, corridor_km=12.0, min_routes=1).collect()] == [10, 11]
