@@ -8,7 +8,7 @@ from terrane.functions import geo, text
 from terrane.operators import chains, graph, ordered, proximity, raster, relational, signals
 from terrane.plans import tables as t
 from terrane.plans.catalog import register
-from terrane.session import table
+from terrane.session import parts_for, table
 from terrane.sources import files
 
 _ENDS = f"{t.EDGES}, {t.VERTICES}, ends AS (SELECT edges.*, s.lon AS x1, s.lat AS y1, x.lon AS x2, x.lat AS y2 FROM edges JOIN vertices s ON source = s.id JOIN vertices x ON target = x.id)"
@@ -351,8 +351,11 @@ def lazy_reach(spark, d):
 
 @register("bracketed_paths", "WITH w AS (SELECT DISTINCT o_custkey AS src, l_orderkey AS dst, l_linenumber AS pos, 100 + l_linenumber AS vid FROM lineitem JOIN orders ON l_orderkey = o_orderkey), m AS (SELECT src, dst, min(pos) AS low, max(pos) AS high FROM w GROUP BY 1, 2), a AS (SELECT * FROM w UNION ALL SELECT src, dst, low - 1, -2 - src FROM m UNION ALL SELECT src, dst, high + 1, -2 - dst FROM m) SELECT src, dst, vid, lead(vid) OVER (PARTITION BY src, dst ORDER BY pos) AS succ FROM a")
 def bracketed_paths(spark, d):
-    li = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("src")), "l_orderkey")
-    return chains.bracketed_path(li.select("src", F.col("l_orderkey").alias("dst"), F.col("l_linenumber").cast("long").alias("pos"), (F.col("l_linenumber") + 100).cast("long").alias("vid")).distinct())
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    n = parts_for(spark, li.count())
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("src")).repartition(n, "l_orderkey").distinct()
+    walks = li.repartition(n, "l_orderkey").distinct().join(o, "l_orderkey")
+    return chains.bracketed_path(walks.select("src", F.col("l_orderkey").alias("dst"), F.col("l_linenumber").cast("long").alias("pos"), (F.col("l_linenumber") + 100).cast("long").alias("vid")))
 
 
 @register("tree_progress", "SELECT s_suppkey AS city, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50) AS done FROM supplier")

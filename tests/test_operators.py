@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import cost, geo, text
-from terrane.operators import graph, ordered, proximity, raster, trees
+from terrane.operators import chains, graph, ordered, proximity, raster, trees
+from terrane.session import parts_for
 from terrane.sources import files
 from terrane.streaming import sessions
+from terrane.session import parts_for
 
 
 def haversine(a, b):
@@ -249,3 +251,12 @@ def test_generated_cost_methods_are_small(spark):
     for name in ("cost_direct", "cost_scenic", "cost_direct_multi"):
         stages = debug.codegenStringSeq(catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan())
         assert all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
+
+
+def test_bracketed_paths_are_sorted_once(spark):
+    walks = spark.createDataFrame([(1, 2, 5, 70), (1, 2, 3, 71), (1, 2, 9, 72), (4, 2, 1, 70)], "src long, dst long, pos long, vid long")
+    found = chains.bracketed_path(walks)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, 2, -3, 71), (1, 2, 71, 70), (1, 2, 70, 72), (1, 2, 72, -4), (1, 2, -4, None), (4, 2, -6, 70), (4, 2, 70, -4), (4, 2, -4, None)], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Aggregate" not in plan
+    assert parts_for(spark, 10) == 4 and parts_for(spark, 10_000_001) == 11
