@@ -12,7 +12,6 @@ from terrane.operators import chains, graph, ordered, proximity, raster, trees
 from terrane.session import parts_for
 from terrane.sources import files
 from terrane.streaming import sessions
-from terrane.session import parts_for
 
 
 def haversine(a, b):
@@ -260,3 +259,13 @@ def test_bracketed_paths_are_sorted_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "Aggregate" not in plan
     assert parts_for(spark, 10) == 4 and parts_for(spark, 10_000_001) == 11
+
+
+def test_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(graph, "parts_for", lambda _, n: asked.append(n) or max(4, -(-n // 20)))
+    rows = [(m, g) for g in range(6) for m in range(g + 3)] * 2 + [(None, 1), (3, None)]
+    found = graph.co_members(spark.createDataFrame(rows, "m long, g long"), "m", "g")
+    n_pairs = sum((g + 3) * (g + 2) // 2 for g in range(6))
+    assert {(x["a"], x["b"]): x["n_shared"] for x in found.collect()} == {(a, b): sum(b < g + 3 for g in range(6)) for a in range(8) for b in range(a + 1, 8)}
+    assert asked == [len(rows), n_pairs] and f"{-(-n_pairs // 20)}" in found._jdf.queryExecution().optimizedPlan().toString()
