@@ -269,3 +269,12 @@ def test_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
     n_pairs = sum((g + 3) * (g + 2) // 2 for g in range(6))
     assert {(x["a"], x["b"]): x["n_shared"] for x in found.collect()} == {(a, b): sum(b < g + 3 for g in range(6)) for a in range(8) for b in range(a + 1, 8)}
     assert asked == [len(rows), n_pairs] and f"{-(-n_pairs // 20)}" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_fill_deals_its_rows_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(graph, "parts_for", lambda _, n: asked.append(n) or 7)
+    rows = [(w, w // 3, "a") for w in range(30)] + [(w + 1, w // 3, "a") for w in range(0, 12)] + [(40, 1, ""), (41, 1, None), (42, 1, "b")]
+    ways = spark.createDataFrame(rows, "way long, vertex long, name string")
+    found = graph.flood_fill(ways, spark.createDataFrame([(0,)], "way long"))
+    assert {x["way"] for x in found.collect()} == set(range(15)) and asked == [len(rows)]
