@@ -146,3 +146,13 @@ def test_a_pair_in_many_cells_is_measured_once_and_not_shuffled(spark):
     assert by_cells[0.25] == by_cells[0.7] == by_cells[100.0] and len({x[:2] for x in by_cells[0.25]}) == len(by_cells[0.25]) > 500
     plan = segments.overlap_lengths(lines, areas, "seg", "area", 0.25)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Join") and "Aggregate" not in plan[: plan.index("Join")] and "Join" not in plan[: plan.index("MapInArrow")]
+
+
+def test_lines_from_one_place_are_not_paired(spark, monkeypatch):
+    """3,000 lines from one place and a few that only cross: a pair each would be 4.5 million."""
+    rows = [(k, 0.01, 0.01, 0.01 + (k % 50) / 1e4, 0.01 + (k // 50) / 1e4) for k in range(1, 3001)]
+    rows += [(5000, 0.012, 0.0, 0.012, 0.04), (5001, 0.0, 0.039, 0.04, 0.039), (5002, 0.5, 0.5, 0.5, 0.6), (5003, 0.45, 0.55, 0.55, 0.55), (5004, 0.011, 0.05, 0.012, 0.06)]
+    lines = spark.createDataFrame(rows, "line long, x1 double, y1 double, x2 double, y2 double")
+    monkeypatch.setattr(segments, "crossing_lines", None)
+    reach = lambda seed: {r["line"] for r in segments.touching_closure(lines, spark.createDataFrame([(seed,)], "line long")).collect()}
+    assert reach(7) == reach(5001) == {*range(1, 3001), 5000, 5001} and reach(5003) == {5002, 5003} and reach(5004) == {5004} and reach(9) == reach(7)
