@@ -8,7 +8,7 @@ from terrane.functions import geo, text
 from terrane.operators import chains, graph, ordered, proximity, raster, relational, signals
 from terrane.plans import tables as t
 from terrane.plans.catalog import register
-from terrane.session import parts_for, table
+from terrane.session import materialize, parts_for, table
 from terrane.sources import files
 
 _ENDS = f"{t.EDGES}, {t.VERTICES}, ends AS (SELECT edges.*, s.lon AS x1, s.lat AS y1, x.lon AS x2, x.lat AS y2 FROM edges JOIN vertices s ON source = s.id JOIN vertices x ON target = x.id)"
@@ -278,7 +278,8 @@ def disc_sector_neighbours(spark, d):
 )
 def direct_chain(spark, d):
     at = t.anchors(spark, d)
-    near = proximity.disc_sector_neighbours(at, "anchor", 90_000)
+    # read by the edges, their paths and both tests of neighbours
+    near = materialize(proximity.disc_sector_neighbours(at, "anchor", 90_000), "chain-near")
     edges = proximity.canonical_pairs(near, "dist_m").withColumnRenamed("dist_m", "cost")
     ends = edges.join(at.select(F.col("anchor").alias("a"), F.col("lon").alias("x1"), F.col("lat").alias("y1")), "a").join(at.select(F.col("anchor").alias("b"), F.col("lon").alias("x2"), F.col("lat").alias("y2")), "b")
     k = ends.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5))))
