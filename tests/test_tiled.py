@@ -166,3 +166,23 @@ def test_split_batches(spark, graph):
     cost = lambda bound: {(x["src"], x["dst"]): x["cost"] for x in tiled.batch_costs(tiled.split_batches(table, load, bound, cell, 1.0), vertices, roads, cell, 1.0).collect()}
     trees = {s: plain(arcs, [(s, 0)]) for s in ids[:8]}
     assert cost(1500.0) == cost(1e9) == {(s, d): trees[s][d][0] for s, d, *_ in pairs if d in trees[s]}
+
+
+@pytest.mark.parametrize("bits", [1])
+def test_astar_costs_over_many_blocks(spark, graph, monkeypatch, bits):
+    """Searches that pass between blocks of two tiles by two."""
+    at, arcs, net = graph
+    monkeypatch.setattr(tiled, "_BLOCK_BITS", bits)
+    r = random.Random(12)
+    pairs = [(k, *r.sample(sorted(at), 2)) for k in range(40)]
+    costs = tiled.astar_costs(spark.createDataFrame(pairs, "search long, src long, dst long"), net, tiled.overlay(net)).collect()
+    trees = {a: plain(arcs, [(a, 0)]) for _, a, _ in pairs}
+    assert {x["search"]: x["cost"] for x in costs} == {k: trees[a][b][0] for k, a, b in pairs if b in trees[a]}
+
+
+def test_a_round_takes_a_block_and_not_a_tile(spark):
+    """A line of 48 tiles in three blocks, searched from both ends: few rounds, where there was one for every other tile."""
+    n = 96
+    net = tiled.network(spark.range(n).select(F.col("id").alias("vid"), (F.col("id") * 0.01 + 0.005).alias("lon"), F.lit(0.005).alias("lat")), spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(2.0).alias("cost")), 0.02)
+    pair = spark.createDataFrame([(1, 0, n - 1)], "search long, src long, dst long")
+    assert [x["cost"] for x in tiled.astar_costs(pair, net, tiled.overlay(net), most_rounds=5).collect()] == [2.0 * (n - 1)]
