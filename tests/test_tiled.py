@@ -186,3 +186,28 @@ def test_a_round_takes_a_block_and_not_a_tile(spark):
     net = tiled.network(spark.range(n).select(F.col("id").alias("vid"), (F.col("id") * 0.01 + 0.005).alias("lon"), F.lit(0.005).alias("lat")), spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(2.0).alias("cost")), 0.02)
     pair = spark.createDataFrame([(1, 0, n - 1)], "search long, src long, dst long")
     assert [x["cost"] for x in tiled.astar_costs(pair, net, tiled.overlay(net), most_rounds=5).collect()] == [2.0 * (n - 1)]
+
+
+def test_batch_costs_stay_in_their_boxes_and_write_no_vertices_of_batches(spark, graph, monkeypatch):
+    """Every pair costs what plain Dijkstra finds inside its batch's cells; what is written doesn't grow with batches times vertices."""
+    at, arcs, _ = graph
+    r = random.Random(13)
+    ids, cell, margin = sorted(at), 0.1, 0.05
+    pairs = [(s, d, *at[s], *at[d]) for s in r.sample(ids, 40) for d in [*r.sample(ids, 3), s]]
+    table = spark.createDataFrame(pairs, "src long, dst long, x1 double, y1 double, x2 double, y2 double")
+    batches = tiled.split_batches(table, spark.createDataFrame([(0, 0, 1)], "cx long, cy long, n long"), 1e9, cell).drop("batch").withColumn("batch", F.concat_ws("-", "src", "dst"))
+    written = []
+    keep = tiled.materialize
+    monkeypatch.setattr(tiled, "materialize", lambda df, label: written.append(keep(df, label)) or written[-1])
+    vertices, roads = spark.createDataFrame([(v, *p) for v, p in at.items()], "vid long, lon double, lat double"), spark.createDataFrame(arcs, "src long, dst long, cost double")
+    got = {(x["src"], x["dst"]): x["cost"] for x in tiled.batch_costs(batches, vertices, roads, cell, margin).collect()}
+    expected = {}
+    for s, d, x1, y1, x2, y2 in pairs:
+        (w, e), (low, high) = (((min(p, q) - margin) // cell, (max(p, q) + margin) // cell) for p, q in ((x1, x2), (y1, y2)))
+        inside = {v for v, (x, y) in at.items() if w <= x // cell <= e and low <= y // cell <= high}
+        tree = plain([a for a in arcs if a[0] in inside and a[1] in inside], [(s, 0)])
+        if d in tree:
+            expected[s, d] = tree[d][0]
+    whole = {s: plain(arcs, [(s, 0)]) for s, *_ in pairs}
+    assert got == expected and any(whole[s][d][0] < cost for (s, d), cost in got.items())
+    assert max(df.count() for df in written) <= len(arcs)
