@@ -156,3 +156,17 @@ def test_lines_from_one_place_are_not_paired(spark, monkeypatch):
     monkeypatch.setattr(segments, "crossing_lines", None)
     reach = lambda seed: {r["line"] for r in segments.touching_closure(lines, spark.createDataFrame([(seed,)], "line long")).collect()}
     assert reach(7) == reach(5001) == {*range(1, 3001), 5000, 5001} and reach(5003) == {5002, 5003} and reach(5004) == {5004} and reach(9) == reach(7)
+
+
+def test_pairs_of_lines_are_made_once_and_not_shuffled(spark, tracks):
+    """Lines that meet in many cells and by many segments, in many groups: a pair comes once, with nothing after the task that finds it."""
+    rows = [(line % 23 - 9, k, *a, *b) for k, (line, a, b) in enumerate(tracks)] + [(50, 500, -3.0, 0.0, 3.0, 0.0), (51, 501, -3.0, 0.0, 3.0, 0.0), (51, 502, 3.0, 0.0, -3.0, 0.0), (52, 503, None, 0.0, 0.0, 0.0)]
+    lines = spark.createDataFrame(rows, "line int, seg long, x1 double, y1 double, x2 double, y2 double")
+    found = segments.crossing_lines(lines, 0.1, segments_a_group=9)
+    expected = sorted({(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and None not in p + q and meets((p[2:4], p[4:]), (q[2:4], q[4:]))})
+    assert sorted(map(tuple, found.collect())) == expected and (50, 51) in expected and found.schema["a"].dataType.simpleString() == "int"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Aggregate") and "Join" not in plan
+    packs = [segments._pack(lines.dropna().toPandas().assign(own=0))["pack"][0]]
+    few = [set(zip(a.tolist(), b.tolist(), strict=True)) for a, b in segments._pairs_that_meet(packs[0], None, 0.1, at_once=40)]
+    assert len(few) > 5 and sorted(set().union(*few)) == expected and sum(map(len, few)) == len(expected)
