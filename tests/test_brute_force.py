@@ -42,6 +42,15 @@ def test_prune_trunks(spark):
     assert got == expected and len(expected) < sum(map(len, trunks.values()))
 
 
+def test_prune_trunks_goes_on_until_nothing_is_lost(spark):
+    # every pass takes the way over 100 + k from one more trunk, as the one before it still ended there
+    starts = [(k, v + k) for k in range(12) for v in (0, 100) if k or not v]
+    rows = [(k, k + 1, v, v + 1) for k, v in starts] + [(k, k + 1, v + 1, None) for k, v in starts]
+    trunks = spark.createDataFrame(rows, "src long, dst long, vid long, succ long")
+    pruned = trees.prune_trunks(trunks, spark.createDataFrame([(0,)], "city long"))
+    assert {tuple(r) for r in pruned.collect()} == {r for r in rows if r[2] < 100}
+
+
 def test_bridge_gaps(spark):
     r = random.Random(2)
     nodes = [(k, r.choice(["A", "B", "", None]), 10 + r.random() * 0.01, 47 + r.random() * 0.01) for k in range(90)]
