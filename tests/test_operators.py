@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import cost, geo, text
 from terrane.operators import chains, graph, ordered, proximity, raster, trees
+from terrane.plans import catalog
 from terrane.session import parts_for
 from terrane.sources import files
 from terrane.streaming import sessions
@@ -278,3 +279,10 @@ def test_a_fill_deals_its_rows_to_as_many_tasks_as_they_need(spark, monkeypatch)
     ways = spark.createDataFrame(rows, "way long, vertex long, name string")
     found = graph.flood_fill(ways, spark.createDataFrame([(0,)], "way long"))
     assert {x["way"] for x in found.collect()} == set(range(15)) and asked == [len(rows)]
+
+
+@pytest.mark.parametrize("name", ["corridor_edges", "corridor_sizes", "spt_trees"])
+def test_trees_and_corridors_broadcast_no_table(spark, sf, name):
+    # whatever the files' sizes; the one row with the lattice's width is joined by a nested loop
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
