@@ -116,9 +116,9 @@ def first_targets(spark, d):
 def split_costs(spark, d):
     """Costs from every supplier's place to the next eight ones', batches divided where their boxes hold too many vertices."""
     places, arcs = t.lattice(spark, d)
-    s = _sources(spark, d).select("label", "node").join(places.withColumnRenamed("vid", "node"), "node")
+    s = _sources(spark, d).select("label", "node").hint("merge").join(places.withColumnRenamed("vid", "node"), "node")
     ahead = s.select(F.explode(F.sequence(F.col("label") - 8, F.col("label") - 1)).alias("label"), F.col("node").alias("dst"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
-    pairs = s.select("label", F.col("node").alias("src"), F.col("lon").alias("x1"), F.col("lat").alias("y1")).join(ahead, "label").where("src <> dst").select("src", "dst", "x1", "y1", "x2", "y2").distinct()
+    pairs = s.select("label", F.col("node").alias("src"), F.col("lon").alias("x1"), F.col("lat").alias("y1")).hint("merge").join(ahead, "label").where("src <> dst").select("src", "dst", "x1", "y1", "x2", "y2").distinct()
     at = lambda c: F.floor(F.col(c) / t.LATTICE_TILE).cast("long")
     loads = places.groupBy(at("lon").alias("cx"), at("lat").alias("cy")).agg(F.count("*").alias("n"))
     batches = tiled.split_batches(pairs, loads, 1_000.0, t.LATTICE_TILE, t.LATTICE_TILE)

@@ -211,3 +211,31 @@ def test_batch_costs_stay_in_their_boxes_and_write_no_vertices_of_batches(spark,
     whole = {s: plain(arcs, [(s, 0)]) for s, *_ in pairs}
     assert got == expected and any(whole[s][d][0] < cost for (s, d), cost in got.items())
     assert max(df.count() for df in written) <= len(arcs)
+
+
+def test_split_batches_and_batch_costs_broadcast_no_table(spark, graph, monkeypatch):
+    """Tables that are small as files are joined by sorts."""
+    at, arcs, _ = graph
+    r, cell, plans = random.Random(14), 0.02, []
+    pairs = [(s, d, *at[s], *at[d]) for s in r.sample(sorted(at), 20) for d in r.sample(sorted(at), 4)]
+    loads = {}
+    for x, y in at.values():
+        key = (int(x // cell), int(y // cell))
+        loads[key] = loads.get(key, 0) + 1
+    keep = tiled.materialize
+    table, load, vertices, roads = (keep(spark.createDataFrame(rows, kind), "made") for rows, kind in (
+        (pairs, "src long, dst long, x1 double, y1 double, x2 double, y2 double"), ([(*k, n) for k, n in loads.items()], "cx long, cy long, n long"),
+        ([(v, *p) for v, p in at.items()], "vid long, lon double, lat double"), (arcs, "src long, dst long, cost double")))
+    monkeypatch.setattr(tiled, "materialize", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, label))
+    split = tiled.split_batches(table, load, 20.0, cell)
+    plans.append(tiled.batch_costs(split, vertices, roads, cell, cell)._jdf.queryExecution().executedPlan().toString())
+    assert not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_row_sums_count_gaps_and_nothing_before_a_row(spark):
+    loads = spark.createDataFrame([(3, 0, 2), (5, 0, 7), (9, 0, 1), (-4, 1, 6)], "cx long, cy long, n long")
+    assert {x["cy"]: (x["base"], x["sums"]) for x in tiled._row_sums(loads).collect()} == {0: (3, [2, 2, 9, 9, 9, 9, 10]), 1: (-4, [6])}
+    pairs = [(1, k, x1, 0.5, x2, y2) for k, (x1, x2, y2) in enumerate([(0.5, 2.5, 0.5), (0.5, 4.5, 0.5), (-9.5, 40.5, 1.5), (9.5, 40.5, 0.5), (10.5, 40.5, 1.5), (-9.5, 40.5, 3.5)])]
+    found = tiled.split_batches(spark.createDataFrame([(10 + k, k, *p[2:]) for k, p in enumerate(pairs)], "src long, dst long, x1 double, y1 double, x2 double, y2 double"), loads, 1e9, 1.0)
+    assert {x["dst"]: x["load"] for x in found.collect()} == {0: 0, 1: 2, 2: 16, 3: 1, 4: 0, 5: 16}
+
