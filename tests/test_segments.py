@@ -170,3 +170,19 @@ def test_pairs_of_lines_are_made_once_and_not_shuffled(spark, tracks):
     packs = [segments._pack(lines.dropna().toPandas().assign(own=0))["pack"][0]]
     few = [set(zip(a.tolist(), b.tolist(), strict=True)) for a, b in segments._pairs_that_meet(packs[0], None, 0.1, at_once=40)]
     assert len(few) > 5 and sorted(set().union(*few)) == expected and sum(map(len, few)) == len(expected)
+
+
+def test_areas_with_one_ring_are_measured_once(spark, monkeypatch):
+    """300 areas at two rings: the task that works out shares gets two rings, and every area has its row."""
+    rings = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)], [(0.5, 0.0), (2.0, 0.0), (2.0, 2.0)]]
+    areas = spark.createDataFrame([(f"a{k}", rings[k % 2]) for k in range(300)] + [("a0", rings[0])], "area string, ring array<struct<lon:double,lat:double>>")
+    lines = spark.createDataFrame([(k, -1.0, 0.25 + k / 64, 3.0, 0.25 + k / 64) for k in range(5)], "seg int, x1 double, y1 double, x2 double, y2 double")
+    monkeypatch.setattr(segments, "_PACKED", 2)
+    found = segments.overlap_lengths(lines, areas, "seg", "area")
+    got = sorted((r["seg"], r["area"], r["share"]) for r in found.collect())
+    share = lambda k, ring: 0.25 if ring == 0 else (2.0 - (0.5 + (0.25 + k / 64) * 0.75)) / 4
+    assert [x[:2] for x in got] == sorted([(k, f"a{n}") for k in range(5) for n in range(300)] + [(k, "a0") for k in range(5)])
+    assert all(x[2] == pytest.approx(share(x[0], int(x[1][1:]) % 2)) for x in got) and found.dtypes[:2] == [("seg", "int"), ("area", "string")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(areas") < plan.index("MapInArrow")
+
