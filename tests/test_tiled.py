@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import tiled
+from terrane.operators import listings, tiled
 
 
 def plain(arcs, sources):
@@ -239,3 +239,39 @@ def test_row_sums_count_gaps_and_nothing_before_a_row(spark):
     found = tiled.split_batches(spark.createDataFrame([(10 + k, k, *p[2:]) for k, p in enumerate(pairs)], "src long, dst long, x1 double, y1 double, x2 double, y2 double"), loads, 1e9, 1.0)
     assert {x["dst"]: x["load"] for x in found.collect()} == {0: 0, 1: 2, 2: 16, 3: 1, 4: 0, 5: 16}
 
+
+@pytest.mark.parametrize("part", [0.0, 1 / 3])
+def test_costs_between_all_points(spark, graph, monkeypatch, part):
+    """Whole costs and others, over many tiles and in two parts: least cost, then fewest arcs, and the links of ferries with and
+    without their lines."""
+    at, arcs, _ = graph
+    r = random.Random(15)
+    kept = sorted(at)[: len(at) * 2 // 3]
+    roads = [(a, b, float(r.randrange(1, 4)) + part) for a, b, _ in arcs if (a in kept) == (b in kept) and a < b]
+    points = r.sample(sorted(at), 40)
+    vertices = spark.createDataFrame([(v, *p) for v, p in at.items()], "vid long, lon double, lat double")
+    ferries, piers = spark.createDataFrame(roads, "a long, b long, len_m double"), spark.createDataFrame([(v,) for v in points], "vid long")
+    monkeypatch.setattr(tiled, "costs_between", lambda points, net, make=tiled.costs_between: make(points, net, 16))
+    got = {(x["a"], x["b"]): (x["cost"], x["n_points"]) for x in listings.ferry_costs(vertices, ferries, piers, 0.2).collect()}
+    both = [(a, b, c) for a, b, c in roads] + [(b, a, c) for a, b, c in roads]
+    out = {}
+    for a, b, c in both:
+        out.setdefault(a, []).append((b, c))
+    expected = {}
+    for s in points:
+        best, heap = {}, [(0.0, 0, s)]
+        while heap:
+            d, hops, v = heapq.heappop(heap)
+            if v not in best:
+                best[v] = (d, hops)
+                for w, c in out.get(v, ()):
+                    heapq.heappush(heap, (d + c, hops + 1, w))
+        expected |= {(s, t): best[t] for t in points if s < t and t in best}
+    assert len(got) > 50
+    assert set(got) == set(expected)
+    assert all(got[k][0] == pytest.approx(d, abs=1e-9) for k, (d, _) in expected.items())
+    if not part:
+        assert got == {k: (d, hops + 1) for k, (d, hops) in expected.items()}
+        lines = listings.ferry_links(vertices, ferries, piers, 0.2).select("a", "b", "cost", F.size("path").alias("n")).collect()
+        assert {(x["a"], x["b"]): (x["cost"], x["n"]) for x in lines} == got
+
