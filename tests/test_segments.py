@@ -1,7 +1,10 @@
 """Crossings and overlaps of segments against plain geometry, and versioned tables against failures half way."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +189,17 @@ def test_areas_with_one_ring_are_measured_once(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(areas") < plan.index("MapInArrow")
 
+
+def test_pairs_are_found_in_little_memory():
+    """100,000 segments against as many others: beside them and their cells a task holds some candidates at a time."""
+    k = np.arange(100_000) * 7
+    x, y = 5 + (k * 37) % 1400 / 100, 46 + (k * 53) % 1200 / 100
+    ends = {"x1": x, "y1": y, "x2": x + ((k * 7) % 31 - 15) / 128, "y2": y + ((k * 11) % 29 - 14) / 128}
+    one, two = (segments._pack(pd.DataFrame({"own": 0, "line": k // 10 + first, **ends}))["pack"].iloc[0] for first in (0, 1 << 40))
+    found = segments._pairs_that_meet(one, two, 0.05)
+    tracemalloc.start()
+    assert all(len(next(found)[0]) for _ in range(3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
